@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tokenloom.session import broadcast_if_small, materialize
+from tokenloom.session import broadcast_if_small, local_table, materialize
 
 # Histogram bins per source and step.
 FANOUT = 16_384
@@ -22,7 +22,7 @@ FANOUT = 16_384
 def mixture(spark: SparkSession, targets: dict[str, int]) -> DataFrame:
     """The mixture as a table ``(source, target_tokens)``."""
     rows = [(source, int(tokens)) for source, tokens in targets.items()]
-    return spark.createDataFrame(rows, "source string, target_tokens long")
+    return local_table(spark, rows, "source string, target_tokens long")
 
 
 def budget_cutoffs(counted: DataFrame, spec: DataFrame, fanout: int = FANOUT) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tokenloom.operators.lookup import interval_lookup
-from tokenloom.session import broadcast_if_small, materialize
+from tokenloom.session import broadcast_if_small, local_table, materialize
 
 # Shards per segment, and the number of documents a segment should stay below.
 SEGMENT_SHARDS = 64
@@ -70,7 +70,7 @@ def next_fit_cuts(
         raise ValueError("the shard limit must be positive")
     spark = docs.sparkSession
     if total <= 0:
-        return spark.createDataFrame([], "shard_id long, low long, high long")
+        return local_table(spark, [], "shard_id long, low long, high long")
     if span is None:
         by_docs = SEGMENT_DOCS * total // max(rows, 1)
         span = max(limit, min(SEGMENT_SHARDS * limit, by_docs))
@@ -78,7 +78,7 @@ def next_fit_cuts(
     placed = _segments(docs.select("start", "end"), limit, span)
 
     if count == 1:
-        entries = spark.createDataFrame([(0, 0)], "segment long, entry long")
+        entries = local_table(spark, [(0, 0)], "segment long, entry long")
     else:
         placed = materialize(placed, "segments")
         entries = _visited(placed, limit, total, span, count)
@@ -137,7 +137,7 @@ def _visited(placed: DataFrame, limit: int, total: int, span: int, count: int) -
         doubled = hops[-1].join(far, "leave").select("entry", F.col("_far").alias("leave"))
         hops.append(materialize(doubled, f"hops{len(hops)}"))
     spark = placed.sparkSession
-    seen = spark.createDataFrame([(0,)], "entry long")
+    seen = local_table(spark, [(0,)], "entry long")
     for hop in reversed(hops):
         reached = hop.join(broadcast_if_small(seen, count), "entry").select(
             F.col("leave").alias("entry")

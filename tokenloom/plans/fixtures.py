@@ -9,6 +9,7 @@ from tokenloom.functions.tokenizers import Utf8ByteTokenizer
 from tokenloom.operators.clean import kept_documents, to_documents
 from tokenloom.operators.order import stream_positions, with_shuffle_key
 from tokenloom.operators.prefix import grouped_running
+from tokenloom.session import local_table
 
 TOKENIZER = Utf8ByteTokenizer()
 
@@ -43,7 +44,7 @@ def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").count()
     rows = [(source, per * docs) for source, per in TARGETS_PER_DOC.items()]
-    return spark.createDataFrame(rows, "source string, target_tokens long")
+    return local_table(spark, rows, "source string, target_tokens long")
 
 
 def positioned(spark: SparkSession, sf_dir: str, text: bool = True) -> DataFrame:

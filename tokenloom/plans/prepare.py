@@ -34,7 +34,12 @@ from tokenloom.operators.shards import (
 from tokenloom.operators.tokenize import tokenize
 from tokenloom.session import broadcast_if_small, materialize
 from tokenloom.sources.metadata import append_meta, dataset_meta
-from tokenloom.sources.shards import read_raw_shards, read_token_shards, write_token_shards
+from tokenloom.sources.shards import (
+    by_task,
+    read_raw_shards,
+    read_token_shards,
+    write_token_shards,
+)
 
 # Fixed value: the shuffle seed.
 SEED = 42
@@ -215,11 +220,10 @@ def _write_raw(
     # cut inside a character makes it differ from the recorded count, and text cut to nothing
     # has none.
     again = F.when(F.length("text") > 0, tokenizer.count(F.col("text"))).otherwise(F.lit(0))
-    order = Window.partitionBy("shard_id").orderBy("key", "source", "seq")
+    order = Window.partitionBy("_task", "shard_id").orderBy("key", "source", "seq")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     stored = (
-        homed.withColumn("n_tokens", again.cast("long"))
-        .repartitionById(shards, F.col("shard_id"))
+        by_task(homed.withColumn("n_tokens", again.cast("long")), F.col("shard_id"), shards)
         .select(
             "shard_id",
             (F.row_number().over(order) - 1).alias("pos"),

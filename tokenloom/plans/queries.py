@@ -18,7 +18,7 @@ from tokenloom.operators import budget, clean, nextfit, order, prefix, runlog, s
 from tokenloom.operators.lookup import interval_lookup
 from tokenloom.operators.tokenize import tokenize
 from tokenloom.plans import fixtures as fx
-from tokenloom.session import materialize, stage_path
+from tokenloom.session import materialize, ship_package, stage_path
 from tokenloom.sources.metadata import dataset_meta, pass_columns
 from tokenloom.sources.shards import (
     read_raw_shards,
@@ -36,8 +36,13 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(function: Query) -> Query:
-    QUERIES[function.__name__] = function
-    return function
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return function(spark, sf_dir)
+
+    run.__name__, run.__doc__ = function.__name__, function.__doc__
+    QUERIES[function.__name__] = run
+    return run
 
 
 def digest(ids: Column) -> Column:

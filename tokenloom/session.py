@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 # A side is broadcast only when its row count is known to be below this.
 BROADCAST_ROWS = 1_000_000
@@ -30,6 +36,35 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+# Application ids to which this package was already sent.
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Not needed where it is installed on every node or submitted with ``--py-files``.
+    """
+    application = spark.sparkContext.applicationId
+    if application in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="tokenloom-"), "tokenloom")
+    archive = shutil.make_archive(
+        target, "zip", os.path.dirname(package), os.path.basename(package)
+    )
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(application)
+
+
+def local_table(spark: SparkSession, rows: Sequence[Sequence], schema: str) -> DataFrame:
+    """A few literal rows as a table that lives in the plan, not in a job's tasks."""
+    fields = to_arrow_schema(StructType.fromDDL(schema))
+    columns = list(zip(*rows)) or [()] * len(fields)
+    table = pa.table([pa.array(c, f.type) for c, f in zip(columns, fields)], schema=fields)
+    return spark.createDataFrame(table, schema)
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
     """A fresh path for one stage table inside the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/tokenloom/{name}-{uuid.uuid4().hex}"

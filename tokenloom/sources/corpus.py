@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.functions.text import text_column
-from tokenloom.session import broadcast_if_small
+from tokenloom.session import broadcast_if_small, local_table
 
 # Bits of ``seq`` that number a file's rows; the bits above number the files.
 ROW_BITS = 40
@@ -35,8 +35,8 @@ def _scan(spark: SparkSession, name: str, path: str, text: str) -> DataFrame:
     files = spark.read.parquet(path)
     # The driver already lists these files to plan the scan, so numbering them here adds no load.
     names = sorted(files.inputFiles())
-    numbers = spark.createDataFrame(
-        [(f, i) for i, f in enumerate(names)], "_file string, _number long"
+    numbers = local_table(
+        spark, [(f, i) for i, f in enumerate(names)], "_file string, _number long"
     )
     rows = files.select(
         F.col("_metadata.file_path").alias("_file"),

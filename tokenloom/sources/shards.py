@@ -2,24 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A fragment's columns, in order.
 TOKEN_COLUMNS = ("split", "shard_id", "start", "end", "tokens")
 
 
+def shard_tasks(spark: SparkSession, shards: int) -> int:
+    """Writing tasks: one per shard, but no more than the session's shuffle partitions."""
+    return max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def by_task(df: DataFrame, number: Column, shards: int) -> DataFrame:
+    """Neighbouring shards to the same task, every shard whole; adds ``_task``."""
+    tasks = shard_tasks(df.sparkSession, shards)
+    task = F.floor(number.cast("long") * tasks / F.lit(shards)).cast("int")
+    return df.withColumn("_task", task).repartitionById(tasks, F.col("_task"))
+
+
 def write_raw_shards(
     docs: DataFrame, path: str, shards: int, order: tuple[str, ...] = ("pos",)
 ) -> None:
     """Write ``shard_id`` directories with one file each, documents in order.
 
-    Every shard is its own task (``shard_id`` is the partition number), so shards never share a
-    file and none is split. Earlier output is replaced; an empty stream writes nothing.
+    The task follows from the shard number, so no shard is split over two files and tasks are
+    even. Earlier output is replaced; an empty stream writes nothing.
     """
     if shards == 0:
         return
-    placed = docs.repartitionById(shards, F.col("shard_id").cast("int"))
+    placed = by_task(docs, F.col("shard_id"), shards).drop("_task")
     placed.sortWithinPartitions("shard_id", *order).write.mode("overwrite").partitionBy(
         "shard_id"
     ).parquet(path)
@@ -34,17 +46,20 @@ def read_raw_shards(spark: SparkSession, path: str) -> DataFrame:
     return docs.filter(F.length("text") > 0).withColumn("shard_id", F.col("shard_id").cast("long"))
 
 
-def token_shard_number():
-    """Partition number of a fragment: val is 0, train shard k is k + 1."""
+def token_shard_number() -> Column:
+    """File number of a fragment: val is 0, train shard k is k + 1."""
     return F.when(F.col("split") == "val", 0).otherwise(F.col("shard_id") + 1).cast("int")
 
 
+def _token_files(fragments: DataFrame, train_shards: int) -> DataFrame:
+    """Fragments placed by file and in stream order."""
+    placed = by_task(fragments.select(*TOKEN_COLUMNS), token_shard_number(), train_shards + 1)
+    return placed.drop("_task").sortWithinPartitions("split", "shard_id", "start")
+
+
 def write_token_shards(fragments: DataFrame, path: str, train_shards: int) -> None:
     """Write token fragments by ``(split, shard_id)``, one file per shard, in stream order."""
-    placed = fragments.select(*TOKEN_COLUMNS).repartitionById(
-        train_shards + 1, token_shard_number()
-    )
-    placed.sortWithinPartitions("split", "shard_id", "start").write.mode("overwrite").partitionBy(
+    _token_files(fragments, train_shards).write.mode("overwrite").partitionBy(
         "split", "shard_id"
     ).parquet(path)
 
@@ -57,10 +72,5 @@ def read_token_shards(spark: SparkSession, path: str, split: str | None = None)
 
 
 def write_token_bins(fragments: DataFrame, path: str, train_shards: int) -> None:
-    """Export token fragments as flat 16-bit files, one task per file."""
-    placed = fragments.select(*TOKEN_COLUMNS).repartitionById(
-        train_shards + 1, token_shard_number()
-    )
-    placed.sortWithinPartitions("split", "shard_id", "start").write.format("tokenbin").mode(
-        "overwrite"
-    ).save(path)
+    """Export token fragments as flat 16-bit files, every file by one task."""
+    _token_files(fragments, train_shards).write.format("tokenbin").mode("overwrite").save(path)

@@ -49,13 +49,12 @@ def _bin_files(path: str) -> list[fs.FileInfo]:
 
 
 @dataclass
-class ByteRange(InputPartition):
-    """Bytes ``[low, high)`` of a file; ``base`` is the stream position of the file's first id."""
+class ByteRanges(InputPartition):
+    """File pieces ``(path, low, high, base)`` in stream order: bytes ``[low, high)`` of a file
+    whose first id stands at stream position ``base``.
+    """
 
-    path: str
-    low: int
-    high: int
-    base: int
+    pieces: list[tuple[str, int, int, int]]
 
 
 class TokenBinReader(DataSourceReader):
@@ -66,38 +65,46 @@ class TokenBinReader(DataSourceReader):
         if self.row_tokens <= 0 or self.partition_tokens <= 0:
             raise ValueError("rowTokens and partitionTokens must be positive")
 
-    def partitions(self) -> list[ByteRange]:
+    def partitions(self) -> list[ByteRanges]:
+        """Large files are cut and small ones put together, to ``partitionTokens`` per task."""
         files = _bin_files(self.path)
         if not files:
             raise FileNotFoundError(f"no .bin files in {self.path}")
-        ranges, base = [], 0
+        parts: list[ByteRanges] = []
+        base, room = 0, 0
         for info in files:
-            size = info.size // 2 * 2
-            for low in range(0, size, 2 * self.partition_tokens):
-                high = min(low + 2 * self.partition_tokens, size)
-                ranges.append(ByteRange(info.path, low, high, base))
+            low, size = 0, info.size // 2 * 2
+            while low < size:
+                if room == 0:
+                    parts.append(ByteRanges([]))
+                    room = 2 * self.partition_tokens
+                high = min(low + room, size)
+                parts[-1].pieces.append((info.path, low, high, base))
+                room -= high - low
+                low = high
             base += size // 2
-        return ranges
+        return parts
 
-    def read(self, part: ByteRange) -> Iterator[pa.RecordBatch]:
+    def read(self, part: ByteRanges) -> Iterator[pa.RecordBatch]:
         system, _ = _open(self.path)
-        name = posixpath.basename(part.path)
-        with system.open_input_file(part.path) as file:
-            at = part.low
-            while at < part.high:
-                raw = file.read_at(min(2 * self.row_tokens, part.high - at), at)
-                ids = np.frombuffer(raw, ID_TYPE).astype(np.int32)
-                start = part.base + at // 2
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([name]),
-                        pa.array([start], pa.int64()),
-                        pa.array([start + len(ids)], pa.int64()),
-                        pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
-                    ],
-                    names=["file", "start", "end", "tokens"],
-                )
-                at += len(raw)
+        for path, low, high, base in part.pieces:
+            with system.open_input_file(path) as file:
+                yield from self._rows(file, posixpath.basename(path), low, high, base)
+
+    def _rows(self, file, name: str, low: int, high: int, base: int) -> Iterator[pa.RecordBatch]:
+        for at in range(low, high, 2 * self.row_tokens):
+            raw = file.read_at(min(2 * self.row_tokens, high - at), at)
+            ids = np.frombuffer(raw, ID_TYPE).astype(np.int32)
+            start = base + at // 2
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([name]),
+                    pa.array([start], pa.int64()),
+                    pa.array([start + len(ids)], pa.int64()),
+                    pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+                ],
+                names=["file", "start", "end", "tokens"],
+            )
 
 
 @dataclass
