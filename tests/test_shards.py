@@ -32,19 +32,16 @@ def packed(spark, sizes, limit, span=None):
 
 
 CASES = [
-    [5],
-    [30],
-    [3, 4, 5, 6, 7],
-    [10, 10, 10],
-    [11, 3, 3],
-    [3, 11, 3, 25, 1, 1],
-    [40, 40, 1, 9, 1],
-    [1] * 35,
+    ([5], None),
+    ([30], None),
+    ([11, 3, 3], 10),
+    ([3, 11, 3, 25, 1, 1], 13),
+    ([40, 40, 1, 9, 1, 10, 10], 10),
+    ([1] * 35, None),
 ]
 
 
-@pytest.mark.parametrize("sizes", CASES)
-@pytest.mark.parametrize("span", [None, 10, 13])
+@pytest.mark.parametrize("sizes,span", CASES)
 def test_packing_equals_the_greedy_loop(spark, sizes, span):
     assert packed(spark, sizes, 10, span) == pack(sizes, 10)
 
@@ -56,7 +53,7 @@ def test_packing_over_many_segments(spark):
     assert packed(spark, sizes, 100, span=1_500) == pack(sizes, 100)
 
 
-@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.integers(1, 30), min_size=1, max_size=60), st.integers(1, 25), st.integers(0, 3))
 def test_packing_properties(spark, sizes, limit, widen):
     found = packed(spark, sizes, limit, span=limit * (1 + widen))
@@ -85,8 +82,8 @@ def test_holdout_size(total, cap, expected):
     assert holdout_size(total, cap) == expected
 
 
-@pytest.mark.parametrize("val", [0, 1, 7, 10, 23, 60])
-@pytest.mark.parametrize("limit", [5, 8, 1000])
+@pytest.mark.parametrize("val", [0, 1, 10, 23, 60])
+@pytest.mark.parametrize("limit", [5, 1000])
 def test_fragments_reproduce_the_stream(spark, val, limit):
     sizes = [7, 3, 1, 24, 2, 5, 18]
     docs, total = positioned(spark, sizes)

@@ -6,9 +6,10 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tokenloom.functions.text import text_column
-from tokenloom.session import broadcast_if_small, local_table
+from tokenloom.session import broadcast_if_small
 
 # Bits of ``seq`` that number a file's rows; the bits above number the files.
 ROW_BITS = 40
@@ -33,17 +34,17 @@ def scan_corpus(
 
 def _scan(spark: SparkSession, name: str, path: str, text: str) -> DataFrame:
     files = spark.read.parquet(path)
-    # The driver already lists these files to plan the scan, so numbering them here adds no load.
-    names = sorted(files.inputFiles())
-    numbers = local_table(
-        spark, [(f, i) for i, f in enumerate(names)], "_file string, _number long"
-    )
+    # One row per file: as many as the listing that the driver already holds to plan the scan.
+    by_name = Window.orderBy("_file")
+    names = files.select(F.col("_metadata.file_path").alias("_file")).distinct()
+    numbers = names.select("_file", (F.row_number().over(by_name) - 1).cast("long").alias("_number"))
+    count = len(files.inputFiles())
     rows = files.select(
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.row_index").alias("_row"),
         text_column(files, text).alias("text"),
     )
-    return rows.join(broadcast_if_small(numbers, len(names)), "_file").select(
+    return rows.join(broadcast_if_small(numbers, count), "_file").select(
         F.lit(name).alias("source"),
         F.shiftleft("_number", ROW_BITS).bitwiseOR(F.col("_row")).alias("seq"),
         "text",
