@@ -145,13 +145,12 @@ def budget_select(counted: DataFrame, cutoffs: DataFrame, sources: int | None =
 def truncate_text(selected: DataFrame, tokenizer) -> DataFrame:
     """Replace the text of each cut document by the text of its kept tokens.
 
-    Cut documents are at most one per source, so only they meet the tokenizer here.
+    Cut documents are at most one per source; the others pass in the same scan and reach the
+    tokenizer as nulls.
     """
-    whole = selected.filter(~F.col("is_truncated"))
-    cut = selected.filter("is_truncated").withColumn(
-        "text", tokenizer.cut(F.col("text"), F.col("kept_tokens"))
-    )
-    return whole.unionByName(cut)
+    text = F.when(F.col("is_truncated"), F.col("text"))
+    cut = tokenizer.cut(text, F.col("kept_tokens"))
+    return selected.withColumn("text", F.when(F.col("is_truncated"), cut).otherwise(F.col("text")))
 
 
 def budget_report(cutoffs: DataFrame) -> DataFrame:

@@ -219,7 +219,10 @@ def _write_raw(
     # The stored text is encoded again later, so its own count fixes its place in the stream: a
     # cut inside a character makes it differ from the recorded count, and text cut to nothing
     # has none.
-    again = F.when(F.length("text") > 0, tokenizer.count(F.col("text"))).otherwise(F.lit(0))
+    cut_text = F.when(F.col("is_truncated") & (F.length("text") > 0), F.col("text"))
+    again = F.when(
+        F.col("is_truncated"), F.coalesce(tokenizer.count(cut_text), F.lit(0))
+    ).otherwise(F.col("n_tokens"))
     order = Window.partitionBy("_task", "shard_id").orderBy("key", "source", "seq")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     stored = (

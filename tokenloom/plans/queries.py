@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.functions.keys import keyed_uniform
+from tokenloom.functions.tokenizers import ExternalTokenizer
 from tokenloom.functions.text import (
     coerce_to_text,
     is_malformed_utf8,
@@ -18,8 +19,10 @@ from tokenloom.operators import budget, clean, nextfit, order, prefix, runlog, s
 from tokenloom.operators.lookup import interval_lookup
 from tokenloom.operators.tokenize import tokenize
 from tokenloom.plans import fixtures as fx
+from tokenloom.plans.prepare import prepare, raw_stream
 from tokenloom.session import materialize, ship_package, stage_path
-from tokenloom.sources.metadata import dataset_meta, pass_columns
+from tokenloom.sources.corpus import scan_corpus
+from tokenloom.sources.metadata import dataset_meta, pass_columns, read_meta
 from tokenloom.sources.shards import (
     read_raw_shards,
     read_token_shards,
@@ -55,7 +58,8 @@ def digest(ids: Column) -> Column:
 
 @query
 def corpus_scan(spark, sf_dir):
-    docs = fx.documents(spark, sf_dir)
+    """The input order comes from the file names and their rows."""
+    docs = scan_corpus(spark, {"documents": f"{sf_dir}/documents.parquet"})
     return docs.select("source", "seq", F.md5("text").alias("text_md5"))
 
 
@@ -141,6 +145,29 @@ def decode_roundtrip(spark, sf_dir):
     return docs.select("seq", F.md5(fx.TOKENIZER.decode(F.col("tokens"))).alias("text_md5"))
 
 
+def _load_byte_pairs():
+    """A byte-level encoder of the tiktoken library without merges."""
+    import tiktoken
+
+    return tiktoken.Encoding(
+        "bytes",
+        pat_str=r"\S+|\s+",
+        mergeable_ranks={bytes([i]): i for i in range(256)},
+        special_tokens={"<end>": 256},
+    )
+
+
+@query
+def external_tokenize(spark, sf_dir):
+    """The tokenize job with an encoder library in the workers."""
+    tokenizer = ExternalTokenizer("bytes", _load_byte_pairs, vocab_size=257, separator_id=256)
+    docs = fx.documents(spark, sf_dir).repartition("seq")
+    tokens = tokenize(docs, tokenizer)
+    return tokens.select(
+        "seq", F.size("tokens").alias("n_tokens"), digest(F.col("tokens")).alias("ids_md5")
+    )
+
+
 # Budgets ---------------------------------------------------------------------------------------
 
 
@@ -315,6 +342,32 @@ def token_shard_rescan(spark, sf_dir):
     )
 
 
+def _prepared(spark, sf_dir):
+    return prepare(
+        fx.documents(spark, sf_dir),
+        fx.targets(spark, sf_dir),
+        fx.TOKENIZER,
+        stage_path(spark, "prepared"),
+        raw_limit=fx.SHARD_TOKENS,
+        token_limit=fx.SHARD_TOKENS,
+        val_cap=fx.VAL_CAP,
+    )
+
+
+@query
+def prepared_shards(spark, sf_dir):
+    """The whole preparation job; its raw shards read back with their place in the stream."""
+    done = _prepared(spark, sf_dir)
+    stored = raw_stream(read_raw_shards(spark, done.raw_path), done.raw_shards)
+    return stored.select("shard_id", "pos", "start", "end", F.md5("text").alias("text_md5"))
+
+
+@query
+def prepared_meta(spark, sf_dir):
+    """The metadata row that the whole preparation job leaves."""
+    return read_meta(spark, _prepared(spark, sf_dir).meta_path)
+
+
 # Windows ---------------------------------------------------------------------------------------
 
 
