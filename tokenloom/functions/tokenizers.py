@@ -42,6 +42,22 @@ def _byte_ids(texts: pa.Array, separator: int | None) -> pa.Array:
     ).cast(pa.list_(pa.int32()))
 
 
+def _id_bytes(lists: pa.Array, separator: int) -> pa.Array:
+    """Bytes of a whole Arrow batch of id lists; null lists give no bytes."""
+    lists = lists.cast(pa.large_list(pa.int32()))
+    counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    ids = lists.flatten().to_numpy(zero_copy_only=False)
+    body = ids != separator
+    kept_before = np.concatenate([[0], np.cumsum(body)])
+    edges = kept_before[np.concatenate([[0], np.cumsum(counts)])]
+    data = ids[body].astype(np.uint8)
+    return pa.Array.from_buffers(
+        pa.large_binary(),
+        len(lists),
+        [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(data)],
+    ).cast(pa.binary())
+
+
 @dataclass(frozen=True)
 class Utf8ByteTokenizer:
     """One id per UTF-8 byte; id 256 separates documents."""
@@ -65,10 +81,14 @@ class Utf8ByteTokenizer:
         return byte_ids(text)
 
     def decode(self, ids: Column) -> Column:
-        """Text of ``ids`` without the leading separator; a cut character decodes to U+FFFD."""
-        body = F.filter(ids, lambda i: i != self.separator_id)
-        pairs = F.transform(body, lambda i: F.lpad(F.hex(i.cast("long")), 2, "0"))
-        return F.coalesce(repair_utf8(F.unhex(F.array_join(pairs, ""))), F.lit(""))
+        """Text of ``ids`` without the separator; a cut character decodes to U+FFFD."""
+        separator = self.separator_id
+
+        @F.arrow_udf("binary")
+        def bytes_of(lists: pa.Array) -> pa.Array:
+            return _id_bytes(lists, separator)
+
+        return F.coalesce(repair_utf8(bytes_of(ids)), F.lit(""))
 
     def cut(self, text: Column, keep: Column) -> Column:
         """Text of the first ``keep`` ids, straight from the bytes (no id array)."""

@@ -229,7 +229,7 @@ def _write_raw(
         by_task(homed.withColumn("n_tokens", again.cast("long")), F.col("shard_id"), shards)
         .select(
             "shard_id",
-            (F.row_number().over(order) - 1).alias("pos"),
+            (F.row_number().over(order) - 1).cast("long").alias("pos"),
             "text",
             F.col("kept_tokens").alias("recorded_tokens"),
             "n_tokens",
