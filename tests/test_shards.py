@@ -67,6 +67,17 @@ def test_packing_properties(spark, sizes, limit, widen):
             assert sum(before) + sizes[i] > limit
 
 
+def test_segments_stay_small_where_short_documents_stand_together(spark, monkeypatch):
+    from tokenloom.operators import nextfit
+
+    monkeypatch.setattr(nextfit, "SEGMENT_DOCS", 60)
+    sizes = [50] * 40 + [1] * 400 + [50] * 40
+    docs, total = positioned(spark, sizes)
+    span = nextfit._segment_span(docs, 20, total, len(sizes))
+    assert 20 <= span <= 60
+    assert packed(spark, sizes, 20) == pack(sizes, 20)
+
+
 def test_an_empty_stream_has_no_shards(spark):
     docs, total = positioned(spark, [])
     assert next_fit_cuts(docs, 10, total, 0).count() == 0

@@ -132,3 +132,21 @@ def test_short_shards_are_refused(spark):
         train_draws(spark, 42, 1, 1, shard_table(spark, 70, 60), 60, 16)
     with pytest.raises(ValueError, match="too short"):
         val_draws(spark, 42, 1, 1, 16, 16)
+
+
+def test_windows_over_token_files(spark, tmp_path):
+    """Windows span files: the flat files of a stream give the windows of the stream."""
+    from tokenloom.operators.shards import split_fragments
+    from tokenloom.sources.shards import write_token_bins
+    from tokenloom.sources.tokenbin import TokenBinSource
+
+    spark.dataSource.register(TokenBinSource)
+    df, ids = stream(spark, SIZES)
+    write_token_bins(split_fragments(df, 20, 50), f"{tmp_path}/bins", -(-(len(ids) - 20) // 50))
+    reader = spark.read.format("tokenbin").option("rowTokens", 30)
+    files = reader.load(f"{tmp_path}/bins/train_shards")
+    found = sequential_windows(files, RankPlan(len(ids) - 20, 2, 64)).collect()
+    seen = {(r["rank"], r["window"]): r["tokens"] for r in found}
+    for rank in range(2):
+        expected = read_windows(ids[20:], 2, rank, 64, len(seen) // 2)
+        assert [seen[rank, w] for w in range(len(seen) // 2)] == expected

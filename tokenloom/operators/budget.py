@@ -59,13 +59,12 @@ def budget_cutoffs(counted: DataFrame, spec: DataFrame, fanout: int = FANOUT) ->
         "source", "goal", "low", "high", F.lit(0).cast("long").alias("before")
     )
     width = span
-    while width > 1:
+    while True:
         width = -(-width // fanout)
         state = _descend(counted, state, width, sources)
-        if width > 1:
-            state = materialize(state, "descent")
-    if span == 1:
-        state = state.withColumn("rows", F.lit(1).cast("long"))
+        if width == 1:
+            break
+        state = materialize(state, "descent")
     cut = state.select(
         "source",
         F.when(F.col("rows") == 1, F.col("low"))

@@ -58,6 +58,20 @@ def _segments(docs: DataFrame, limit: int, span: int) -> DataFrame:
     )
 
 
+def _segment_span(docs: DataFrame, limit: int, total: int, rows: int) -> int:
+    """Tokens per segment: many shards, but no more than ``SEGMENT_DOCS`` documents in any, also
+    where short documents stand together; at least one shard.
+    """
+    span = max(limit, min(SEGMENT_SHARDS * limit, SEGMENT_DOCS * total // max(rows, 1)))
+    while limit < span < total and rows > SEGMENT_DOCS:
+        counts = docs.groupBy(F.expr(f"start div {span}")).agg(F.count(F.lit(1)).alias("docs"))
+        most = counts.agg(F.max("docs")).first()[0]
+        if most <= SEGMENT_DOCS:
+            break
+        span = max(limit, min(span - 1, span * SEGMENT_DOCS // most))
+    return span
+
+
 def next_fit_cuts(
     docs: DataFrame, limit: int, total: int, rows: int, span: int | None = None
 ) -> DataFrame:
@@ -71,9 +85,7 @@ def next_fit_cuts(
     spark = docs.sparkSession
     if total <= 0:
         return local_table(spark, [], "shard_id long, low long, high long")
-    if span is None:
-        by_docs = SEGMENT_DOCS * total // max(rows, 1)
-        span = max(limit, min(SEGMENT_SHARDS * limit, by_docs))
+    span = span or _segment_span(docs, limit, total, rows)
     count = -(-total // span)
     placed = _segments(docs.select("start", "end"), limit, span)
 

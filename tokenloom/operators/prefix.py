@@ -21,8 +21,7 @@ MAX_GROUP_ROWS = 4_000_000
 
 
 def _exclusive(over: Sequence[str], order: str):
-    window = Window.partitionBy(*over) if over else Window.orderBy(F.lit(1))
-    return window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return Window.partitionBy(*over).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def hashed_prefix_sum(

@@ -34,12 +34,7 @@ from tokenloom.operators.shards import (
 from tokenloom.operators.tokenize import tokenize
 from tokenloom.session import broadcast_if_small, materialize
 from tokenloom.sources.metadata import append_meta, dataset_meta
-from tokenloom.sources.shards import (
-    by_task,
-    read_raw_shards,
-    read_token_shards,
-    write_token_shards,
-)
+from tokenloom.sources.shards import read_raw_shards, read_token_shards, write_token_shards
 
 # Fixed value: the shuffle seed.
 SEED = 42
@@ -216,6 +211,9 @@ def _write_raw(
         (sort_key >= F.col("first"))
         & (F.col("next_first").isNull() | (sort_key < F.col("next_first")))
     )
+    # One task per shard: its rows are sorted once, for the window, and that is also the order in
+    # which they are written.
+    #
     # The stored text is encoded again later, so its own count fixes its place in the stream: a
     # cut inside a character makes it differ from the recorded count, and text cut to nothing
     # has none.
@@ -223,10 +221,11 @@ def _write_raw(
     again = F.when(
         F.col("is_truncated"), F.coalesce(tokenizer.count(cut_text), F.lit(0))
     ).otherwise(F.col("n_tokens"))
-    order = Window.partitionBy("_task", "shard_id").orderBy("key", "source", "seq")
+    order = Window.partitionBy("shard_id").orderBy("key", "source", "seq")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     stored = (
-        by_task(homed.withColumn("n_tokens", again.cast("long")), F.col("shard_id"), shards)
+        homed.withColumn("n_tokens", again.cast("long"))
+        .repartitionById(shards, F.col("shard_id"))
         .select(
             "shard_id",
             (F.row_number().over(order) - 1).cast("long").alias("pos"),

@@ -14,7 +14,7 @@ def shard_tasks(spark: SparkSession, shards: int) -> int:
     return max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def by_task(df: DataFrame, number: Column, shards: int) -> DataFrame:
+def _by_task(df: DataFrame, number: Column, shards: int) -> DataFrame:
     """Neighbouring shards to the same task, every shard whole; adds ``_task``."""
     tasks = shard_tasks(df.sparkSession, shards)
     task = F.floor(number.cast("long") * tasks / F.lit(shards)).cast("int")
@@ -31,7 +31,7 @@ def write_raw_shards(
     """
     if shards == 0:
         return
-    placed = by_task(docs, F.col("shard_id"), shards).drop("_task")
+    placed = _by_task(docs, F.col("shard_id"), shards).drop("_task")
     placed.sortWithinPartitions("shard_id", *order).write.mode("overwrite").partitionBy(
         "shard_id"
     ).parquet(path)
@@ -53,7 +53,7 @@ def token_shard_number() -> Column:
 
 def _token_files(fragments: DataFrame, train_shards: int) -> DataFrame:
     """Fragments placed by file and in stream order."""
-    placed = by_task(fragments.select(*TOKEN_COLUMNS), token_shard_number(), train_shards + 1)
+    placed = _by_task(fragments.select(*TOKEN_COLUMNS), token_shard_number(), train_shards + 1)
     return placed.drop("_task").sortWithinPartitions("split", "shard_id", "start")
 
 
