@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tokenloom.session import broadcast_if_small, local_table, materialize
+from tokenloom.session import broadcast_if_small, local_table, settle
 
 # Histogram bins per source and step.
 FANOUT = 16_384
@@ -53,7 +53,7 @@ def budget_cutoffs(counted: DataFrame, spec: DataFrame, fanout: int = FANOUT) ->
             "goal", F.greatest(F.least("target_tokens", "available_tokens"), F.lit(0).cast("long"))
         )
     )
-    reach = materialize(reach, "reach")
+    reach = settle(reach, "reach", sources)
     span = reach.agg(F.max(F.col("high") - F.col("low") + 1)).first()[0] or 1
     state = reach.filter(F.col("goal") > 0).select(
         "source", "goal", "low", "high", F.lit(0).cast("long").alias("before")
@@ -64,7 +64,7 @@ def budget_cutoffs(counted: DataFrame, spec: DataFrame, fanout: int = FANOUT) ->
         state = _descend(counted, state, width, sources)
         if width == 1:
             break
-        state = materialize(state, "descent")
+        state = settle(state, "descent", sources)
     cut = state.select(
         "source",
         F.when(F.col("rows") == 1, F.col("low"))

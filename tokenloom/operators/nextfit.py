@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tokenloom.operators.lookup import interval_lookup
-from tokenloom.session import broadcast_if_small, local_table, materialize
+from tokenloom.session import broadcast_if_small, local_table, materialize, settle
 
 # Shards per segment, and the number of documents a segment should stay below.
 SEGMENT_SHARDS = 64
@@ -72,6 +72,11 @@ def _segment_span(docs: DataFrame, limit: int, total: int, rows: int) -> int:
     return span
 
 
+def max_shards(limit: int, total: int) -> int:
+    """A bound on the shard count: two neighbours always hold more than the limit together."""
+    return 2 * total // max(limit, 1) + 1
+
+
 def next_fit_cuts(
     docs: DataFrame, limit: int, total: int, rows: int, span: int | None = None
 ) -> DataFrame:
@@ -114,7 +119,7 @@ def next_fit_cuts(
         .groupBy("segment")
         .applyInPandas(cuts, "segment long, ordinal long, low long, high long")
     )
-    listed = materialize(listed, "cuts")
+    listed = settle(listed, "cuts", max_shards(limit, total))
     sizes = listed.groupBy("segment").agg(F.count(F.lit(1)).alias("shards"))
     earlier = Window.orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
@@ -154,8 +159,8 @@ def _visited(placed: DataFrame, limit: int, total: int, span: int, count: int) -
         reached = hop.join(broadcast_if_small(seen, count), "entry").select(
             F.col("leave").alias("entry")
         )
-        seen = materialize(
-            seen.unionByName(reached).filter(F.col("entry") < total).distinct(), "seen"
+        seen = settle(
+            seen.unionByName(reached).filter(F.col("entry") < total).distinct(), "seen", count
         )
     return seen.select(F.expr(f"entry div {span}").alias("segment"), "entry")
 

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tokenloom.session import broadcast_if_small, default_buckets, materialize
 from tokenloom.functions.keys import key_bucket
+from tokenloom.session import LOCAL_ROWS, broadcast_if_small, default_buckets, materialize
 
 # Groups with more rows than this are cut into bins before they are windowed.
 MAX_GROUP_ROWS = 4_000_000
@@ -93,16 +93,18 @@ def order_bins(
         )
         pieces = 4 * F.ceil(F.col("_rows") / F.lit(max_rows))
         width = F.ceil((F.col("_high") - F.col("_low") + 1) / pieces).cast("long")
-        crowded = materialize(
-            crowded.select(
-                *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)],
-                F.col(bin_column).alias("_at"),
-                "_low",
-                F.greatest(width, F.lit(1)).alias("_width"),
-            ),
-            f"bins{level}",
+        crowded = crowded.select(
+            *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)],
+            F.col(bin_column).alias("_at"),
+            "_low",
+            F.greatest(width, F.lit(1)).alias("_width"),
         )
-        found = crowded.count()
+        head = crowded.limit(LOCAL_ROWS + 1).toArrow()
+        if head.num_rows <= LOCAL_ROWS:
+            crowded = df.sparkSession.createDataFrame(head, crowded.schema)
+        else:
+            crowded = materialize(crowded, f"bins{level}")
+        found = head.num_rows if head.num_rows <= LOCAL_ROWS else crowded.count()
         if found == 0:
             return binned, cuts
         cuts += found

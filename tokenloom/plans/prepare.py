@@ -22,7 +22,7 @@ from tokenloom.operators.budget import (
 )
 from tokenloom.operators.clean import MAX_TOKEN_COUNT, skip_reason
 from tokenloom.operators.lookup import interval_lookup
-from tokenloom.operators.nextfit import assign_shards, next_fit_cuts
+from tokenloom.operators.nextfit import assign_shards, max_shards, next_fit_cuts
 from tokenloom.operators.order import stream_positions, with_shuffle_key
 from tokenloom.operators.shards import (
     RAW_SHARD,
@@ -32,7 +32,7 @@ from tokenloom.operators.shards import (
     split_fragments,
 )
 from tokenloom.operators.tokenize import tokenize
-from tokenloom.session import broadcast_if_small, materialize
+from tokenloom.session import broadcast_if_small, materialize, settle
 from tokenloom.sources.metadata import append_meta, dataset_meta
 from tokenloom.sources.shards import read_raw_shards, read_token_shards, write_token_shards
 
@@ -137,7 +137,7 @@ def prepare(
 
     counts = count_documents(docs, spec, tokenizer, max_tokens, first_span)
     kept_counts = counts.filter("reason = 'kept'").drop("reason")
-    cutoffs = materialize(budget_cutoffs(kept_counts, spec), "cutoffs")
+    cutoffs = settle(budget_cutoffs(kept_counts, spec), "cutoffs", sources)
     selected = budget_select(kept_counts, cutoffs, sources)
 
     keyed = with_shuffle_key(selected, seed).drop("n_tokens", "is_truncated")
@@ -145,7 +145,8 @@ def prepare(
     total, rows = placed.agg(F.max("end"), F.count(F.lit(1))).first()
     if not rows:
         raise ValueError("no documents inside the budgets")
-    cuts = materialize(next_fit_cuts(placed, raw_limit, total, rows), "shards")
+    bound = max_shards(raw_limit, total)
+    cuts = settle(next_fit_cuts(placed, raw_limit, total, rows), "shards", bound)
     raw_shards = cuts.count()
 
     _write_raw(docs, cutoffs, sources, tokenizer, placed, cuts, raw_limit, raw_shards, seed,
@@ -196,7 +197,7 @@ def _write_raw(
     )
     texts = truncate_text(budget_select(chosen, cutoffs, sources), tokenizer)
     keyed = with_shuffle_key(texts, seed).withColumn("_number", _key_number())
-    bounds = materialize(shard_key_bounds(placed, cuts, limit, shards), "bounds")
+    bounds = settle(shard_key_bounds(placed, cuts, limit, shards), "bounds", shards)
     sort_key = F.struct("key", "source", "seq")
     homed = interval_lookup(
         keyed,

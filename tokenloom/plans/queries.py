@@ -20,7 +20,7 @@ from tokenloom.operators.lookup import interval_lookup
 from tokenloom.operators.tokenize import tokenize
 from tokenloom.plans import fixtures as fx
 from tokenloom.plans.prepare import prepare, raw_stream
-from tokenloom.session import materialize, ship_package, stage_path
+from tokenloom.session import materialize, settle, ship_package, stage_path
 from tokenloom.sources.corpus import scan_corpus
 from tokenloom.sources.metadata import dataset_meta, pass_columns, read_meta
 from tokenloom.sources.shards import (
@@ -257,7 +257,8 @@ def stream_positions(spark, sf_dir):
 def _packed(spark, sf_dir):
     placed = materialize(fx.positioned(spark, sf_dir, text=False), "positions")
     total, rows = placed.agg(F.max("end"), F.count(F.lit(1))).first()
-    cuts = materialize(nextfit.next_fit_cuts(placed, fx.SHARD_TOKENS, total, rows), "shards")
+    bound = nextfit.max_shards(fx.SHARD_TOKENS, total)
+    cuts = settle(nextfit.next_fit_cuts(placed, fx.SHARD_TOKENS, total, rows), "shards", bound)
     found = cuts.count()
     return nextfit.assign_shards(placed, cuts, fx.SHARD_TOKENS, found), found
 

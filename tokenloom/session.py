@@ -17,6 +17,9 @@ from pyspark.sql.types import StructType
 # A side is broadcast only when its row count is known to be below this.
 BROADCAST_ROWS = 1_000_000
 
+# Tables with a known bound up to this many rows may pass through the driver.
+LOCAL_ROWS = 10_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
@@ -81,6 +84,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settle(df: DataFrame, name: str, rows: int) -> DataFrame:
+    """Cut the lineage of a table of at most ``rows`` rows: literal rows of the plan when that bound
+    is low (one row per source, segment or shard of an ordinary job), a stage table otherwise.
+    """
+    if rows > LOCAL_ROWS:
+        return materialize(df, name)
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
+
+
 def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast when ``rows``, the caller's known bound, allows it; else let Spark shuffle."""
     return F.broadcast(df) if rows <= limit else df

@@ -17,7 +17,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from tokenloom.operators.budget import budget_cutoffs, budget_select, truncate_text
 from tokenloom.operators.clean import MAX_TOKEN_COUNT, kept_documents, to_documents
-from tokenloom.session import materialize
+from tokenloom.session import materialize, settle
 
 LEDGER_SCHEMA = "source string, written_tokens long, batch_id long"
 
@@ -63,15 +63,17 @@ def budgeted_ingest(
 def _take_budget(
     spec: DataFrame, tokenizer, out: str, max_tokens: int
 ) -> Callable[[DataFrame, int], None]:
+    sources = spec.count()
+
     def take(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        remaining = _remaining(spark, spec, out, batch_id)
+        remaining = _remaining(spark, spec, out, batch_id, sources)
         if remaining.filter("target_tokens > 0").isEmpty():
             return
         counted = kept_documents(batch, tokenizer.count(F.col("text")), max_tokens)
         counts = materialize(counted.select("source", "seq", "n_tokens"), "batch-counts")
-        cutoffs = materialize(budget_cutoffs(counts, remaining), "batch-cutoffs")
-        kept = truncate_text(budget_select(counted, cutoffs), tokenizer)
+        cutoffs = settle(budget_cutoffs(counts, remaining), "batch-cutoffs", sources)
+        kept = truncate_text(budget_select(counted, cutoffs, sources), tokenizer)
         kept.write.mode("overwrite").parquet(f"{out}/docs/batch_id={batch_id}")
         cutoffs.select("source", "written_tokens").coalesce(1).write.mode("overwrite").parquet(
             f"{out}/ledger/batch_id={batch_id}"
@@ -80,7 +82,7 @@ def _take_budget(
     return take
 
 
-def _remaining(spark: SparkSession, spec: DataFrame, out: str, batch_id: int) -> DataFrame:
+def _remaining(spark: SparkSession, spec: DataFrame, out: str, batch_id: int, sources: int) -> DataFrame:
     """The mixture less what earlier batches wrote."""
     written = (
         spark.read.schema(LEDGER_SCHEMA)
@@ -94,7 +96,7 @@ def _remaining(spark: SparkSession, spec: DataFrame, out: str, batch_id: int) ->
     remaining = spec.join(written, "source", "left").select(
         "source", left.alias("target_tokens")
     )
-    return materialize(remaining, "remaining")
+    return settle(remaining, "remaining", sources)
 
 
 def read_ingested(spark: SparkSession, out: str) -> DataFrame:
