@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Default holdout, token shard size and raw shard size, in tokens.
@@ -23,39 +23,52 @@ def split_fragments(
 
     Gives ``split, shard_id, start, end`` (positions within the split) and, when ``tokens`` names
     the id column, the fragment's ids; other columns pass through. The head of the stream is
-    ``val``, the rest ``train`` in shards of exactly ``shard_tokens``, the last one shorter. The
-    cut is made inside the row, so no row ever carries a copy of its whole id array.
+    ``val``, the rest ``train`` in shards of exactly ``shard_tokens``, the last one shorter.
+
+    Only ranges are exploded; the ids are sliced in the projection above, inside the same
+    generated code, so no row carries a copy of its whole id array.
     """
     if shard_tokens <= 0:
         raise ValueError("the shard size must be positive")
     edge = max(0, int(val_tokens))
     passed = [c for c in docs.columns if c not in ("start", "end", tokens)]
-    # Ranges of the whole stream first: at most one for val, one per train shard met.
+    # At most one range for val, and one per train shard met.
     ranges = F.expr(f"""
         concat(
           if(start < {edge},
              array(named_struct('split', 'val', 'shard_id', 0L,
-                                'lo', start, 'hi', least(end, {edge}L))),
+                                '_lo', start, '_hi', least(end, {edge}L))),
              array()),
           if(end > {edge},
              transform(
                sequence((greatest(start, {edge}L) - {edge}) div {shard_tokens},
                         (end - 1 - {edge}) div {shard_tokens}),
                k -> named_struct('split', 'train', 'shard_id', k,
-                                 'lo', greatest(start, {edge} + k * {shard_tokens}),
-                                 'hi', least(end, {edge} + (k + 1) * {shard_tokens}))),
+                                 '_lo', greatest(start, {edge} + k * {shard_tokens}),
+                                 '_hi', least(end, {edge} + (k + 1) * {shard_tokens}))),
              array()))
     """)
-    shift = f"if(r.split = 'val', 0L, {edge}L)"
-    built = f"'split', r.split, 'shard_id', r.shard_id, 'start', r.lo - {shift}, 'end', r.hi - {shift}"
+    held = ["start", "end", tokens] if tokens else ["start", "end"]
+    cut = docs.filter("end > start").select(*passed, *held, F.inline_outer(ranges))
+    shift = F.when(F.col("split") == "val", F.lit(0)).otherwise(F.lit(edge))
+    columns = [
+        *passed,
+        "split",
+        "shard_id",
+        (F.col("_lo") - shift).alias("start"),
+        (F.col("_hi") - shift).alias("end"),
+    ]
     if tokens:
-        built += (
-            f", 'tokens', slice(`{tokens}`, cast(r.lo - start + 1 as int),"
-            " cast(r.hi - r.lo as int))"
-        )
-    cut = docs.filter("end > start").withColumn("_ranges", ranges)
-    return cut.select(
-        *passed, F.inline_outer(F.expr(f"transform(_ranges, r -> named_struct({built}))"))
+        columns.append(slice_ids(tokens, "_lo", "_hi").alias("tokens"))
+    return cut.select(*columns)
+
+
+def slice_ids(tokens: str, low: str, high: str, start: str = "start") -> Column:
+    """Ids at stream positions ``[low, high)`` of an id array that begins at ``start``."""
+    return F.slice(
+        tokens,
+        (F.col(low) - F.col(start) + 1).cast("int"),
+        (F.col(high) - F.col(low)).cast("int"),
     )
 
 

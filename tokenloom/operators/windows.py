@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions.keys import keyed_draw
 from tokenloom.operators.lookup import interval_lookup
+from tokenloom.operators.shards import slice_ids
 from tokenloom.session import BROADCAST_ROWS, broadcast_if_small
 
 
@@ -62,24 +63,26 @@ def _window_pieces(stream: DataFrame, plan: RankPlan) -> DataFrame:
     ranks = f"sequence(start div {per}, least((end - 1) div {per}, {plan.world - 1}L))"
     first_window = f"(greatest(start - r * {per}, 1L) - 1) div {block}"
     last_window = f"least((end - r * {per} - 1) div {block}, {last}L)"
-    low = f"greatest(start, r * {per} + w * {block})"
-    high = f"least(end, r * {per} + w * {block} + {block + 1})"
-    pieces = F.expr(f"""
+    ranges = F.expr(f"""
         flatten(transform({ranks}, r ->
           if({first_window} <= {last_window},
              transform(sequence({first_window}, {last_window}), w ->
-               named_struct('rank', r, 'window', w, 'lo', {low},
-                            'piece', slice(tokens, cast({low} - start + 1 as int),
-                                           cast({high} - {low} as int)))),
+               named_struct('rank', r, 'window', w,
+                            'lo', greatest(start, r * {per} + w * {block}),
+                            '_hi', least(end, r * {per} + w * {block} + {block + 1}))),
              array())))
     """)
     inside = stream.filter(f"end > start and start < {used}").select("start", "end", "tokens")
-    return inside.select(F.inline_outer(pieces)).filter("size(piece) > 0")
+    # Ranges are exploded and ids sliced above them in the same generated code: see
+    # ``split_fragments``.
+    return inside.select("start", "tokens", F.inline_outer(ranges)).filter("_hi > lo").select(
+        "rank", "window", "lo", slice_ids("tokens", "lo", "_hi").alias("piece")
+    )
 
 
 def _joined() -> Column:
     """Ids of the grouped pieces, in stream order."""
-    parts = F.array_sort(F.collect_list(F.struct("lo", "piece")))
+    parts = F.sort_array(F.collect_list(F.struct("lo", "piece")))
     return F.flatten(F.transform(parts, lambda part: part["piece"]))
 
 
@@ -159,7 +162,7 @@ def assemble_batches(
 
 def _stack(windows: DataFrame, batch_key: list[str], block: int) -> DataFrame:
     """Windows of a batch side by side, in slot order, ids widened to 64 bits."""
-    slots = F.array_sort(F.collect_list(F.struct("slot", "tokens")))
+    slots = F.sort_array(F.collect_list(F.struct("slot", "tokens")))
     stacked = windows.groupBy(*batch_key).agg(slots.alias("_slots"))
     wide = F.col("_slots")
     return stacked.select(
@@ -258,13 +261,13 @@ def windows_at(stream: DataFrame, draws: DataFrame, block: int, rows: int) -> Da
     cells = F.expr(f"""
         transform(sequence(start div {width}, (end - 1) div {width}), c ->
           named_struct('_cell', c, 'lo', greatest(start, c * {width}),
-            'part', slice(tokens, cast(greatest(start, c * {width}) - start + 1 as int),
-              cast(least(end, (c + 1) * {width}) - greatest(start, c * {width}) as int))))
+                       '_hi', least(end, (c + 1) * {width})))
     """)
-    pieces = stream.filter("end > start").select(F.inline_outer(cells))
+    pieces = stream.filter("end > start").select("start", "tokens", F.inline_outer(cells))
+    pieces = pieces.select("_cell", "lo", "_hi", slice_ids("tokens", "lo", "_hi").alias("part"))
     met = pieces.join(broadcast_if_small(wanted, 2 * rows, BROADCAST_ROWS), "_cell")
     low = F.greatest("lo", "_from")
-    high = F.least(F.col("lo") + F.size("part"), F.col("_from") + width)
+    high = F.least(F.col("_hi"), F.col("_from") + width)
     cut = met.filter(high > low).select(
         "_draw",
         low.alias("lo"),

@@ -89,14 +89,13 @@ def coerce_text(spark, sf_dir):
 
 @query
 def encoding_repair(spark, sf_dir):
-    """Every text cut in the middle of its bytes, which splits a character in some of them."""
-    docs = fx.documents(spark, sf_dir)
+    """Whole texts as bytes, those of all languages but one between two broken characters."""
+    docs = fx.table(spark, sf_dir, "documents")
     raw = F.encode("text", "UTF-8")
-    cut = docs.select(
-        "seq", F.substring(raw, F.lit(1), F.expr("cast(octet_length(text) div 2 as int)")).alias("b")
-    )
-    return cut.select(
-        "seq",
+    broken = F.concat(F.unhex(F.lit("C3")), raw, F.unhex(F.lit("E282")))
+    stored = docs.select("doc_id", F.when(F.col("lang") == "en", raw).otherwise(broken).alias("b"))
+    return stored.select(
+        F.col("doc_id").alias("seq"),
         is_malformed_utf8(F.col("b")).alias("malformed"),
         F.md5(repair_utf8(F.col("b"))).alias("repaired_md5"),
     )
