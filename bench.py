@@ -30,6 +30,7 @@ HEADLINE = [
     "raw_shard_rescan",
     "fixed_token_shards",
     "token_shard_rescan",
+    "prepared_shards",
     "sequential_windows",
     "batch_assembly",
     "random_train_windows",

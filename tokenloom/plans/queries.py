@@ -227,7 +227,7 @@ def mix_share(spark, sf_dir):
 
 @query
 def shuffle_order(spark, sf_dir):
-    """The order itself, shown as each document's successor in it."""
+    """Documents in shuffled order, with their keys."""
     docs = fx.documents(spark, sf_dir).select("source", "seq")
     shuffled = order.global_shuffle(docs, fx.SEED)
     return shuffled.select("key", "source", "seq")
