@@ -3,7 +3,6 @@ import random
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from models import pack
 from tokenloom.operators.nextfit import assign_shards, next_fit_cuts, shards_by_quotient

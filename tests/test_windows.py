@@ -1,7 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from models import read_windows
 from tokenloom.operators.shards import shard_table

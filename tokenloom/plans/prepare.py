@@ -68,7 +68,7 @@ def count_documents(
     With ``first_span`` only documents with ``seq`` below it are counted at first, and the range
     is widened eightfold until every source meets its target or is read to its end: a small
     budget over a large lake reads the head of each source. The filter on ``seq`` reaches the scan
-    when ``seq`` is a stored column.
+    when ``seq`` is a stored column. The report's ``available_tokens`` are then those counted.
     """
     sources = spec.count()
     wanted = docs.join(broadcast_if_small(spec.select("source"), sources), "source", "left_semi")

@@ -135,7 +135,9 @@ def token_counts(spark, sf_dir):
 @query
 def tokenize_digest(spark, sf_dir):
     docs = tokenize(fx.documents(spark, sf_dir), fx.TOKENIZER)
-    return docs.select("seq", F.size("tokens").alias("n_tokens"), digest(F.col("tokens")).alias("ids_md5"))
+    return docs.select(
+        "seq", F.size("tokens").alias("n_tokens"), digest(F.col("tokens")).alias("ids_md5")
+    )
 
 
 @query
@@ -437,7 +439,8 @@ def position_lookup(spark, sf_dir):
         -(-total // fx.SHARD_TOKENS),
         ["shard_id", "base"],
     )
-    return found.select("pos", "start", "shard_id", (F.col("start") - F.col("base")).alias("offset"))
+    offset = F.col("start") - F.col("base")
+    return found.select("pos", "start", "shard_id", offset.alias("offset"))
 
 
 @query
@@ -492,12 +495,16 @@ def random_train_windows(spark, sf_dir):
     draws = windows.train_draws(
         spark, fx.SEED, steps, fx.BATCH, table, fx.SHARD_TOKENS, fx.BLOCK
     )
-    stream = fragments.filter("split = 'train'").select(
-        (F.col("start")).alias("start"), "end", "tokens"
-    )
+    stream = fragments.filter("split = 'train'").select("start", "end", "tokens")
     found = windows.windows_at(stream, draws, fx.BLOCK, steps * fx.BATCH)
     return found.select(
-        "step", "slot", "drawn", "shard_id", "start", "clamped", digest(F.col("tokens")).alias("ids_md5")
+        "step",
+        "slot",
+        "drawn",
+        "shard_id",
+        "start",
+        "clamped",
+        digest(F.col("tokens")).alias("ids_md5"),
     )
 
 
@@ -555,7 +562,8 @@ def schedule_check(spark, sf_dir):
 
 @query
 def topk_draw(spark, sf_dir):
-    scores = fx.table(spark, sf_dir, "events").select("user_id", "event_id", F.col("value").alias("score"))
+    events = fx.table(spark, sf_dir, "events")
+    scores = events.select("user_id", "event_id", F.col("value").alias("score"))
     uniform = keyed_uniform(F.lit(str(fx.SEED)), F.col("user_id"))
     drawn = runlog.topk_draw(scores, "user_id", "event_id", 5, 10.0, uniform)
     return drawn.withColumn("probability", F.round("probability", 9))

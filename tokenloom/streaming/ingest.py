@@ -82,7 +82,9 @@ def _take_budget(
     return take
 
 
-def _remaining(spark: SparkSession, spec: DataFrame, out: str, batch_id: int, sources: int) -> DataFrame:
+def _remaining(
+    spark: SparkSession, spec: DataFrame, out: str, batch_id: int, sources: int
+) -> DataFrame:
     """The mixture less what earlier batches wrote."""
     written = (
         spark.read.schema(LEDGER_SCHEMA)
