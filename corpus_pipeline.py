@@ -9,11 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tokenloom.llm import pieces
 from tokenloom.llm.decontamination import drop_leaks
+from tokenloom.llm.jaccard_join import keep_one
 from tokenloom.llm.language_id import keep_identified
-from tokenloom.session import stage_path
+from tokenloom.llm.substring_dedup import keep_unrepeated
+from tokenloom.session import ship_package, stage_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,15 +26,40 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_identified(docs)
 
 
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near copies."""
+    return keep_one(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut strings of fifty bytes that an earlier document holds; documents stay, if emptied."""
+    return keep_unrepeated(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark passage."""
     return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every text."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    ship_package(spark)
+    return docs.select(
+        "doc_id",
+        "source",
+        "lang",
+        pieces.encode(F.col("text"), path).alias("ids"),
+    ).withColumn("n_tokens", F.size("ids").cast("long"))
+
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 STAGES: list[tuple[str, Stage]] = [
     ("language_id", language_id),
+    ("jaccard_join", jaccard_join),
+    ("substring_dedup", substring_dedup),
     ("decontamination", decontamination),
+    ("piece_encoding", piece_encoding),
 ]
 
 # Language ID is a fitted model and SentencePiece a library's file: no SQL gives these rows.

@@ -2,4 +2,149 @@
 
 from __future__ import annotations
 
-ORACLE_SQL: dict[str, str] = {}
+from tokenloom.llm.sharding import MULTIPLY_A, MULTIPLY_B, PRIME, round_keys
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+TOP_K = """
+with v as (
+    select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v
+    from embeddings
+    where vec_id is not null and embedding is not null
+      and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+    select q.vec_id as query_id, c.vec_id as vec_id,
+        coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])), 0)::bigint
+            as score
+    from v q join v c on q.vec_id <> c.vec_id
+    where q.vec_id % 100 = 0
+), ranked as (
+    select *, row_number() over (partition by query_id order by score desc, vec_id) as r
+    from scored
+)
+select query_id, r::integer as rank, vec_id, score from ranked where r <= 10
+"""
+
+JACCARD_JOIN = f"""
+with recursive words as (
+    select doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\\x20\\x09-\\x0D]+') as w
+    from documents
+), sets as materialized (
+    select doc_id, case
+        when len(w) >= 5 then list_distinct(list_transform(
+            range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')))
+        when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s
+    from words
+), tokens as materialized (
+    select doc_id, len(s) as n, unnest(s) as token from sets
+), links as materialized (
+    select a.doc_id as a, b.doc_id as b
+    from tokens a join tokens b on a.token = b.token and a.doc_id <> b.doc_id
+    group by a.doc_id, b.doc_id, a.n, b.n
+    having 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach as (
+    select doc_id as node, doc_id as found from documents
+    union
+    select r.node, l.b from reach r join links l on r.found = l.a
+)
+select s.doc_id, len(s.s)::bigint as n_shingles, min(r.found) as component_id
+from sets s join reach r on s.doc_id = r.node
+group by s.doc_id, len(s.s)
+"""
+
+SUBSTRING_DEDUP = """
+with bytes as materialized (
+    select doc_id, hex(encode(coalesce(text, ''))) as h,
+        (length(hex(encode(coalesce(text, '')))) // 2)::bigint as n
+    from documents
+), windows as (
+    select doc_id, unnest(range(0, n - 49)) as pos, h from bytes where n >= 50
+), strings as materialized (
+    select doc_id, pos, substring(h, 2 * pos + 1, 100) as string from windows
+), firsts as (
+    select string, min(doc_id) as first from strings
+    group by string having min(doc_id) < max(doc_id)
+), starts as (
+    select doc_id, pos, coalesce(pos > lag(pos) over w + 50, true) as fresh
+    from strings join firsts using (string) where first < doc_id
+    window w as (partition by doc_id order by pos)
+), runs as (
+    select doc_id, min(pos) as low, max(pos) + 50 as high from (
+        select doc_id, pos, sum(fresh::int) over (partition by doc_id order by pos) as run from starts
+    ) group by doc_id, run
+), gaps as (
+    select doc_id, low, high,
+        coalesce(lag(high) over (partition by doc_id order by low), 0) as before
+    from runs
+), kept as (
+    select g.doc_id, sum(high - low)::bigint as n_removed, count(*) as n_spans,
+        string_agg(substring(b.h, (2 * before + 1)::bigint, (2 * (low - before))::bigint), ''
+            order by low)
+            || substring(any_value(b.h), (2 * max(high) + 1)::bigint) as h
+    from gaps g join bytes b using (doc_id) group by g.doc_id
+)
+select b.doc_id, b.n as n_bytes, coalesce(k.n_removed, 0) as n_removed,
+    coalesce(k.n_spans, 0) as n_spans, sha256(unhex(coalesce(k.h, b.h))) as kept_sha256
+from bytes b left join kept k using (doc_id)
+"""
+
+
+def _permuted(rows: str, number: str) -> str:
+    """``number`` of every row of ``rows`` through the Feistel rounds, as ``place``."""
+    sql = f"select *, {number} // c as l, {number} % c as r from ({rows}), sides"
+    for index, (first, second, _) in enumerate(round_keys(42, 1)):
+        side = "a" if index % 2 == 0 else "c"
+        hashed = f"(((r * {MULTIPLY_A} + {first}) % {PRIME}) * {MULTIPLY_B} + {second})"
+        sql = (
+            f"select * exclude (l, r), r as l, (l + ({hashed} >> 16)) % {side} as r from ({sql})"
+        )
+    return f"select * exclude (l, r, a, c, n), (l * c + r) as place from ({sql})"
+
+
+def _sharding(walks: int = 24) -> str:
+    """Rows whose place lies outside are permuted again, as often as any row of a small table
+    could need; the places are gapless or the rows would be too few.
+    """
+    crc = "range(0, 256)"
+    for _ in range(8):
+        crc = (
+            f"list_transform({crc}, "
+            "lambda c: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)"
+        )
+    numbered = "select doc_id, row_number() over (order by doc_id) - 1 as x from documents"
+    steps = [f"walk0 as materialized (select doc_id, place from ({_permuted(numbered, 'x')}))"]
+    for step in range(1, walks):
+        outside = f"select doc_id, place as x from walk{step - 1}, sides where place >= n"
+        steps.append(
+            f"walk{step} as materialized (select doc_id, place from ({_permuted(outside, 'x')}))"
+        )
+    inside = " union all ".join(
+        f"select doc_id, place from walk{step}, sides where place < n" for step in range(walks)
+    )
+    return f"""
+with n as (select count(*) as n from documents), half as (
+    select n, greatest(1, ceil(sqrt(n))::bigint) as a from n
+), sides as (
+    select a, ((n + a - 1) // a)::bigint as c, n from half
+), {", ".join(steps)}, placed as ({inside}), crc as (select {crc} as t), texts as (
+    select doc_id, hex(encode(coalesce(text, ''))) as h from documents
+), digests as (
+    select doc_id, length(h) // 2 + 1 as size, xor(4294967295, list_reduce(list_prepend(
+        4294967295::bigint,
+        list_transform(range(0, length(h) // 2), lambda i: ('0x' || substring(h, 2 * i + 1, 2))::bigint)),
+        lambda x, b: xor(x >> 8, t[(xor(x, b) & 255) + 1]))) as text_crc32
+    from texts, crc
+)
+select d.doc_id, d.size::bigint as size, d.text_crc32::bigint as text_crc32, 'rows' as law,
+    (p.place % 8)::integer as shard, (p.place // 8)::bigint as slot, null::integer as grown_shard
+from digests d join placed p using (doc_id)
+"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_top_k": TOP_K,
+    "op4_jaccard_join": JACCARD_JOIN,
+    "op5_substring_dedup": SUBSTRING_DEDUP,
+    "op6_sharding": _sharding(),
+}
