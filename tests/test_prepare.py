@@ -8,7 +8,7 @@ from models import byte_ids, pack, shuffle, take_budget
 from tokenloom.functions.tokenizers import Utf8ByteTokenizer
 from tokenloom.operators.budget import mixture
 from tokenloom.operators.shards import holdout_size
-from tokenloom.plans.prepare import count_documents, prepare
+from tokenloom.plans.prepare import prepare
 from tokenloom.sources.metadata import read_meta
 from tokenloom.sources.shards import read_token_shards
 
@@ -37,15 +37,14 @@ def expected(docs, seed, raw_limit):
     return ordered, shards, stream
 
 
-@pytest.mark.parametrize("first_span", [None, 40])
-def test_the_whole_job(spark, out, first_span):
+def test_the_whole_job(spark, out):
     docs = corpus()
     rows = [(s, q, t) for s, items in docs.items() for q, t in items]
     df = spark.createDataFrame(rows, "source string, seq long, text string").repartition(5)
     df.write.parquet(f"{out}/in")
     done = prepare(
         spark.read.parquet(f"{out}/in"), mixture(spark, TARGETS), Utf8ByteTokenizer(), out,
-        raw_limit=400, token_limit=500, val_cap=163, first_span=first_span,
+        raw_limit=400, token_limit=500, val_cap=163,
     )
     ordered, shards, stream = expected(docs, 42, 400)
 
@@ -76,13 +75,6 @@ def test_the_whole_job(spark, out, first_span):
     assert skipped["A", "empty"] == sum(1 for t in read if not t)
 
 
-def test_a_small_budget_counts_only_the_head(spark, out):
-    df = spark.range(10_000).select(
-        F.lit("A").alias("source"), F.col("id").alias("seq"), F.lit("abc").alias("text"))
-    counts = count_documents(df, mixture(spark, {"A": 400}), Utf8ByteTokenizer(), first_span=20)
-    assert counts.count() == 160
-
-
 def test_nothing_to_take_is_an_error(spark, out):
     df = spark.createDataFrame([("A", 1, "")], "source string, seq long, text string")
     with pytest.raises(ValueError, match="no documents"):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tokenloom.functions.tokenizers import Utf8ByteTokenizer
 from tokenloom.operators.shards import split_fragments
 from tokenloom.sources.corpus import scan_corpus
-from tokenloom.sources.metadata import append_meta, dataset_meta, pass_columns, read_meta
+from tokenloom.sources.metadata import dataset_meta, pass_columns, put_meta, read_meta
 from tokenloom.sources.shards import (
     read_raw_shards,
     read_token_shards,
@@ -143,8 +143,8 @@ def test_token_shards_prune_by_split(spark, out):
 def test_metadata_rows(spark, out):
     cut, ids = fragments(spark, [30, 250, 700], 70, 100)
     meta = dataset_meta(cut, Utf8ByteTokenizer(), 100)
-    append_meta(meta, f"{out}/meta", "v1")
-    append_meta(meta.withColumn("vocab_size", F.lit(None).cast("long")), f"{out}/meta", "v2")
+    put_meta(meta, f"{out}/meta", "v1")
+    put_meta(meta.withColumn("vocab_size", F.lit(None).cast("long")), f"{out}/meta", "v2")
     rows = {r["version"]: r.asDict() for r in read_meta(spark, f"{out}/meta").collect()}
     assert rows["v2"]["vocab_size"] == 50_257
     assert {k: rows["v1"][k] for k in ("train_tokens", "val_tokens", "num_train_shards",

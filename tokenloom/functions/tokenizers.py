@@ -14,6 +14,7 @@ from typing import Any
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,7 +48,12 @@ def _id_bytes(lists: pa.Array, separator: int) -> pa.Array:
     lists = lists.cast(pa.large_list(pa.int32()))
     counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     ids = lists.flatten().to_numpy(zero_copy_only=False)
-    body = ids != separator
+    # Only a leading separator goes; any other id that is no byte is a fault of the ids.
+    body = np.ones(len(ids), bool)
+    firsts = (np.cumsum(counts) - counts)[counts > 0].astype(np.int64)
+    body[firsts] = ids[firsts] != separator
+    if len(ids) and (((ids < 0) | (ids > 255)) & body).any():
+        raise ValueError("ids outside 0..255 after the leading separator")
     kept_before = np.concatenate([[0], np.cumsum(body)])
     edges = kept_before[np.concatenate([[0], np.cumsum(counts)])]
     data = ids[body].astype(np.uint8)
@@ -96,22 +102,24 @@ class Utf8ByteTokenizer:
         return repair_utf8(F.substring(F.encode(text, "UTF-8"), F.lit(1), body))
 
 
-# Encoders built by loaders, one per Python worker and loader.
-_WORKER_ENCODERS: dict[str, Any] = {}
+# Encoders built by loaders, one per Python worker, name and loader.
+_WORKER_ENCODERS: dict[tuple[str, bytes], Any] = {}
 
 
 def _encoder(name: str, loader: Callable[[], Any]) -> Any:
-    if name not in _WORKER_ENCODERS:
-        _WORKER_ENCODERS[name] = loader()
-    return _WORKER_ENCODERS[name]
+    key = (name, cloudpickle.dumps(loader))
+    if key not in _WORKER_ENCODERS:
+        _WORKER_ENCODERS[key] = loader()
+    return _WORKER_ENCODERS[key]
 
 
 @dataclass(frozen=True)
 class ExternalTokenizer:
-    """An encoder made by ``loader()`` on the worker.
+    """An encoder made by ``loader()`` on the worker; a loader that fails fails the task.
 
-    ``name`` identifies the encoder in a worker, so two loaders must not share one. A document
-    the encoder refuses gets null ids and a null count; the skip report counts it.
+    ``method`` names the encoder's function; by default it is ``encode_ordinary`` where there is
+    one, which takes the literals of special tokens for text, else ``encode``. A document the
+    encoder refuses gets null ids and a null count; the skip report counts it.
     """
 
     name: str
@@ -119,13 +127,19 @@ class ExternalTokenizer:
     vocab_size: int
     separator_id: int
     add_separator: bool = True
+    method: str | None = None
 
-    def _ids(self, text: str | None) -> list[int] | None:
+    def _batch(self, texts: pd.Series) -> list[list[int] | None]:
+        encoder = _encoder(self.name, self.loader)
+        encode = getattr(encoder, self.method or "encode_ordinary", None) or encoder.encode
+        return [self._ids(encode, text) for text in texts]
+
+    def _ids(self, encode: Callable[[str], Any], text: str | None) -> list[int] | None:
         if text is None:
             return None
         try:
-            ids = _encoder(self.name, self.loader).encode(text)
-        except Exception:
+            ids = encode(text)
+        except Exception:  # a text that the library refuses is counted, not hidden
             return None
         ids = list(getattr(ids, "ids", ids))
         return [self.separator_id, *ids] if self.add_separator else ids
@@ -133,7 +147,7 @@ class ExternalTokenizer:
     def count(self, text: Column) -> Column:
         @F.pandas_udf("long")
         def id_count(texts: pd.Series) -> pd.Series:
-            sizes = [None if ids is None else len(ids) for ids in map(self._ids, texts)]
+            sizes = [None if ids is None else len(ids) for ids in self._batch(texts)]
             return pd.Series(sizes, dtype="Int64")
 
         return id_count(text)
@@ -141,26 +155,27 @@ class ExternalTokenizer:
     def encode(self, text: Column) -> Column:
         @F.pandas_udf("array<int>")
         def ids_of(texts: pd.Series) -> pd.Series:
-            return texts.map(self._ids)
+            return pd.Series(self._batch(texts), dtype=object)
 
         return ids_of(text)
 
     def decode(self, ids: Column) -> Column:
         @F.pandas_udf("string")
         def text_of(batch: pd.Series) -> pd.Series:
-            return batch.map(self._text)
+            encoder = _encoder(self.name, self.loader)
+            return pd.Series([self._text(encoder, one) for one in batch], dtype=object)
 
         return text_of(ids)
 
-    def _text(self, ids: Any) -> str:
+    def _text(self, encoder: Any, ids: Any) -> str:
         ids = [] if ids is None else [int(i) for i in ids]
         if self.add_separator and ids and ids[0] == self.separator_id:
             ids = ids[1:]
         if not ids:
             return ""
         try:
-            return _encoder(self.name, self.loader).decode(ids)
-        except Exception:
+            return encoder.decode(ids)
+        except Exception:  # ids that the library refuses have no text
             return ""
 
     def cut(self, text: Column, keep: Column) -> Column:

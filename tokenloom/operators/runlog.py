@@ -14,9 +14,15 @@ from tokenloom.operators.prefix import MAX_GROUP_ROWS, grouped_running
 # The best loss before any was seen, and the artifact names.
 WORST_LOSS = 1e9
 STEP_NAME = r"(?:^|/)ckpt_(\d+)\.pt$"
+ANY_STEP_NAME = r"(?:^|/)ckpt_[^/]*\.pt$"
 LEGACY_NAMES = ("ckpt.pt", "best.pt")
 
 
+def known_loss(loss: Column) -> Column:
+    """The loss where there is one: a null or NaN loss is no loss."""
+    return F.when(~F.isnan(loss), loss)
+
+
 def eval_mean(
     losses: DataFrame, by: Sequence[str] = ("run", "step", "split"), rank: str = "rank"
 ) -> DataFrame:
@@ -42,27 +48,32 @@ def thin_log(log: DataFrame, interval: int) -> DataFrame:
 
 
 def best_so_far(evals: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """Add ``best_before``, ``is_best`` (strictly below it) and ``is_saved`` (not at iteration 0)."""
-    tracked = grouped_running(
-        evals, ["run"], "iter", ["iter"], mins={"_min": F.col("loss")}, max_rows=max_rows
-    )
+    """Add ``best_before``, ``is_best`` (strictly below it) and ``is_saved`` (not at iteration 0).
+
+    A null or NaN loss is never the best and changes no mark.
+    """
+    loss = known_loss(F.col("loss"))
+    tracked = grouped_running(evals, ["run"], "iter", ["iter"], mins={"_min": loss}, max_rows=max_rows)
     before = F.least(F.coalesce(F.col("_min"), F.lit(WORST_LOSS)), F.lit(WORST_LOSS))
     return (
         tracked.withColumn("best_before", before)
-        .withColumn("is_best", F.col("loss") < F.col("best_before"))
+        .withColumn("is_best", F.coalesce(loss < F.col("best_before"), F.lit(False)))
         .withColumn("is_saved", F.col("is_best") & (F.col("iter") > 0))
         .drop("_min")
     )
 
 
 def artifact_step(path: Column) -> Column:
-    """Step of a numbered artifact; null for temporary and other names."""
+    """Step of a numbered artifact; null for temporary and other names, and for a number that is
+    none of 64 bits.
+    """
     digits = F.regexp_extract(path, STEP_NAME, 1)
-    return F.when(digits != "", digits.cast("long"))
+    return F.when(digits != "", digits.try_cast("long"))
 
 
 def latest_artifact(listing: DataFrame) -> DataFrame:
-    """Per run, the artifact to resume from: the highest step, else the legacy names in order.
+    """Per run, the artifact to resume from: the highest step, else any other ``ckpt_`` name (of
+    several the last in text order), else the legacy names in order.
 
     Runs that have none of these are listed with a null path.
     """
@@ -73,29 +84,33 @@ def latest_artifact(listing: DataFrame) -> DataFrame:
         F.max(F.when(step.isNotNull(), F.struct(step.alias("s"), F.col("path").alias("p")))).alias(
             "_numbered"
         ),
+        F.max(F.when(F.col("path").rlike(ANY_STEP_NAME), F.col("path"))).alias("_unnumbered"),
         *[F.max(F.when(base == n, F.col("path"))).alias(f"_legacy{i}")
           for i, n in enumerate(LEGACY_NAMES)],
     )
     legacy = [F.col(f"_legacy{i}") for i in range(len(LEGACY_NAMES))]
-    return found.select("run", F.coalesce(F.col("_numbered.p"), *legacy).alias("path"), "step")
+    path = F.coalesce(F.col("_numbered.p"), F.col("_unnumbered"), *legacy)
+    return found.select("run", path.alias("path"), "step")
 
 
 def retention(listing: DataFrame) -> DataFrame:
     """Add ``is_latest``, ``is_best`` and ``keep`` to ``(run, path, step, loss)``; deletes nothing.
 
     The best is the lowest loss of the run, and of equal losses the earliest step, since a later
-    one must be strictly better; step 0 sets the mark to beat but is never kept for it. Two
-    values per run are found by aggregates, so a run of any length is safe.
+    one must be strictly better; step 0 sets the mark to beat but is never kept for it. A null or
+    NaN loss is never the best. Two values per run are found by aggregates with map-side combine
+    and joined back by a plain join, which AQE splits for a very long run.
     """
-    marks = listing.groupBy("run").agg(
-        F.max("step").alias("_latest"), F.min(F.struct("loss", "step")).alias("_best")
-    )
+    loss = known_loss(F.col("loss"))
+    best = F.min(F.when(loss.isNotNull(), F.struct(loss.alias("loss"), "step")))
+    marks = listing.groupBy("run").agg(F.max("step").alias("_latest"), best.alias("_best"))
     is_best = (F.col("step") == F.col("_best.step")) & (F.col("step") > 0)
+    is_best = F.coalesce(is_best, F.lit(False))
     return (
         listing.join(marks, "run")
         .select(
             *listing.columns,
-            (F.col("step") == F.col("_latest")).alias("is_latest"),
+            F.coalesce(F.col("step") == F.col("_latest"), F.lit(False)).alias("is_latest"),
             is_best.alias("is_best"),
         )
         .withColumn("keep", F.col("is_latest") | F.col("is_best"))

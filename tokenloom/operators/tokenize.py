@@ -13,8 +13,3 @@ def tokenize(df: DataFrame, tokenizer, text: str = "text", tokens: str = "tokens
     arrival: it travels as columns (``pos`` or ``start``). A refused document has null ids.
     """
     return df.withColumn(tokens, tokenizer.encode(F.col(text)))
-
-
-def recount(df: DataFrame, tokenizer, text: str = "text", n_tokens: str = "n_tokens") -> DataFrame:
-    """Token counts of the text as it stands; empty documents are dropped, as on any re-scan."""
-    return df.filter(F.length(text) > 0).withColumn(n_tokens, tokenizer.count(F.col(text)))

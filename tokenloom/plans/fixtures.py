@@ -57,6 +57,11 @@ def total_tokens(df: DataFrame, column: str = "n_tokens") -> int:
     return df.agg(F.sum(column)).first()[0] or 0
 
 
+def _loss() -> Column:
+    """The value as a loss; some event types have none."""
+    return F.when(~F.col("event_type").isin("error", "signup"), F.col("value")).alias("loss")
+
+
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as metric rows: a user is a run, its events in time order are iterations."""
     events = table(spark, sf_dir, "events").select(
@@ -64,7 +69,7 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts").cast("timestamp").alias("ts"),
         "event_id",
         F.col("event_type").alias("split"),
-        F.col("value").alias("loss"),
+        _loss(),
         (F.col("event_id") % 8).alias("rank"),
     )
     events = events.withColumn("_us", F.unix_micros("ts"))
@@ -74,8 +79,14 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.drop("_us")
 
 
+def _odd(step: str) -> Column:
+    return F.lit(f"ckpt_{step}.pt")
+
+
 def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a listing of files: three runs in four have numbered artifacts."""
+    """Events as a listing of files: three runs in four have numbered artifacts. Among the names
+    are a number beyond 64 bits and one without a number.
+    """
     events = table(spark, sf_dir, "events")
     folder = F.concat(F.lit("out/run"), F.col("user_id").cast("string"), F.lit("/"))
     numbered = F.concat(
@@ -85,6 +96,8 @@ def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_type") == "purchase", F.concat(numbered, F.lit(".tmp")))
         .when(F.col("event_type") == "signup", "best.pt")
         .when((F.col("event_type") == "error") & (F.col("user_id") % 8 == 0), "ckpt.pt")
+        .when((F.col("event_type") == "error") & (F.col("user_id") % 8 == 1), _odd("9" * 20))
+        .when((F.col("event_type") == "error") & (F.col("user_id") % 8 == 4), _odd("final"))
         .when(F.col("user_id") % 4 == 0, F.concat(F.lit("log_"), numbered))
         .otherwise(numbered)
     )
@@ -92,5 +105,5 @@ def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").alias("run"),
         F.concat(folder, name).alias("path"),
         F.col("event_id").alias("step"),
-        F.col("value").alias("loss"),
+        _loss(),
     )

@@ -17,7 +17,6 @@ from tokenloom.operators.budget import (
     budget_cutoffs,
     budget_report,
     budget_select,
-    scan_predicate,
     truncate_text,
 )
 from tokenloom.operators.clean import MAX_TOKEN_COUNT, skip_reason
@@ -33,12 +32,21 @@ from tokenloom.operators.shards import (
 )
 from tokenloom.operators.tokenize import tokenize
 from tokenloom.session import broadcast_if_small, materialize, settle
-from tokenloom.sources.metadata import append_meta, dataset_meta
-from tokenloom.sources.shards import read_raw_shards, read_token_shards, write_token_shards
+from tokenloom.sources.metadata import dataset_meta, put_meta
+from tokenloom.sources.shards import (
+    by_task,
+    read_raw_shards,
+    read_token_shards,
+    replace_partitions,
+    write_token_shards,
+)
 
 # Fixed value: the shuffle seed.
 SEED = 42
 
+# Bytes of text that a token stands for, at most on average, when writing tasks are sized.
+TOKEN_BYTES = 4
+
 # Bits of a key that the shard lookup treats as a number.
 KEY_BITS = 60
 
@@ -57,49 +65,17 @@ class Prepared:
 
 
 def count_documents(
-    docs: DataFrame,
-    spec: DataFrame,
-    tokenizer,
-    max_tokens: int = MAX_TOKEN_COUNT,
-    first_span: int | None = None,
+    docs: DataFrame, spec: DataFrame, tokenizer, max_tokens: int = MAX_TOKEN_COUNT
 ) -> DataFrame:
-    """Stored narrow table ``(source, seq, n_tokens, reason)`` of the mixture's sources.
-
-    With ``first_span`` only documents with ``seq`` below it are counted at first, and the range
-    is widened eightfold until every source meets its target or is read to its end: a small
-    budget over a large lake reads the head of each source. The filter on ``seq`` reaches the scan
-    when ``seq`` is a stored column. The report's ``available_tokens`` are then those counted.
-    """
-    sources = spec.count()
-    wanted = docs.join(broadcast_if_small(spec.select("source"), sources), "source", "left_semi")
+    """Stored narrow table ``(source, seq, n_tokens, reason)`` of the mixture's sources."""
+    wanted = docs.join(
+        broadcast_if_small(spec.select("source"), spec.count()), "source", "left_semi"
+    )
     reason = skip_reason(F.col("text"), F.col("n_tokens"), max_tokens)
-
-    def counted(part: DataFrame) -> DataFrame:
-        part = part.withColumn("n_tokens", tokenizer.count(F.col("text")))
-        return materialize(
-            part.select("source", "seq", "n_tokens", reason.alias("reason")), "counts"
-        )
-
-    if first_span is None:
-        return counted(wanted)
-    last = wanted.agg(F.max("seq")).first()[0]
-    low, high = None, first_span
-    tables: DataFrame | None = None
-    while True:
-        part = wanted.filter(F.col("seq") < high)
-        part = counted(part if low is None else part.filter(F.col("seq") >= low))
-        tables = part if tables is None else tables.unionByName(part)
-        if last is None or high > last:
-            return tables
-        found = tables.filter("reason = 'kept'").groupBy("source").agg(
-            F.sum("n_tokens").alias("found")
-        )
-        short = spec.join(found, "source", "left").filter(
-            F.coalesce("found", F.lit(0)) < F.col("target_tokens")
-        )
-        if short.isEmpty():
-            return tables
-        low, high = high, 8 * high
+    counted = wanted.withColumn("n_tokens", tokenizer.count(F.col("text")))
+    return materialize(
+        counted.select("source", "seq", "n_tokens", reason.alias("reason")), "counts"
+    )
 
 
 def _skips(counts: DataFrame, cutoffs: DataFrame, sources: int) -> DataFrame:
@@ -129,13 +105,12 @@ def prepare(
     token_limit: int = TOKEN_SHARD,
     val_cap: int = VAL_TOKENS,
     max_tokens: int = MAX_TOKEN_COUNT,
-    first_span: int | None = None,
 ) -> Prepared:
     """Run the job over ``docs`` ``(source, seq, text)`` and the mixture ``spec``."""
     raw_path, token_path, meta_path = f"{out}/raw", f"{out}/tokens", f"{out}/meta"
     sources = spec.count()
 
-    counts = count_documents(docs, spec, tokenizer, max_tokens, first_span)
+    counts = count_documents(docs, spec, tokenizer, max_tokens)
     kept_counts = counts.filter("reason = 'kept'").drop("reason")
     cutoffs = settle(budget_cutoffs(kept_counts, spec), "cutoffs", sources)
     selected = budget_select(kept_counts, cutoffs, sources)
@@ -150,12 +125,12 @@ def prepare(
     raw_shards = cuts.count()
 
     _write_raw(docs, cutoffs, sources, tokenizer, placed, cuts, raw_limit, raw_shards, seed,
-               max_tokens, raw_path)
+               max_tokens, total, raw_path)
     train_shards = _write_tokens(docs.sparkSession, tokenizer, raw_path, token_path, raw_shards,
                                  token_limit, val_cap)
 
     fragments = read_token_shards(docs.sparkSession, token_path)
-    append_meta(dataset_meta(fragments, tokenizer, token_limit), meta_path, version)
+    put_meta(dataset_meta(fragments, tokenizer, token_limit), meta_path, version)
     return Prepared(
         raw_path,
         token_path,
@@ -189,9 +164,9 @@ def shard_key_bounds(placed: DataFrame, cuts: DataFrame, limit: int, shards: int
 
 
 def _write_raw(
-    docs, cutoffs, sources, tokenizer, placed, cuts, limit, shards, seed, max_tokens, path
+    docs, cutoffs, sources, tokenizer, placed, cuts, limit, shards, seed, max_tokens, total, path
 ) -> None:
-    chosen = docs.filter(scan_predicate(cutoffs)).filter(F.length("text") > 0)
+    chosen = docs.filter(F.length("text") > 0)
     chosen = chosen.withColumn("n_tokens", tokenizer.count(F.col("text"))).filter(
         F.col("n_tokens") <= max_tokens
     )
@@ -212,8 +187,8 @@ def _write_raw(
         (sort_key >= F.col("first"))
         & (F.col("next_first").isNull() | (sort_key < F.col("next_first")))
     )
-    # One task per shard: its rows are sorted once, for the window, and that is also the order in
-    # which they are written.
+    # Neighbouring shards share a task, as many as its share of the bytes allows; their rows are
+    # sorted once, for the window, and that is also the order in which they are written.
     #
     # The stored text is encoded again later, so its own count fixes its place in the stream: a
     # cut inside a character makes it differ from the recorded count, and text cut to nothing
@@ -226,7 +201,8 @@ def _write_raw(
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     stored = (
         homed.withColumn("n_tokens", again.cast("long"))
-        .repartitionById(shards, F.col("shard_id"))
+        .transform(lambda df: by_task(df, F.col("shard_id"), shards, TOKEN_BYTES * total))
+        .drop("_task")
         .select(
             "shard_id",
             (F.row_number().over(order) - 1).cast("long").alias("pos"),
@@ -236,7 +212,7 @@ def _write_raw(
             F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("shard_start"),
         )
     )
-    stored.write.mode("overwrite").partitionBy("shard_id").parquet(path)
+    replace_partitions(stored, path, "shard_id")
 
 
 def raw_stream(raw: DataFrame, shards: int) -> DataFrame:

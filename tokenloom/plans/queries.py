@@ -109,13 +109,15 @@ def utf8_bytes(spark, sf_dir):
 
 @query
 def skip_report(spark, sf_dir):
-    """Texts of one language count as empty here, since the table has no empty text."""
-    docs = fx.table(spark, sf_dir, "documents")
-    text = F.when(F.col("lang") == "en", F.lit("")).otherwise(F.col("text"))
-    marked = docs.select("source", text.alias("text")).withColumn(
-        "n_tokens", fx.TOKENIZER.count(F.col("text"))
-    )
-    return clean.skip_report(marked, max_tokens=4_000)
+    """All texts, and an empty or null row more for each text of two languages, since the table
+    has no such text.
+    """
+    docs = fx.table(spark, sf_dir, "documents").select("source", "lang", "text")
+    empty = docs.filter("lang = 'en'").withColumn("text", F.lit(""))
+    missing = docs.filter("lang = 'fr'").withColumn("text", F.lit(None).cast("string"))
+    more = docs.unionByName(empty).unionByName(missing)
+    counted = more.withColumn("n_tokens", fx.TOKENIZER.count(F.col("text")))
+    return clean.skip_report(counted, max_tokens=4_000)
 
 
 @query
@@ -592,8 +594,9 @@ def streamed_best(spark, sf_dir):
     schema = fx.table(spark, sf_dir, "events").schema
     reader = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
     events = reader.parquet(sf_dir)
+    loss = F.when(~F.col("event_type").isin("error", "signup"), F.col("value"))
     metrics = events.select(
-        F.col("user_id").alias("run"), F.col("value").alias("loss"), F.col("event_id").alias("iter")
+        F.col("user_id").alias("run"), loss.alias("loss"), F.col("event_id").alias("iter")
     )
     out, checkpoint = stage_path(spark, "best"), stage_path(spark, "progress")
 
@@ -604,6 +607,6 @@ def streamed_best(spark, sf_dir):
     writer = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True)
     writer.start().awaitTermination()
     latest = spark.read.parquet(out).groupBy("run").agg(
-        F.max_by(F.struct("loss", "iter", "evals"), "batch_id").alias("row")
+        F.max_by(F.struct("loss", "iter", "evals", "is_saved"), "batch_id").alias("row")
     )
-    return latest.select("run", "row.loss", "row.iter", "row.evals")
+    return latest.select("run", "row.loss", "row.iter", "row.evals", "row.is_saved")

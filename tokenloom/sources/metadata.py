@@ -47,13 +47,16 @@ def pass_columns(meta: DataFrame, block: int, world: int, batch: int, accum: int
     )
 
 
-def append_meta(meta: DataFrame, path: str, version: str) -> None:
-    """Add the row of one dataset version to the metadata table."""
-    meta.withColumn("version", F.lit(version)).write.mode("append").parquet(path)
+def put_meta(meta: DataFrame, path: str, version: str) -> None:
+    """Put the row of one dataset version into the metadata table, in place of an earlier row of
+    that version; the rows of other versions stay.
+    """
+    row = meta.withColumn("version", F.lit(version)).withColumn("of", F.md5(F.lit(version)))
+    writer = row.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("of").parquet(path)
 
 
 def read_meta(spark: SparkSession, path: str) -> DataFrame:
     """Metadata rows with the vocabulary default applied."""
-    return spark.read.parquet(path).withColumn(
-        "vocab_size", F.coalesce("vocab_size", F.lit(DEFAULT_VOCAB_SIZE))
-    )
+    meta = spark.read.parquet(path).drop("of")
+    return meta.withColumn("vocab_size", F.coalesce("vocab_size", F.lit(DEFAULT_VOCAB_SIZE)))

@@ -9,32 +9,44 @@ from pyspark.sql import functions as F
 TOKEN_COLUMNS = ("split", "shard_id", "start", "end", "tokens")
 
 
-def shard_tasks(spark: SparkSession, shards: int) -> int:
-    """Writing tasks: one per shard, but no more than the session's shuffle partitions."""
-    return max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+# Bytes that one writing task sorts and writes, about.
+TASK_BYTES = 256 << 20
 
 
-def _by_task(df: DataFrame, number: Column, shards: int) -> DataFrame:
+def shard_tasks(spark: SparkSession, shards: int, size: int = 0) -> int:
+    """Writing tasks for ``size`` bytes: as many as the session's shuffle partitions, more when
+    each would write more than ``TASK_BYTES``, and never more than shards.
+    """
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(shards, max(partitions, size // TASK_BYTES)))
+
+
+def replace_partitions(df: DataFrame, path: str, *columns: str) -> None:
+    """Write ``df`` by its partition columns in place of all that is at ``path``, whatever the
+    session says about overwriting.
+    """
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
+    writer.partitionBy(*columns).parquet(path)
+
+
+def by_task(df: DataFrame, number: Column, shards: int, size: int = 0) -> DataFrame:
     """Neighbouring shards to the same task, every shard whole; adds ``_task``."""
-    tasks = shard_tasks(df.sparkSession, shards)
+    tasks = shard_tasks(df.sparkSession, shards, size)
     task = F.floor(number.cast("long") * tasks / F.lit(shards)).cast("int")
     return df.withColumn("_task", task).repartitionById(tasks, F.col("_task"))
 
 
 def write_raw_shards(
-    docs: DataFrame, path: str, shards: int, order: tuple[str, ...] = ("pos",)
+    docs: DataFrame, path: str, shards: int, order: tuple[str, ...] = ("pos",), size: int = 0
 ) -> None:
     """Write ``shard_id`` directories with one file each, documents in order.
 
     The task follows from the shard number, so no shard is split over two files and tasks are
-    even. Earlier output is replaced; an empty stream writes nothing.
+    even; ``size`` is the bytes to write, where known. Earlier output is replaced, also by an
+    empty stream, which writes no file.
     """
-    if shards == 0:
-        return
-    placed = _by_task(docs, F.col("shard_id"), shards).drop("_task")
-    placed.sortWithinPartitions("shard_id", *order).write.mode("overwrite").partitionBy(
-        "shard_id"
-    ).parquet(path)
+    placed = by_task(docs, F.col("shard_id"), max(1, shards), size).drop("_task")
+    replace_partitions(placed.sortWithinPartitions("shard_id", *order), path, "shard_id")
 
 
 def read_raw_shards(spark: SparkSession, path: str) -> DataFrame:
@@ -53,15 +65,13 @@ def token_shard_number() -> Column:
 
 def _token_files(fragments: DataFrame, train_shards: int) -> DataFrame:
     """Fragments placed by file and in stream order."""
-    placed = _by_task(fragments.select(*TOKEN_COLUMNS), token_shard_number(), train_shards + 1)
+    placed = by_task(fragments.select(*TOKEN_COLUMNS), token_shard_number(), train_shards + 1)
     return placed.drop("_task").sortWithinPartitions("split", "shard_id", "start")
 
 
 def write_token_shards(fragments: DataFrame, path: str, train_shards: int) -> None:
     """Write token fragments by ``(split, shard_id)``, one file per shard, in stream order."""
-    _token_files(fragments, train_shards).write.mode("overwrite").partitionBy(
-        "split", "shard_id"
-    ).parquet(path)
+    replace_partitions(_token_files(fragments, train_shards), path, "split", "shard_id")
 
 
 def read_token_shards(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:

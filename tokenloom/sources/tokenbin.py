@@ -1,6 +1,6 @@
 """``tokenbin``: flat little-endian 16-bit token files as a Spark data source.
 
-Register with ``spark.dataSource.register(TokenBinSource)``. Files are read in name order; a
+Register with ``spark.dataSource.register(TokenBinSource)``. Files are read in the order of their numbers; a
 partition is a byte range on an even offset. Writing expects each shard's fragments in one task and
 in order (``shards.write_token_bins`` arranges that); files appear under their names at commit only.
 """
@@ -8,6 +8,7 @@ in order (``shards.write_token_bins`` arranges that); files appear under their n
 from __future__ import annotations
 
 import posixpath
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -45,7 +46,16 @@ def _bin_files(path: str) -> list[fs.FileInfo]:
     if info.type == fs.FileType.File:
         return [info]
     found = system.get_file_info(fs.FileSelector(root, allow_not_found=True))
-    return sorted((f for f in found if f.path.endswith(".bin")), key=lambda f: f.path)
+    return sorted((f for f in found if f.path.endswith(".bin")), key=lambda f: file_order(f.path))
+
+
+def file_order(path: str) -> tuple[str, int, str]:
+    """Files of a folder by the number that ends their name, which text order breaks beyond five
+    digits; names without a number come first.
+    """
+    folder, name = posixpath.split(path)
+    digits = re.search(r"(\d+)\.bin$", name)
+    return folder, int(digits[1]) if digits else -1, name
 
 
 @dataclass
