@@ -18,7 +18,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,6 +38,7 @@ TRANSFORM_BYTES = 1 << 19
 SIDE = (CHOICES - 1) // 2
 LAST = (1 << 63) - 1
 HALF = np.uint64(0x9E3779B97F4A7C15)
+UPPER = np.uint64(0xFFFFFFFF00000000)
 
 
 def stretches(
@@ -54,10 +54,16 @@ def stretches(
     data = np.ascontiguousarray(data)
     words = np.ndarray((len(data) - 7,), np.uint64, buffer=data.data, strides=(1,))
     grams = mix(mix(words[: len(data) - GRAM + 1] ^ HALF) + words[8 : len(data) - GRAM + 9])
-    # The leftmost of the least hashes; the place is found among the upper bits only.
-    short = (grams >> np.uint64(32)).astype(np.uint32)
-    anchor = sliding_window_view(short, CHOICES).argmin(axis=1) + np.arange(windows)
-    row = np.searchsorted(offsets, np.arange(windows), "right") - 1
+    # The leftmost of the least hashes, by their upper halves; the lower half is the place. The
+    # least of 2, 4, ... 32 neighbours, and of two such runs for a window's choices.
+    least = (grams & UPPER) | np.arange(len(grams), dtype=np.uint64)
+    span = 1
+    while 2 * span <= CHOICES:
+        least = np.minimum(least[:-span], least[span:])
+        span *= 2
+    least = np.minimum(least[:windows], least[CHOICES - span : CHOICES - span + windows])
+    anchor = (least & ~UPPER).astype(np.int64)
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:windows]
     inside = np.arange(windows) + LENGTH <= offsets[row + 1]
     new = inside.copy()
     new[1:] &= (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1]) | ~inside[:-1]
@@ -121,7 +127,9 @@ def shared_anchors(texts: DataFrame, common: np.ndarray) -> DataFrame:
     return rows.groupBy("text_id").agg(F.collect_set("anchor").alias("anchors"))
 
 
-PIECE = "key long, text_id long, rank long, start long, windows int, stretch binary"
+PIECE = (
+    "key long, text_id long, rank long, starts array<long>, windows int, place int, stretch binary"
+)
 
 
 def text_stretches(texts: DataFrame, common: np.ndarray) -> DataFrame:
@@ -130,8 +138,8 @@ def text_stretches(texts: DataFrame, common: np.ndarray) -> DataFrame:
 
     Stretches meet by their anchor. Those of a very common anchor are cut in two, the windows that
     hold ``SIDE`` bytes before the anchor and those that hold as many after it, and meet by these
-    longer strings instead. Of equal stretches in a batch only the one of the least rank is sent
-    on; the others are repeats and leave as finished cuts, with no stretch.
+    longer strings instead. Of equal stretches in a batch only those of the text of least rank are
+    sent on, as one row; the others are repeats and leave as finished cuts, with no stretch.
     """
     skipped = np.sort(common)
 
@@ -144,58 +152,65 @@ def text_stretches(texts: DataFrame, common: np.ndarray) -> DataFrame:
             done: list[tuple] = []
             for low, offsets, data in _block_rows(batch.column("text")):
                 hashes, place, start, windows, row = stretches(data, offsets)
-                kept = np.zeros(len(hashes), bool)
-                edges = np.searchsorted(row, np.arange(len(offsets)))
-                for r in range(len(offsets) - 1):
-                    own = hashes[edges[r] : edges[r + 1]]
-                    if not len(own):
-                        continue
-                    wanted = lists[low + r].values
-                    if wanted is not None and len(wanted):
-                        listed = (own >> np.uint64(16)).view(np.int64)
-                        kept[edges[r] : edges[r + 1]] = np.isin(listed, wanted.to_numpy())
+                # Row and anchor as one number each, for the stretches and for the lists.
+                part = lists.slice(low, len(offsets) - 1)
+                sizes = part.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+                wanted = mix(part.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+                wanted ^= np.repeat(np.arange(len(sizes)), sizes).astype(np.uint64)
+                kept = np.isin(mix(hashes >> np.uint64(16)) ^ row.astype(np.uint64), wanted)
                 usual = np.zeros(len(hashes), bool)
                 if len(skipped):
                     at = np.minimum(np.searchsorted(skipped, hashes), len(skipped) - 1)
                     usual = skipped[at] == hashes
                 raw = data.tobytes()
-                for key, r, s, w in _placed(
+                for key, r, s, w, at in _placed(
                     raw, hashes, place, start, windows, row, np.flatnonzero(kept | usual), usual
                 ):
                     piece = raw[s : s + w + LENGTH - 1]
-                    own = (key, int(ids[low + r]), int(ranks[low + r]), s - int(offsets[r]), w)
+                    text, rank = int(ids[low + r]), int(ranks[low + r])
+                    own = (key, text, rank, [s - int(offsets[r])], w, at)
                     other = known.get(piece)
                     if other is None:
                         known[piece] = own
-                    elif own[2] < other[2]:
+                    elif own[1:3] == other[1:3]:
+                        other[3].extend(own[3])
+                    elif rank < other[2]:
                         known[piece] = own
-                        done.append(other)
-                    elif own[2] > other[2]:
-                        done.append(own)
+                        done.append((*other, None))
+                    elif rank > other[2]:
+                        done.append((*own, None))
                     else:
-                        # Equal ranks are not earlier than each other: both go on.
-                        known[piece] = own
-                        done.append((*other, piece))
+                        # Texts of one document are not earlier than each other: both go on.
+                        done.append((*own, piece))
+            # Finished cuts go to any task.
             rows = [(*own, piece) for piece, own in known.items()]
-            rows += [d if len(d) == 6 else (d[1], *d[1:], None) for d in done]
-            yield _pieces(rows)
+            yield _pieces(rows + [(d[1], *d[1:]) if d[6] is None else d for d in done])
 
     return texts.mapInArrow(emit, PIECE)
 
 
 def _placed(raw, hashes, place, start, windows, row, kept, usual):
-    """(key, row, start, windows) of the kept stretches, those of common anchors in two parts."""
+    """(key, row, start, windows, place of the anchor) of the kept stretches, those of common
+    anchors in two parts.
+    """
     for i in kept.tolist():
         r, s, w = int(row[i]), int(start[i]), int(windows[i])
         if not usual[i]:
-            yield int(hashes[i] >> np.uint64(16)), r, s, w
+            yield int(hashes[i] >> np.uint64(16)), r, s, w, int(place[i]) - s
             continue
-        at = int(place[i])
-        before = min(w, max(0, at - SIDE - s + 1))
-        if before:
-            yield _digest(raw[at - SIDE : at + GRAM]), r, s, before
-        if before < w:
-            yield _digest(raw[at : at + GRAM + SIDE]), r, s + before, w - before
+        for part, first, count in _sides(raw, int(place[i]), s, w):
+            yield _digest(part), r, first, count, int(place[i]) - first
+
+
+def _sides(data: bytes, at: int, start: int, windows: int) -> Iterator[tuple[bytes, int, int]]:
+    """The windows of an anchor in two parts: those that hold the ``SIDE`` bytes before it, with
+    these and the anchor, and those that hold as many after it.
+    """
+    before = min(windows, max(0, at - SIDE - start + 1))
+    if before:
+        yield data[at - SIDE : at + GRAM], start, before
+    if before < windows:
+        yield data[at : at + GRAM + SIDE], start + before, windows - before
 
 
 def _digest(part: bytes) -> int:
@@ -203,9 +218,9 @@ def _digest(part: bytes) -> int:
 
 
 def _pieces(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [()] * 6
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-    names = ["key", "text_id", "rank", "start", "windows", "stretch"]
+    columns = list(zip(*rows)) or [()] * 7
+    kinds = [pa.int64()] * 3 + [pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.binary()]
+    names = ["key", "text_id", "rank", "starts", "windows", "place", "stretch"]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
 
@@ -214,29 +229,49 @@ class Meeting:
 
     def __init__(self) -> None:
         self.cuts: list[tuple[int, int, int]] = []  # text, first byte, last byte + 1
-        self.anchor: dict[bytes, list[tuple[int, int, int]]] = {}
-        self.block: list[tuple[bytes, int, list[tuple[int, int, int]]]] = []
+        self.anchor: dict[bytes, list[tuple[int, int, list[int]]]] = {}
+        self.place: dict[bytes, int] = {}  # of the anchor in each stretch
+        self.block: list[tuple[bytes, int, list[tuple[int, int, list[int]]]]] = []
         self.bytes = 0
 
-    def add(self, text: int, rank: int, start: int, stretch: bytes) -> None:
-        self.anchor.setdefault(stretch, []).append((rank, text, start))
+    def add(self, text: int, rank: int, starts: list[int], place: int, stretch: bytes) -> None:
+        self.anchor.setdefault(stretch, []).append((rank, text, starts))
+        self.place[stretch] = place
 
     def close_anchor(self) -> None:
-        """All stretches of an anchor are here: settle equal ones, keep one of each."""
+        """All stretches of an anchor are here: settle equal ones, keep one of each, and of
+        those again only parts that have the bytes on one side of the anchor in common.
+        """
+        kept = self._settled(self.anchor)
+        if len(kept) > 1:
+            sides: dict[bytes, dict[bytes, list[tuple[int, int, list[int]]]]] = {}
+            for stretch, _, owners in kept:
+                windows = len(stretch) - LENGTH + 1
+                for key, first, count in _sides(stretch, self.place[stretch], 0, windows):
+                    part = stretch[first : first + count + LENGTH - 1]
+                    own = sides.setdefault(key, {})
+                    moved = [(rank, text, [s + first for s in starts]) for rank, text, starts in owners]
+                    own.setdefault(part, []).extend(moved)
+            for parts in sides.values():
+                if len(parts) > 1 or len(next(iter(parts.values()))) > 1:
+                    some = self._settled(parts)
+                    if len(some) > 1:
+                        self.block += some
+                        self.bytes += sum(len(k[0]) + 1 for k in some)
+        self.anchor, self.place = {}, {}
+        if self.bytes >= TRANSFORM_BYTES:
+            self.close_block()
+
+    def _settled(self, stretches: dict[bytes, list[tuple[int, int, list[int]]]]) -> list[tuple]:
         kept = []
-        for stretch, owners in self.anchor.items():
+        for stretch, owners in stretches.items():
             least = min(owners)[0]
             first = [o for o in owners if o[0] == least]
-            for rank, text, start in owners:
+            for rank, text, starts in owners:
                 if rank > least:
-                    self.cuts.append((text, start, start + len(stretch)))
+                    self.cuts += [(text, s, s + len(stretch)) for s in starts]
             kept.append((stretch, least, first))
-        if len(kept) > 1:
-            self.block += kept
-            self.bytes += sum(len(k[0]) + 1 for k in kept)
-        self.anchor = {}
-        if self.bytes >= TRANSFORM_BYTES:
-            self.close_block()
+        return kept
 
     def close_block(self) -> None:
         if not self.block:
@@ -264,8 +299,8 @@ class Meeting:
                 i = int(owner[low])
                 first = low - int(begin[i])
                 last = high - int(begin[i]) + LENGTH
-                for _, text, start in self.block[i][2]:
-                    self.cuts.append((text, start + first, start + last))
+                for _, text, starts in self.block[i][2]:
+                    self.cuts += [(text, s + first, s + last) for s in starts]
         self.block, self.bytes = [], 0
 
     def taken(self) -> pa.RecordBatch:
@@ -295,15 +330,15 @@ def repeated_windows(pieces: DataFrame) -> DataFrame:
         meeting = Meeting()
         at = None
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(6)]
-            for key, text, rank, start, windows, stretch in zip(*columns):
+            columns = [batch.column(i).to_pylist() for i in range(7)]
+            for key, text, rank, starts, windows, place, stretch in zip(*columns):
                 if stretch is None:
-                    meeting.cuts.append((text, start, start + windows + LENGTH - 1))
+                    meeting.cuts += [(text, s, s + windows + LENGTH - 1) for s in starts]
                     continue
                 if key != at:
                     meeting.close_anchor()
                     at = key
-                meeting.add(text, rank, start, stretch)
+                meeting.add(text, rank, starts, place, stretch)
             yield meeting.taken()
         meeting.close_anchor()
         meeting.close_block()
