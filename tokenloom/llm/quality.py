@@ -74,18 +74,18 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     kinds = CLASSES[data]
 
     def count(bit: int) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum((kinds & bit) > 0)])
+        total = np.concatenate([[0], np.cumsum((kinds & bit) > 0, dtype=np.int32)])
         return (total[offsets[1:]] - total[offsets[:-1]]).astype(float)
 
     size = np.diff(offsets).astype(float)
     words, edges = word_hashes(data, offsets)
     number = np.diff(edges).astype(float)
     gap = (data == 32) | ((data >= 9) & (data <= 13))
-    spaces = np.concatenate([[0], np.cumsum(gap)])
+    spaces = np.concatenate([[0], np.cumsum(gap, dtype=np.int32)])
     ends = np.ones(len(data), bool)
     ends[:-1] = gap[1:]
     ends[offsets[1:][size > 0] - 1] = True
-    odd = np.concatenate([[0], np.cumsum(ends & ((kinds & (1 | 16)) > 0))])
+    odd = np.concatenate([[0], np.cumsum(ends & ((kinds & 17) > 0), dtype=np.int32)])
     odd = odd[offsets[1:]] - odd[offsets[:-1]]
     twin = np.concatenate([[0], [0], np.cumsum(words[1:] == words[:-1])])[: len(words) + 1]
     inked = size - (spaces[offsets[1:]] - spaces[offsets[:-1]])
