@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.functions.text import text_column
+from tokenloom.session import broadcast_if_small
 
 # Fixed value: largest token count of one document, 2^32 - 1.
 MAX_TOKEN_COUNT = 4_294_967_295
@@ -49,6 +50,21 @@ def skip_report(df: DataFrame, max_tokens: int = MAX_TOKEN_COUNT) -> DataFrame:
     return df.groupBy("source", reason.alias("reason")).agg(F.count(F.lit(1)).alias("docs"))
 
 
+def skips_read(counts: DataFrame, cutoffs: DataFrame, sources: int) -> DataFrame:
+    """Documents by source and reason, up to where each source stopped. ``counts`` is
+    ``(source, seq, reason)``, ``cutoffs`` what ``budget_cutoffs`` gives.
+    """
+    stop = F.when(F.col("written_tokens") == F.col("target_tokens"), F.col("cut_seq"))
+    met = F.col("target_tokens") <= 0
+    ends = cutoffs.filter(~met).select("source", stop.alias("stop"))
+    read = counts.join(broadcast_if_small(ends, sources), "source")
+    return (
+        read.filter(F.col("stop").isNull() | (F.col("seq") <= F.col("stop")))
+        .groupBy("source", "reason")
+        .agg(F.count(F.lit(1)).alias("docs"))
+    )
+
+
 def kept_documents(
     df: DataFrame, n_tokens: Column, max_tokens: int = MAX_TOKEN_COUNT
 ) -> DataFrame:

@@ -19,7 +19,7 @@ from tokenloom.operators.budget import (
     budget_select,
     truncate_text,
 )
-from tokenloom.operators.clean import MAX_TOKEN_COUNT, skip_reason
+from tokenloom.operators.clean import MAX_TOKEN_COUNT, skip_reason, skips_read
 from tokenloom.operators.lookup import interval_lookup
 from tokenloom.operators.nextfit import assign_shards, max_shards, next_fit_cuts
 from tokenloom.operators.order import stream_positions, with_shuffle_key
@@ -78,18 +78,6 @@ def count_documents(
     )
 
 
-def _skips(counts: DataFrame, cutoffs: DataFrame, sources: int) -> DataFrame:
-    """Documents by reason, up to where each source stopped."""
-    stop = F.when(F.col("written_tokens") == F.col("target_tokens"), F.col("cut_seq"))
-    ends = cutoffs.select("source", stop.alias("stop"))
-    read = counts.join(broadcast_if_small(ends, sources), "source")
-    return (
-        read.filter(F.col("stop").isNull() | (F.col("seq") <= F.col("stop")))
-        .groupBy("source", "reason")
-        .agg(F.count(F.lit(1)).alias("docs"))
-    )
-
-
 def _key_number() -> Column:
     return F.conv(F.substring("key", 1, KEY_BITS // 4), 16, 10).cast("long")
 
@@ -138,7 +126,7 @@ def prepare(
         raw_shards,
         train_shards,
         budget_report(cutoffs),
-        _skips(counts, cutoffs, sources),
+        skips_read(counts, cutoffs, sources),
     )
 
 

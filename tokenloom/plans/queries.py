@@ -31,7 +31,12 @@ from tokenloom.sources.shards import (
     write_token_shards,
 )
 from tokenloom.sources.tokenbin import TokenBinSource
-from tokenloom.streaming.ingest import budgeted_ingest, read_ingested, stream_corpus
+from tokenloom.streaming.ingest import (
+    budgeted_ingest,
+    read_ingested,
+    read_skips,
+    stream_corpus,
+)
 from tokenloom.streaming.metrics import live_best
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -174,10 +179,15 @@ def external_tokenize(spark, sf_dir):
 # Budgets ---------------------------------------------------------------------------------------
 
 
+def _counts(spark, sf_dir):
+    """Stored token counts: the search for the cut scans them once per step, texts once in all."""
+    counted = fx.counted(spark, sf_dir).select("source", "seq", "n_tokens")
+    return materialize(counted, "counts")
+
+
 def _budget(spark, sf_dir):
-    counted = fx.counted(spark, sf_dir)
-    cutoffs = budget.budget_cutoffs(counted, fx.targets(spark, sf_dir))
-    return counted, cutoffs
+    cutoffs = budget.budget_cutoffs(_counts(spark, sf_dir), fx.targets(spark, sf_dir))
+    return fx.counted(spark, sf_dir), cutoffs
 
 
 @query
@@ -189,7 +199,7 @@ def mix_budget_report(spark, sf_dir):
         (F.col("target_tokens") * 4).alias("target_tokens"),
     )
     wanted = spec.filter("source <> 'C'").unionByName(more)
-    return budget.budget_report(budget.budget_cutoffs(fx.counted(spark, sf_dir), wanted))
+    return budget.budget_report(budget.budget_cutoffs(_counts(spark, sf_dir), wanted))
 
 
 @query
@@ -574,20 +584,38 @@ def topk_draw(spark, sf_dir):
 # Streams ---------------------------------------------------------------------------------------
 
 
+def _ingested(spark, sf_dir, max_tokens: int = clean.MAX_TOKEN_COUNT) -> str:
+    """The documents as a stream of four files in ``seq`` order, a micro-batch each, run to its
+    end; the folder of its results.
+    """
+    docs = fx.table(spark, sf_dir, "documents")
+    last = docs.agg(F.max("doc_id")).first()[0]
+    quarter = -(-(last + 1) // 4)
+    files = stage_path(spark, "arriving")
+    for part in range(4):
+        own = docs.filter(F.col("doc_id").between(part * quarter, (part + 1) * quarter - 1))
+        own.coalesce(1).write.mode("append").parquet(files)
+    arriving = stream_corpus(spark, files, docs.schema, fx.mixture_source(), F.col("doc_id"), 1)
+    out, checkpoint = stage_path(spark, "ingested"), stage_path(spark, "progress")
+    spec = fx.targets(spark, sf_dir)
+    writer = budgeted_ingest(arriving, spec, fx.TOKENIZER, out, checkpoint, max_tokens)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return out
+
+
 @query
 def streamed_budget(spark, sf_dir):
     """The budget over the documents as a file stream, run to its end."""
-    schema = fx.table(spark, sf_dir, "documents").schema
-    docs = stream_corpus(
-        spark, sf_dir, schema, fx.mixture_source(), F.col("doc_id"), name="documents.parquet"
-    )
-    out, checkpoint = stage_path(spark, "ingested"), stage_path(spark, "progress")
-    writer = budgeted_ingest(docs, fx.targets(spark, sf_dir), fx.TOKENIZER, out, checkpoint)
-    writer.trigger(availableNow=True).start().awaitTermination()
-    kept = read_ingested(spark, out)
+    kept = read_ingested(spark, _ingested(spark, sf_dir))
     return kept.select("source", "seq", "kept_tokens", F.md5("text").alias("text_md5"))
 
 
+@query
+def streamed_skips(spark, sf_dir):
+    """Documents that the stream has read, by reason, with a bound that some exceed."""
+    return read_skips(spark, _ingested(spark, sf_dir, max_tokens=4_000))
+
+
 @query
 def streamed_best(spark, sf_dir):
     """The best loss per run over the events as a file stream, run to its end."""

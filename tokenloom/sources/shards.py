@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,10 +46,22 @@ def write_raw_shards(
     even; ``size`` is the bytes to write, where known. Earlier output is replaced, also by an
     empty stream, which writes no file.
     """
+    if shards == 0 and not _exists(docs.sparkSession, path):
+        return
     placed = by_task(docs, F.col("shard_id"), max(1, shards), size).drop("_task")
     replace_partitions(placed.sortWithinPartitions("shard_id", *order), path, "shard_id")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.schema("text string").parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
+
+
 def read_raw_shards(spark: SparkSession, path: str) -> DataFrame:
     """Re-scan raw shards: ``shard_id``, ``pos`` and the other stored columns, empty text dropped.
 

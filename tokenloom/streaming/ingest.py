@@ -16,10 +16,10 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from tokenloom.operators.budget import budget_cutoffs, budget_select, truncate_text
-from tokenloom.operators.clean import MAX_TOKEN_COUNT, kept_documents, to_documents
+from tokenloom.operators.clean import MAX_TOKEN_COUNT, skip_reason, skips_read, to_documents
 from tokenloom.session import materialize, settle
 
-LEDGER_SCHEMA = "source string, written_tokens long, batch_id long"
+LEDGER_SCHEMA = "source string, written_tokens long, last_seq long, batch_id long"
 
 
 def stream_corpus(
@@ -48,12 +48,16 @@ def budgeted_ingest(
 ) -> DataStreamWriter:
     """Writer of the budgeted stream; call ``trigger(...).start()`` on it.
 
-    Documents must arrive in ``seq`` order per source: a later batch cannot go back before the
-    point at which an earlier one stopped. Kept documents go to ``out/docs``, the tokens each
-    batch wrote to ``out/ledger``.
+    Documents must arrive in ``seq`` order per source: a batch that goes back before the point that
+    an earlier one reached is refused. Kept documents go to ``out/docs``, documents read by reason
+    to ``out/skips``, and to ``out/ledger`` the tokens written and the last ``seq`` read so far.
     """
     # An opening entry of zeros, so that every batch finds a ledger.
-    opening = spec.select("source", F.lit(0).cast("long").alias("written_tokens"))
+    opening = spec.select(
+        "source",
+        F.lit(0).cast("long").alias("written_tokens"),
+        F.lit(None).cast("long").alias("last_seq"),
+    )
     opening.write.mode("overwrite").parquet(f"{out}/ledger/batch_id=-1")
     return docs.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
         _take_budget(spec, tokenizer, out, max_tokens)
@@ -67,38 +71,63 @@ def _take_budget(
 
     def take(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        remaining = _remaining(spark, spec, out, batch_id, sources)
-        if remaining.filter("target_tokens > 0").isEmpty():
+        state = _state(spark, spec, out, batch_id, sources)
+        if state.filter("target_tokens > 0").isEmpty():
             return
-        counted = kept_documents(batch, tokenizer.count(F.col("text")), max_tokens)
-        counts = materialize(counted.select("source", "seq", "n_tokens"), "batch-counts")
-        cutoffs = settle(budget_cutoffs(counts, remaining), "batch-cutoffs", sources)
-        kept = truncate_text(budget_select(counted, cutoffs, sources), tokenizer)
-        kept.write.mode("overwrite").parquet(f"{out}/docs/batch_id={batch_id}")
-        cutoffs.select("source", "written_tokens").coalesce(1).write.mode("overwrite").parquet(
-            f"{out}/ledger/batch_id={batch_id}"
+        counted = batch.withColumn("n_tokens", tokenizer.count(F.col("text")))
+        reason = skip_reason(F.col("text"), F.col("n_tokens"), max_tokens)
+        counts = counted.select("source", "seq", "n_tokens", reason.alias("reason"))
+        counts = materialize(counts, "batch-counts")
+        seen = counts.groupBy("source").agg(F.min("seq").alias("low"), F.max("seq").alias("high"))
+        seen = settle(state.join(seen, "source", "left"), "batch-seen", sources)
+        late = seen.filter(F.col("low") <= F.col("last_seq")).select("source").take(1)
+        if late:
+            raise ValueError(f"documents of {late[0][0]!r} arrive before its last seq")
+        remaining = state.select("source", "target_tokens")
+        kept_counts = counts.filter("reason = 'kept'")
+        cutoffs = settle(budget_cutoffs(kept_counts, remaining), "batch-cutoffs", sources)
+        kept = counted.filter(reason == "kept")
+        kept = truncate_text(budget_select(kept, cutoffs, sources), tokenizer)
+        _put(kept, out, "docs", batch_id)
+        _put(skips_read(counts, cutoffs, sources).coalesce(1), out, "skips", batch_id)
+        ledger = seen.join(cutoffs.select("source", "written_tokens"), "source").select(
+            "source",
+            (F.col("written_before") + F.col("written_tokens")).alias("written_tokens"),
+            F.coalesce("high", "last_seq").alias("last_seq"),
         )
+        _put(ledger.coalesce(1), out, "ledger", batch_id)
 
     return take
 
 
-def _remaining(
+def _put(df: DataFrame, out: str, table: str, batch_id: int) -> None:
+    df.write.mode("overwrite").parquet(f"{out}/{table}/batch_id={batch_id}")
+
+
+def _state(
     spark: SparkSession, spec: DataFrame, out: str, batch_id: int, sources: int
 ) -> DataFrame:
-    """The mixture less what earlier batches wrote."""
-    written = (
-        spark.read.schema(LEDGER_SCHEMA)
-        .option("basePath", f"{out}/ledger")
-        .parquet(f"{out}/ledger")
-        .filter(F.col("batch_id") < batch_id)
-        .groupBy("source")
-        .agg(F.sum("written_tokens").alias("written"))
+    """The mixture less what earlier batches wrote, with the last ``seq`` that they read."""
+    ledger = spark.read.schema(LEDGER_SCHEMA).option("basePath", f"{out}/ledger")
+    ledger = ledger.parquet(f"{out}/ledger").filter(F.col("batch_id") < batch_id)
+    # Entries are totals, so the newest of each source says it all.
+    newest = ledger.groupBy("source").agg(
+        F.max_by(F.struct("written_tokens", "last_seq"), "batch_id").alias("entry")
     )
-    left = F.col("target_tokens") - F.coalesce("written", F.lit(0))
-    remaining = spec.join(written, "source", "left").select(
-        "source", left.alias("target_tokens")
+    written = F.coalesce("entry.written_tokens", F.lit(0).cast("long"))
+    state = spec.join(newest, "source", "left").select(
+        "source",
+        (F.col("target_tokens") - written).alias("target_tokens"),
+        written.alias("written_before"),
+        F.col("entry.last_seq").alias("last_seq"),
     )
-    return settle(remaining, "remaining", sources)
+    return settle(state, "state", sources)
+
+
+def read_skips(spark: SparkSession, out: str) -> DataFrame:
+    """Documents read so far by source and reason."""
+    skips = spark.read.parquet(f"{out}/skips")
+    return skips.groupBy("source", "reason").agg(F.sum("docs").alias("docs"))
 
 
 def read_ingested(spark: SparkSession, out: str) -> DataFrame:
