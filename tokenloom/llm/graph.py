@@ -19,8 +19,12 @@ def components(links: DataFrame) -> DataFrame:
     links = links.filter(F.col("a") != F.col("b"))
     links = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links = materialize(links, "links")
+    counts = links.agg(F.count(F.lit(1)), F.countDistinct("a")).first()
+    chained = links.join(links.select(F.col("b").alias("a")), "a", "left_semi")
+    # Links that are stars already need no round.
+    stars = counts[0] == counts[1] and chained.isEmpty()
     before = None
-    while True:
+    while not stars:
         # Large star: larger neighbours of u go to the least of u and its neighbours.
         both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -29,9 +33,9 @@ def components(links: DataFrame) -> DataFrame:
         # Small star: u and its smaller neighbours go to the least of them.
         least = moved.groupBy("a").agg(F.min("b").alias("m"))
         joined = moved.join(least, "a")
-        stars = joined.select(F.col("b").alias("a"), F.col("m").alias("b"))
-        stars = stars.unionAll(joined.select("a", F.col("m").alias("b")))
-        links = materialize(stars.filter(F.col("a") != F.col("b")).distinct(), "links")
+        moved = joined.select(F.col("b").alias("a"), F.col("m").alias("b"))
+        moved = moved.unionAll(joined.select("a", F.col("m").alias("b")))
+        links = materialize(moved.filter(F.col("a") != F.col("b")).distinct(), "links")
         state = links.agg(
             F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))"), F.expr("bit_xor(xxhash64(b, a))")
         ).first()
