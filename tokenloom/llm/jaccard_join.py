@@ -26,7 +26,7 @@ from tokenloom.llm.batches import binary_rows
 from tokenloom.llm.common_keys import common_keys
 from tokenloom.llm.graph import components
 from tokenloom.llm.shingles import set_digest, shingle_sets
-from tokenloom.llm.shuffles import dropped_shuffles
+from tokenloom.llm.shuffles import Stage, dropped_shuffles
 from tokenloom.llm.signature_tree import Group, bitmap, bits_for, with_partner
 from tokenloom.session import materialize, ship_package
 
@@ -108,7 +108,7 @@ def text_sets(docs: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
     return rows.mapInArrow(emit, fields)
 
 
-def groups_of(classes: DataFrame) -> DataFrame:
+def groups_of(classes: DataFrame, stage: Stage) -> DataFrame:
     """``(group_id, set_id, members)`` of the groups of two and more classes, one group for each
     distinct set of members.
     """
@@ -116,8 +116,8 @@ def groups_of(classes: DataFrame) -> DataFrame:
     over = Window.partitionBy("group_id")
     rare = rare.withColumn("c", F.count(F.lit(1)).over(over)).filter(F.col("c") > 1)
     usual = classes.select("set_id", F.explode("usual").alias("group_id"))
-    shared = materialize(rare.select("group_id", "set_id").unionByName(usual), "shared-tokens")
-    return materialize(distinct_groups(shared), "groups")
+    shared = stage(rare.select("group_id", "set_id").unionByName(usual), "shared-tokens")
+    return stage(distinct_groups(shared), "groups")
 
 
 def distinct_groups(rows: DataFrame) -> DataFrame:
@@ -184,7 +184,9 @@ def _pairs(rows: list[tuple[int, int]], first: str, second: str) -> pa.RecordBat
     )
 
 
-def possible(groups: DataFrame, classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def possible(
+    groups: DataFrame, classes: DataFrame, labels: DataFrame, percent: int, stage: Stage
+) -> DataFrame:
     """``(group_id, set_id, members)`` of the classes that may have a partner in the group that they
     are not connected to, by sizes and bitmaps; ``members`` counts those of a group. ``labels`` is
     ``(set_id, known)``; a class without one is connected to none.
@@ -205,8 +207,8 @@ def possible(groups: DataFrame, classes: DataFrame, labels: DataFrame, percent:
         yield _pairs(out, "group_id", "set_id")
 
     rows = rows.mapInArrow(emit, "group_id long, set_id long").distinct()
-    rows = materialize(rows, "possible")
-    return materialize(distinct_groups(rows), "possible-groups")
+    rows = stage(rows, "possible")
+    return stage(distinct_groups(rows), "possible-groups")
 
 
 def join_groups(rows: DataFrame, percent: int) -> DataFrame:
@@ -301,9 +303,9 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     spark = docs.sparkSession
     ship_package(spark)
     docs = docs.select("doc_id", "text")
-    with dropped_shuffles(spark):
+    with dropped_shuffles(spark) as stage:
         common = common_keys(docs.filter("text is not null").select("text"), shingle_sets)
-        texts = materialize(text_sets(docs, common, percent), "text-sets")
+        texts = stage(text_sets(docs, common, percent), "text-sets")
         filled = texts.filter("set_id is not null")
         # One text stands for each class; the copies leave each task at most once.
         classes = filled.groupBy("set_id").agg(
@@ -313,9 +315,9 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             F.first("n").alias("n"),
             F.first("bits").alias("bits"),
         )
-        classes = materialize(classes, "classes")
+        classes = stage(classes, "classes")
         labels = materialize(classes.select("set_id", F.col("set_id").alias("known")), "labels")
-        groups = possible(groups_of(classes), classes, labels, percent)
+        groups = possible(groups_of(classes, stage), classes, labels, percent, stage)
         place = classes.select("set_id", "text.doc_id", "text.text_hash")
         for _ in range(ROUNDS):
             # Each class goes to its largest group, its set travels once.
@@ -326,19 +328,19 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             first = first.join(sizes.filter("members > 1"), "group_id").join(labels, "set_id")
             rows = class_sets(docs, first.join(place, "set_id"))
             labels = connected(labels, join_groups(rows, percent))
-            groups = possible(groups.select("group_id", "set_id", "members"), classes, labels, percent)
+            groups = groups.select("group_id", "set_id", "members")
+            groups = possible(groups, classes, labels, percent, stage)
         # What may still have a partner, in all its groups.
         members = groups.select("set_id").distinct()
-        sets = materialize(class_sets(docs, place.join(members, "set_id")), "sets")
-        groups = possible(
-            groups.select("group_id", "set_id", "members"), wide_bitmaps(sets), labels, percent
-        )
+        sets = stage(class_sets(docs, place.join(members, "set_id")), "sets")
+        groups = possible(groups, wide_bitmaps(sets), labels, percent, stage)
         rows = groups.join(labels, "set_id").join(sets, "set_id")
         labels = connected(labels, join_groups(rows, percent))
         ids = classes.select("set_id", "text.doc_id").join(labels, "set_id")
         least = ids.groupBy("known").agg(F.min("doc_id").alias("component_id"))
         ids = materialize(ids.join(least, "known").select("set_id", "component_id"), "components")
-    found = texts.select("doc_id", "n", "set_id").join(ids, "set_id", "left")
+        rows = materialize(texts.select("doc_id", "n", "set_id"), "set-ids")
+    found = rows.join(ids, "set_id", "left")
     return found.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
