@@ -32,8 +32,15 @@ SEGMENT_IDS = 1 << 20
 BLOCK_BYTES = 4 << 20
 # A space after a character that is none begins a new part of a byte-level text, whatever follows.
 PARTS = re.compile(r"(?<=\S) ")
+# White space other than the space that may stand before one; such texts are cut with care.
+ODD_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
+    map(chr, range(0x2000, 0x200B))
+)
+BEFORE_SPACE = [" " + " ", *[c + " " for c in ODD_SPACES]]
+# A sentence mark that ends a part after a letter is a part of its own to the library.
+MARKS = ".,;:!?"
 # Parts whose ids a worker keeps; a full table is emptied.
-MAX_PARTS = 500_000
+MAX_PARTS = 700_000
 
 FIELDS = (
     "file int, segment int, ids_before long, n_ids long, width int, doc_ids array<{kind}>, "
@@ -44,27 +51,49 @@ FIELDS = (
 _KNOWN: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
 
 
+def cut(text: str) -> list[str]:
+    """Parts of a text; all but the first had a space before them."""
+    if any(pair in text for pair in BEFORE_SPACE):
+        return PARTS.split(text)
+    return text.split(" ")
+
+
 def encode_texts(tokenizer: TokenizerFile, texts: list[str]) -> list[bytes]:
     """Ids of whole texts as the tokenizers library gives them, as 16-bit numbers where the
     vocabulary allows. The library splits byte-level text at such spaces before it merges, so
     each distinct part is encoded once.
     """
     first, later = _KNOWN.setdefault(tokenizer.path, ({}, {}))
-    cut = [PARTS.split(text) for text in texts]
-    begins = {parts[0] for parts in cut if parts[0] not in first}
-    others = {part for parts in cut for part in parts[1:] if part not in later}
-    for table, new in ((first, begins), (later, others)):
-        if len(table) + len(new) > MAX_PARTS:
-            table.clear()
-            whole = [p[:1] if table is first else p[1:] for p in cut]
-            new = {part for parts in whole for part in parts}
-        fresh = list(new)
-        given = fresh if table is first else [" " + part for part in fresh]
-        kind = id_type(tokenizer)
-        library = tokenizer.load()
-        for part, encoded in zip(fresh, library.encode_batch_fast(given, add_special_tokens=False)):
-            table[part] = np.array(encoded.ids, kind).tobytes()
-    return [first[p[0]] + b"".join([later[part] for part in p[1:]]) for p in cut]
+    rows = [cut(text) for text in texts]
+    heads, tails = [parts[:1] for parts in rows], [parts[1:] for parts in rows]
+    begins = {part for parts in heads for part in parts if part not in first}
+    others = {part for parts in tails for part in parts if part not in later}
+    if len(first) + len(begins) > MAX_PARTS:
+        first.clear()
+        begins = {part for parts in heads for part in parts}
+    if len(later) + len(others) > MAX_PARTS:
+        later.clear()
+        others = {part for parts in tails for part in parts}
+    marked = {p for p in others if len(p) > 1 and p[-1] in MARKS and p[-2].isalpha()}
+    plain = (others - marked) | {p[:-1] for p in marked if p[:-1] not in later}
+    _learn(tokenizer, first, begins | {mark for mark in MARKS if mark not in first}, "")
+    _learn(tokenizer, later, plain, " ")
+    for part in marked:
+        later[part] = later[part[:-1]] + first[part[-1]]
+    return [
+        b"".join(map(first.__getitem__, head)) + b"".join(map(later.__getitem__, tail))
+        for head, tail in zip(heads, tails)
+    ]
+
+
+def _learn(tokenizer: TokenizerFile, table: dict[str, bytes], parts: set[str], before: str) -> None:
+    fresh = list(parts)
+    given = [before + part for part in fresh]
+    kind = id_type(tokenizer)
+    for part, encoded in zip(
+        fresh, tokenizer.load().encode_batch_fast(given, add_special_tokens=False)
+    ):
+        table[part] = np.array(encoded.ids, kind).tobytes()
 
 
 def id_type(tokenizer: TokenizerFile) -> str:
