@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties and repeats, empty tables and clashing columns."""
 
+import base64
 import zlib
 
 import numpy as np
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from conftest import SF
 from tokenloom.llm import pieces
 from tokenloom.llm.decontamination import drop_leaks, find_leaks
 from tokenloom.llm.jaccard_join import jaccard_components, keep_one
@@ -108,6 +110,23 @@ def test_language_id(docs, none):
     assert {r["lang_pred"] for r in identify(unlabelled).collect()} == {"und"}
 
 
+def test_language_id_rejects(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    letters = np.random.default_rng(4).choice(list("abcdefghijklmnopqrstuvwxyz   "), (6, 400))
+    junk = ["".join(row) for row in letters] + ["".join(letters[0])[:40], "Это", "Это простой текст на русском языке. " * 9]
+    junk += ["这是一个中文句子，" * 20, np.random.default_rng(5).bytes(300).hex()]
+    junk += [base64.b64encode(np.random.default_rng(6).bytes(300)).decode()]
+    words = [r["text"].split() for r in docs.filter("text is not null").collect()]
+    clean = [" ".join(w[:n]) for w in words for n in (2, 5, 30) if len(w) >= n]
+    clean = [c for c in clean if any(x.isalpha() for x in c)]
+    more = [(-1 - i, t, None) for i, t in enumerate([*junk, *clean])]
+    docs = docs.unionByName(spark.createDataFrame(more, "doc_id long, text string, lang string"))
+    kept = set(_ids(keep_identified(docs)))
+    assert not kept & set(range(-len(junk), 0))
+    assert kept >= {i for i, _, _ in more[len(junk) :]}
+    assert kept >= {r["doc_id"] for r in docs.filter("doc_id >= 0 and text is not null").collect()}
+
+
 def test_jaccard(docs, none):
     rows = jaccard_components(docs).collect()
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows), key=repr)

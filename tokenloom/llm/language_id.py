@@ -4,6 +4,9 @@ The kernel of two texts is the number of byte n-grams (n from 1 to 3) that occur
 by the geometric mean of their distinct n-gram counts. Nystroem landmarks turn it into a feature
 map, one-versus-rest kernel ridge regression is fitted on a bounded sample, and whole texts are
 scored by two matrix products per block: presence x landmarks, then kernel values x weights.
+
+The scores of a text sum to one, so some language always wins. Whether a text is in any language is
+told by another measure: the share of its three-byte strings that occur in some landmark.
 """
 
 from __future__ import annotations
@@ -31,6 +34,9 @@ PRODUCT_ROWS, PIECE_BYTES = 64, 1 << 20
 UNKNOWN = "und"
 # Below this score no language claims a text.
 MIN_SCORE = 0.2
+# A language claims a text whose share of known trigrams reaches this part of what all but the given
+# portion of the language's fitted texts reach.
+KNOWN_PART, KNOWN_QUANTILE = 0.5, 0.01
 
 # Work tables of this worker, made once: the place at which a code was seen last, and a mark.
 _TABLES: list[np.ndarray] = []
@@ -66,6 +72,14 @@ def distinct_codes(text: np.ndarray) -> np.ndarray:
     return codes
 
 
+def trigrams(text: np.ndarray) -> Iterator[np.ndarray]:
+    """Every three bytes of a text between two spaces, as numbers, piece by piece."""
+    text = np.concatenate([[32], text, [32]]).astype(np.int32)
+    for low in range(0, len(text) - 2, PIECE_BYTES):
+        piece = text[low : low + PIECE_BYTES + 2]
+        yield (piece[:-2] << 16) | (piece[1:-1] << 8) | piece[2:]
+
+
 @dataclass
 class LanguageModel:
     """Scores of each language as linear functions of the kernel values with the landmarks."""
@@ -74,6 +88,7 @@ class LanguageModel:
     vocabulary: np.ndarray  # sorted codes of the landmarks
     landmarks: np.ndarray  # presence of each code in each landmark, over the root of its count
     weights: np.ndarray  # kernel values and a constant to languages
+    levels: np.ndarray  # least share of known trigrams in a text of each language
 
     def scores(self, texts: list[np.ndarray]) -> np.ndarray:
         kernel = self.kernel([distinct_codes(text) for text in texts])
@@ -97,12 +112,31 @@ class LanguageModel:
             self._lookup = cached
         return cached
 
+    def claims(self, text: np.ndarray, language: int) -> bool:
+        """Whether enough of the text's trigrams are known for it to be in the language. A share of
+        few trigrams may fall short by the greatest standard deviation that a share of so many has.
+        """
+        known = self._known()
+        hits = total = 0
+        for codes in trigrams(text):
+            hits += int(np.count_nonzero(known[codes]))
+            total += len(codes)
+        return hits / total >= self.levels[language] - 0.5 / np.sqrt(total)
+
+    def _known(self) -> np.ndarray:
+        cached = getattr(self, "_trigrams", None)
+        if cached is None:
+            cached = np.zeros(1 << 24, np.bool_)
+            cached[self.vocabulary[self.vocabulary >= TRIGRAMS] - TRIGRAMS] = True
+            self._trigrams = cached
+        return cached
+
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_lookup"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_lookup", "_trigrams")}
 
     def predict(self, text: Column) -> Column:
         """``struct<lang_pred, score>`` of a text; ``und`` with score 0 when it is null or has no
-        letter, or when no language was learned.
+        letter, when the best language does not claim it, or when no language was learned.
         """
         model = self
 
@@ -115,9 +149,12 @@ class LanguageModel:
             rows = np.flatnonzero(known) if model.languages else np.empty(0, int)
             for low in range(0, len(rows), PRODUCT_ROWS):
                 part = rows[low : low + PRODUCT_ROWS]
-                got = model.scores([data[offsets[i] : offsets[i + 1]] for i in part])
-                best[part] = got.argmax(axis=1)
-                value[part] = np.clip(got.max(axis=1), 0, 1)
+                texts = [data[offsets[i] : offsets[i + 1]] for i in part]
+                got = model.scores(texts)
+                first = got.argmax(axis=1)
+                claimed = np.array([model.claims(t, i) for t, i in zip(texts, first)])
+                best[part] = np.where(claimed, first, -1)
+                value[part] = np.where(claimed, np.clip(got.max(axis=1), 0, 1), 0)
             names = pa.array([*model.languages, UNKNOWN], pa.string())
             picked = names.take(pa.array(np.where(best < 0, len(model.languages), best)))
             return pa.StructArray.from_arrays(
@@ -146,7 +183,7 @@ def fit_languages(docs: DataFrame) -> LanguageModel:
     labelled = labelled.withColumn("h", F.xxhash64("text"))
     languages = sorted(r["lang"] for r in labelled.select("lang").distinct().collect())
     if not languages:
-        return LanguageModel([], np.empty(0, int), np.empty((0, 0)), np.empty((1, 0)))
+        return LanguageModel([], np.empty(0, int), np.empty((0, 0)), np.empty((1, 0)), np.empty(0))
     each = max(4, min(SAMPLE_PER_LANGUAGE, SAMPLE_ROWS // len(languages)))
     # Least hashes per language and salt first, then per language: no language meets in one task.
     texts = labelled.select("lang", "h").distinct().withColumn("salt", F.pmod("h", F.lit(61)))
@@ -165,19 +202,41 @@ def fit_languages(docs: DataFrame) -> LanguageModel:
             found = [
                 distinct_codes(data[low:high]) for low, high in zip(offsets[:-1], offsets[1:])
             ]
+            times = [
+                _times(data[low:high], c)
+                for low, high, c in zip(offsets[:-1], offsets[1:], found)
+            ]
             lengths = np.array([4 * len(c) for c in found], np.int64)
-            cells = binary_rows(lengths, np.concatenate([*found, np.empty(0, np.int32)]))
+            columns = [
+                binary_rows(lengths, np.concatenate([*part, np.empty(0, np.int32)]))
+                for part in (found, times)
+            ]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("lang"), batch.column("h"), cells], ["lang", "h", "codes"]
+                [batch.column("lang"), batch.column("h"), *columns], ["lang", "h", "codes", "times"]
             )
 
-    rows = sample.mapInArrow(codes, "lang string, h long, codes binary").collect()
+    rows = sample.mapInArrow(codes, "lang string, h long, codes binary, times binary").collect()
     rows = sorted(rows, key=lambda r: (r["lang"], r["h"]))
-    return fit([r["lang"] for r in rows], [np.frombuffer(r["codes"], np.int32) for r in rows])
+    found = ([np.frombuffer(r[name], np.int32) for r in rows] for name in ("codes", "times"))
+    return fit([r["lang"] for r in rows], *found)
+
 
+def _times(text: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """How often the text, between two spaces, holds each of the codes that is a trigram."""
+    order = np.argsort(codes)
+    ranked = codes[order]
+    counts = np.zeros(len(codes), np.int32)
+    for found in trigrams(text):
+        at = np.minimum(np.searchsorted(ranked, found + TRIGRAMS), len(codes) - 1)
+        at = at[ranked[at] == found + TRIGRAMS]
+        counts[order] += np.bincount(at, minlength=len(codes)).astype(np.int32)
+    return counts
 
-def fit(labels: list[str], texts: list[np.ndarray]) -> LanguageModel:
-    """Nystroem features of the sample and one ridge regression per language."""
+
+def fit(labels: list[str], texts: list[np.ndarray], times: list[np.ndarray]) -> LanguageModel:
+    """Nystroem features of the sample, one ridge regression per language, and the levels of known
+    trigrams. ``times`` says how often a text holds each of its codes.
+    """
     languages = sorted(set(labels))
     marks: list[np.ndarray] = []
     for language in languages:
@@ -186,7 +245,8 @@ def fit(labels: list[str], texts: list[np.ndarray]) -> LanguageModel:
     landmarks = np.zeros((len(vocabulary), len(marks)), np.float32)
     for j, codes in enumerate(marks):
         landmarks[np.searchsorted(vocabulary, codes), j] = 1 / np.sqrt(max(1, len(codes)))
-    model = LanguageModel(languages, vocabulary, landmarks, np.empty(0))
+    model = LanguageModel(languages, vocabulary, landmarks, np.empty(0), np.empty(0))
+    model.levels = known_levels(labels, texts, times, marks, vocabulary)
     values, vectors = np.linalg.eigh(model.kernel(marks).astype(np.float64))
     kept = values > 1e-6 * values[-1]
     to_features = vectors[:, kept] / np.sqrt(values[kept])
@@ -206,13 +266,45 @@ def fit(labels: list[str], texts: list[np.ndarray]) -> LanguageModel:
     return model
 
 
+def known_levels(
+    labels: list[str],
+    texts: list[np.ndarray],
+    times: list[np.ndarray],
+    marks: list[np.ndarray],
+    vocabulary: np.ndarray,
+) -> np.ndarray:
+    """Of each language, the share of known trigrams from which it claims a text. A landmark's own
+    trigrams count as known only when another landmark has them. A language of which one text alone
+    is known, or texts without trigrams, gets a low level: it cannot tell.
+    """
+    held = np.zeros(len(vocabulary), np.int32)
+    for codes in marks:
+        held[np.searchsorted(vocabulary, codes)] += 1
+    own = {id(codes) for codes in marks}
+    shares: dict[str, list[float]] = {}
+    for label, codes, count in zip(labels, texts, times):
+        at = np.minimum(np.searchsorted(vocabulary, codes), len(vocabulary) - 1)
+        known = (vocabulary[at] == codes) & (held[at] > (id(codes) in own))
+        of_three = codes >= TRIGRAMS
+        total = count[of_three].sum()
+        if total:
+            shares.setdefault(label, []).append(count[of_three & known].sum() / total)
+    return np.array(
+        [
+            KNOWN_PART * np.quantile(shares[language], KNOWN_QUANTILE) if language in shares else 0.0
+            for language in sorted(set(labels))
+        ]
+    )
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """Predicted language of every whole text.
 
     Input: ``doc_id, text, lang``; other columns are ignored. Output, one row per input row:
     ``doc_id, held_out, lang_pred, score``.
 
-    Defined cases: null texts and texts without a letter are ``und`` with score 0; so is every
+    Defined cases: null texts and texts without a letter are ``und`` with score 0; so are texts that
+    their best language does not claim (other scripts, random letters, encoded bytes), and every
     text when no labelled row may be learned from; a tie goes to the language that sorts first;
     a null ``doc_id`` hashes as an empty one; equal texts get equal predictions.
     """
