@@ -240,6 +240,27 @@ def test_leaks_brute(seed):
             assert found.get((row, item)) == (least if least <= budget else None)
 
 
+@pytest.mark.parametrize("size", [129, 200, 333, 400])
+def test_leaks_of_fragments(size):
+    rng = np.random.default_rng(size)
+    item = "".join(rng.choice(list("abcdefghijklmnop"), size))
+    index = decontamination.ItemIndex.build([(1, item.encode()), (2, item[::-1].encode())])
+    long = decontamination.FRAGMENT
+    assert long == 79
+    texts = [
+        "".join(rng.choice(list("qrstuvwxyz "), 200)) + item[low : low + long] + " z" * 90
+        for low in range(size - long + 1)
+    ]
+    found = {(row, i) for row, i, *_ in decontamination.search(index, pa.array(texts))}
+    assert found == {(row, 1) for row in range(len(texts))}
+    # Twelve edits in 128 bytes, wherever they are, as when such a part was one segment.
+    for low in sorted({*range(0, size - 127, 64), size - 128}):
+        for first in range(0, 116, 5):
+            own = list(item[low : low + 128])
+            own[first : first + 12] = "z" * 12
+            assert list(decontamination.search(index, pa.array(["".join(own)])))
+
+
 def test_distinct_codes():
     rng = np.random.default_rng(2)
     for size in (0, 1, 2, 3, 500):

@@ -1,6 +1,6 @@
 """Benchmark decontamination by q-gram counting in diagonal bands.
 
-An item is cut into overlapping segments. A text region within ``e`` edits of a segment of ``m``
+An item is searched whole, a long one in overlapping segments. A text region within ``e`` edits of a segment of ``m``
 bytes shares at least ``m - q + 1 - q * e`` of its q-grams with it, and all of them lie on ``e + 1``
 neighbouring diagonals (place in the text minus place in the segment). So shared q-grams are counted
 per segment and band of ``2 (e + 1)`` diagonals, bands overlapping by half; only bands that reach
@@ -21,8 +21,11 @@ from tokenloom.llm.batches import blocks, text_bytes
 from tokenloom.session import ship_package
 
 Q = 8
-# Longest segment of an item, step between segments, and edits allowed per byte of a segment.
-SEGMENT, STEP, EDIT_RATE = 128, 64, 0.1
+# Longest item that is searched whole, segment of a longer one, step between segments, and edits
+# allowed per byte of a segment (or whole item).
+WHOLE, SEGMENT, STEP, EDIT_RATE = 128, 64, 16, 0.1
+# Every verbatim part of a longer item with so many normalised bytes holds a whole segment.
+FRAGMENT = SEGMENT + STEP - 1
 # Items with fewer normalised bytes are too common as text to prove a leak.
 MIN_ITEM_BYTES = 32
 # Item bytes sent to the tasks at once; a larger benchmark is searched block by block.
@@ -53,6 +56,17 @@ def grams(data: np.ndarray) -> np.ndarray:
     return np.ndarray((len(data) - Q + 1,), np.uint64, buffer=data.data, strides=(1,))
 
 
+def segments_of(size: int) -> list[tuple[int, int]]:
+    """(low, high) of the segments of an item. Each 128 bytes of a longer one that begin at a
+    multiple of 64 or end it hold two segments side by side, of which one has at most half of any
+    edits.
+    """
+    if size <= WHOLE:
+        return [(0, size)]
+    lows = {*range(0, size - SEGMENT + 1, STEP), size - 2 * SEGMENT, size - SEGMENT}
+    return [(low, low + SEGMENT) for low in sorted(lows)]
+
+
 def _slot(codes: np.ndarray) -> np.ndarray:
     return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
 
@@ -81,18 +95,15 @@ class ItemIndex:
                 data = data[:-1]
             if len(data) < MIN_ITEM_BYTES:
                 continue
-            lows = list(range(0, max(1, len(data) - SEGMENT + 1), STEP))
-            if lows[-1] + SEGMENT < len(data):
-                lows.append(len(data) - SEGMENT)
-            for low in lows:
+            for low, high in segments_of(len(data)):
                 owners.append(item)
-                parts.append(data[low : low + SEGMENT])
+                parts.append(data[low:high])
         if not parts:
             return None
         lengths = np.array([len(p) for p in parts])
         # The budget is a share of the length, and small enough for the bound to be positive.
         edits = np.minimum((EDIT_RATE * lengths).astype(int), (lengths - Q) // Q)
-        segments = np.zeros((len(parts), SEGMENT), np.uint8)
+        segments = np.zeros((len(parts), WHOLE), np.uint8)
         codes, seg, place = [], [], []
         for i, part in enumerate(parts):
             segments[i, : len(part)] = part
@@ -260,9 +271,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Every (document, benchmark item) of which the document holds a passage.
 
     Input: ``doc_id, text`` and ``item_id, text``; other columns are ignored. A passage is a
-    region within ``EDIT_RATE`` edits per byte of a whole item of up to ``SEGMENT`` bytes or of a
+    region within ``EDIT_RATE`` edits per byte of a whole item of up to ``WHOLE`` bytes or of a
     ``SEGMENT``-byte segment of a longer one, letters in lower case and white space runs as one
-    space. Output per pair: ``doc_id, item_id, span_start, span_end`` (bytes of the text, from the
+    space. Segments begin every ``STEP`` bytes, so every verbatim part of a longer item with at
+    least ``FRAGMENT`` such bytes is found, wherever it begins. Output per pair: ``doc_id, item_id, span_start, span_end`` (bytes of the text, from the
     first passage to the end of the last), ``edits`` (fewest of any passage).
 
     Defined cases: null and empty texts and items hold nothing; items below ``MIN_ITEM_BYTES``
