@@ -146,6 +146,14 @@ def test_jaccard(docs, none):
     assert keep_one(none).collect() == []
 
 
+def test_jaccard_null_id_among_copies(spark):
+    rows = [(None, PROSE), (7, PROSE), (5, PROSE), (9, PROSE + "x"), (None, "alone here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = sorted(((r["doc_id"], r["component_id"]) for r in jaccard_components(docs).collect()), key=repr)
+    assert found == sorted([(None, 5), (7, 5), (5, 5), (9, 5), (None, None)], key=repr)
+    assert _ids(keep_one(docs)) == [5, None, None]
+
+
 def test_substrings(docs, none):
     rows = deduplicate(docs).collect()
     assert sorted(r["n_bytes"] for r in rows) == sorted(SIZE.values())

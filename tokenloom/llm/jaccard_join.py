@@ -307,9 +307,11 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         common = common_keys(docs.filter("text is not null").select("text"), shingle_sets)
         texts = stage(text_sets(docs, common, percent), "text-sets")
         filled = texts.filter("set_id is not null")
-        # One text stands for each class; the copies leave each task at most once.
+        # One text stands for each class, that of the smallest id; null ids, which Spark puts first,
+        # come last here. The copies leave each task at most once.
+        no_id = F.col("doc_id").isNull().alias("no_id")
         classes = filled.groupBy("set_id").agg(
-            F.min(F.struct("doc_id", "text_hash")).alias("text"),
+            F.min(F.struct(no_id, "doc_id", "text_hash")).alias("text"),
             F.first("rare").alias("rare"),
             F.first("usual").alias("usual"),
             F.first("n").alias("n"),
