@@ -245,6 +245,17 @@ def test_quality(docs, none):
     assert classify(none).collect() == []
 
 
+def test_quality_sample_of_copies(spark, monkeypatch):
+    from tokenloom.llm import quality
+
+    monkeypatch.setattr(quality, "SAMPLE_TEXTS", 16)
+    docs = spark.range(2000).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit(PROSE), (F.col("id") % 5).cast("string")).alias("text")
+    )
+    assert quality.sample_share(docs.select("text")) == 1
+    assert quality.fit_quality(docs).weights.any()
+
+
 def _best(rows, k=10, every=100):
     """Brute force over ``(vec_id, vector)``."""
     whole = []

@@ -268,11 +268,16 @@ def vote_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return digits, rows.column("count").to_numpy()[order].astype(float)
 
 
+def sample_share(texts: DataFrame) -> int:
+    """Of how many distinct texts one is sampled. Copies do not count: the sample has none."""
+    return max(1, texts.select(F.xxhash64("text")).distinct().count() // SAMPLE_TEXTS)
+
+
 def fit_quality(docs: DataFrame) -> QualityModel:
     """Label model over all documents, scorer over a sample of about ``SAMPLE_TEXTS`` texts."""
     texts = docs.select("text")
     labels = estimate(*vote_counts(texts))
-    share = max(1, texts.count() // SAMPLE_TEXTS)
+    share = sample_share(texts)
     chosen = texts.filter(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).dropDuplicates(["text"])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
