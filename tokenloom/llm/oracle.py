@@ -142,9 +142,84 @@ from digests d join placed p using (doc_id)
 """
 
 
+def _crc32(text: str) -> str:
+    """Unsigned crc32 of a short text's bytes, bit by bit."""
+    step = "xor(x, b)"
+    for _ in range(8):
+        step = f"list_transform([{step}], lambda c: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)[1]"
+    codes = f"list_transform(range(1, length({text}) + 1), lambda i: ascii({text}[i])::bigint)"
+    return (
+        f"xor(4294967295, list_reduce(list_prepend(4294967295::bigint, {codes}), "
+        f"lambda x, b: {step}))"
+    )
+
+
+def _leaf(n_chars: str) -> str:
+    parts = [
+        f"coalesce(strlen(({v})::varchar) || ':' || ({v})::varchar, '-')"
+        for v in ("doc_id", "source", "lang", n_chars, "text")
+    ]
+    return f"sha256({' || '.join(parts)})"
+
+
+_UP = """list_transform(range(0, (len(nodes) + 1) // 2),
+        lambda i: sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], '')))"""
+
+MERKLE = f"""
+with recursive hashed as materialized (
+    select doc_id, lang, {_leaf('n_chars')} as leaf,
+        case when {_crc32('(doc_id::varchar)')} % 7 = 0 then {_leaf('n_chars + 1')}
+            else {_leaf('n_chars')} end as changed
+    from documents
+), leaves as materialized (
+    select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as i,
+        row_number() over () as row
+    from hashed
+), levels as (
+    select lang, 0 as level, list(leaf order by i) as nodes from leaves group by lang
+    union all
+    select lang, level + 1, {_UP} from levels where len(nodes) > 1
+), tops as materialized (
+    select lang, level as height, nodes[1] as subroot,
+        row_number() over (order by lang nulls first) - 1 as i
+    from levels where len(nodes) = 1
+), roots as (
+    select 0 as level, list(subroot order by i) as nodes from tops
+    union all
+    select level + 1, {_UP} from roots where len(nodes) > 1
+), path as materialized (
+    select row, l.level as step, (i >> l.level) & 1 as side,
+        coalesce(nodes[xor(i >> l.level, 1) + 1], '') as sibling
+    from leaves join levels l on leaves.lang is not distinct from l.lang where len(nodes) > 1
+    union all
+    select row, t.height + r.level, (t.i >> r.level) & 1,
+        coalesce(nodes[xor(t.i >> r.level, 1) + 1], '')
+    from leaves join tops t on leaves.lang is not distinct from t.lang, roots r
+    where len(r.nodes) > 1
+), folds as (
+    select row, 0 as step, changed as node from leaves
+    union all
+    select f.row, f.step + 1,
+        sha256(case side when 1 then sibling || node else node || sibling end)
+    from folds f join path p on f.row = p.row and f.step = p.step
+), ends as (
+    select row, arg_max(node, step) as folded_root from folds group by row
+), proofs as (
+    select row, sha256(coalesce(string_agg(sibling, '' order by step), '')) as proof_sha256
+    from leaves left join path using (row) group by row
+)
+select doc_id, leaf, subroot, (select nodes[1] from roots where len(nodes) = 1) as root,
+    proof_sha256, folded_root,
+    folded_root = (select nodes[1] from roots where len(nodes) = 1) as verified
+from leaves l join tops t on l.lang is not distinct from t.lang
+    join proofs using (row) join ends using (row)
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_top_k": TOP_K,
     "op4_jaccard_join": JACCARD_JOIN,
     "op5_substring_dedup": SUBSTRING_DEDUP,
     "op6_sharding": _sharding(),
+    "op13_merkle_manifest": MERKLE,
 }

@@ -11,6 +11,7 @@ from tokenloom.llm import pieces
 from tokenloom.llm.decontamination import find_leaks
 from tokenloom.llm.jaccard_join import jaccard_components
 from tokenloom.llm.language_id import identify
+from tokenloom.llm.merkle import verify_documents
 from tokenloom.llm.quality import classify
 from tokenloom.llm.sharding import shard_rows
 from tokenloom.llm.substring_dedup import deduplicate
@@ -81,6 +82,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle manifest of all documents, and each document checked against it after a change."""
+    return verify_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_top_k": op1_top_k,
     "op2_decontamination": op2_decontamination,
@@ -92,4 +98,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pieces": op8_pieces,
     "op9_token_counts": op9_token_counts,
     "op10_quality": op10_quality,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
