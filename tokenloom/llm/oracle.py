@@ -216,10 +216,38 @@ from leaves l join tops t on l.lang is not distinct from t.lang
 """
 
 
+WORD_DEDUP = """
+with words as materialized (
+    select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w
+    from documents
+), starts as (
+    select doc_id, w, unnest(range(0, len(w) - 12)) as pos from words where len(w) >= 13
+), windows as materialized (
+    select doc_id, pos, array_to_string(w[pos + 1 : pos + 13], ' ') as string from starts
+), firsts as (
+    select string, min(doc_id) as first from windows
+    group by string having min(doc_id) < max(doc_id)
+), covered as (
+    select distinct doc_id, unnest(range(pos, pos + 13)) as i
+    from windows join firsts using (string) where first < doc_id
+), kept as (
+    select doc_id, count(c.i) as n_removed,
+        string_agg(word, ' ' order by i) filter (c.i is null) as text
+    from (select doc_id, unnest(w) as word, unnest(range(0, len(w))) as i from words) a
+        left join covered c using (doc_id, i)
+    group by doc_id
+)
+select doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed,
+    sha256(coalesce(text, '')) as kept_sha256
+from words left join kept using (doc_id)
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_top_k": TOP_K,
     "op4_jaccard_join": JACCARD_JOIN,
     "op5_substring_dedup": SUBSTRING_DEDUP,
     "op6_sharding": _sharding(),
+    "op11_word_dedup": WORD_DEDUP,
     "op13_merkle_manifest": MERKLE,
 }

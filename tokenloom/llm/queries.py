@@ -18,6 +18,7 @@ from tokenloom.llm.substring_dedup import deduplicate
 from tokenloom.llm.token_counts import TokenizerFile, count_tokens
 from tokenloom.llm.token_files import token_files
 from tokenloom.llm.topk import top_k
+from tokenloom.llm.word_dedup import deduplicate_words
 from tokenloom.session import stage_path
 
 PIECES = "piece_bpe_32k.model"
@@ -82,6 +83,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_table(spark, sf_dir, "documents"))
 
 
+def op11_word_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of thirteen words that earlier documents hold, cut from all documents."""
+    return deduplicate_words(_table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merkle manifest of all documents, and each document checked against it after a change."""
     return verify_documents(_table(spark, sf_dir, "documents"))
@@ -98,5 +104,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pieces": op8_pieces,
     "op9_token_counts": op9_token_counts,
     "op10_quality": op10_quality,
+    "op11_word_dedup": op11_word_dedup,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
