@@ -243,11 +243,56 @@ from words left join kept using (doc_id)
 """
 
 
+COLLOCATIONS = f"""
+with pieces as (
+    select coalesce(lang, 'und') as lang, row_number() over () as row,
+        unnest(regexp_split_to_array(
+            translate(text, '{_UPPER}', '{_UPPER.lower()}'), '[.,;:!?\\x0A-\\x0D]')) as piece
+    from documents where text is not null
+), words as materialized (
+    select lang, row_number() over () as piece, regexp_extract_all(piece, '[^\\x20\\x09]+') as w
+    from pieces
+), sizes as (
+    select lang, sum(len(w))::bigint as n from words group by lang
+), phrases as (
+    select lang, k, array_to_string(w[i : i + k - 1], ' ') as phrase
+    from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i
+          from words, (select unnest(range(1, 5)) as k) where len(w) >= k)
+), found as materialized (
+    select lang, k as size, phrase, count(*) as f from phrases group by all having count(*) >= 30
+), cuts as (
+    select lang, size, phrase, f as a, k,
+        array_to_string(string_split(phrase, ' ')[: k], ' ') as head,
+        array_to_string(string_split(phrase, ' ')[k + 1 :], ' ') as tail
+    from (select *, unnest(range(1, size)) as k from found where size > 1)
+), scored as (
+    select c.lang, c.size, c.phrase, c.a, k, h.f as l, t.f as r,
+        ((2000000::hugeint * a) // (h.f + t.f))::bigint as score
+    from cuts c join found h on h.lang = c.lang and h.phrase = c.head
+        join found t on t.lang = c.lang and t.phrase = c.tail
+), best as materialized (
+    select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1
+), parts as (
+    select lang, array_to_string(string_split(phrase, ' ')[i : i + k - 1], ' ') as phrase, a
+    from (select *, unnest(range(1, size - k + 2)) as i
+          from (select lang, phrase, size, a, unnest(range(2, size)) as k from best where size > 2))
+), most as (
+    select lang, phrase, max(a) as most from parts group by all
+)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank,
+    phrase, a, l, r, n, score
+from best left join most using (lang, phrase) join sizes using (lang)
+where not coalesce(100::hugeint * most >= 80::hugeint * a, false)
+qualify rank <= 2000
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_top_k": TOP_K,
     "op4_jaccard_join": JACCARD_JOIN,
     "op5_substring_dedup": SUBSTRING_DEDUP,
     "op6_sharding": _sharding(),
     "op11_word_dedup": WORD_DEDUP,
+    "op12_collocations": COLLOCATIONS,
     "op13_merkle_manifest": MERKLE,
 }

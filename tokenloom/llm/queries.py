@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tokenloom.llm import pieces
+from tokenloom.llm.collocations import collocations
 from tokenloom.llm.decontamination import find_leaks
 from tokenloom.llm.jaccard_join import jaccard_components
 from tokenloom.llm.language_id import identify
@@ -88,6 +89,11 @@ def op11_word_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate_words(_table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of every language of all documents."""
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merkle manifest of all documents, and each document checked against it after a change."""
     return verify_documents(_table(spark, sf_dir, "documents"))
@@ -105,5 +111,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_quality": op10_quality,
     "op11_word_dedup": op11_word_dedup,
+    "op12_collocations": op12_collocations,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
