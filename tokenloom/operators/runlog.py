@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 from pyspark.sql.window import Window
 
 from tokenloom.operators.prefix import MAX_GROUP_ROWS, grouped_running
@@ -132,35 +133,60 @@ def learning_rate(
 
 
 def topk_draw(
-    scores: DataFrame, key: str, item: str, k: int, temperature: float, uniform: Column
+    scores: DataFrame,
+    key: str,
+    item: str,
+    k: int,
+    temperature: float,
+    uniform: Column,
+    max_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """One weighted draw per key among its ``k`` best scores, ties with the k-th kept.
 
     ``scores`` is ``(key, item, score)``; ``uniform`` in ``[0, 1)`` may depend on the key only.
-    Gives ``key, item, probability, candidates``. The rank filter is applied per task before the
-    shuffle, so a hot key sends only its candidates.
+    Gives ``key, item, probability, candidates``.
+
+    The draw is made in two steps. Candidates of one score are a class, counted with map-side
+    combine: at most ``k`` classes of a key are windowed, however many rows tie. The uniform's place
+    in the classes' masses gives the class and a place in it, in the order of items; only the
+    drawn class is looked at again, and one of more than ``max_rows`` rows bin by bin where items
+    are whole numbers.
     """
     if k < 1 or temperature <= 0:
         raise ValueError("k and temperature must be positive")
-    best = Window.partitionBy(key).orderBy(F.col("scaled").desc())
-    kept = (
-        scores.select(key, item, (F.col("score") / F.lit(temperature)).alias("scaled"))
-        .withColumn("_rank", F.rank().over(best))
-        .filter(F.col("_rank") <= k)
-    )
-    order = Window.partitionBy(key).orderBy(F.col("scaled").desc(), F.col(item))
+    scaled = scores.select(key, item, (F.col("score") / F.lit(temperature)).alias("_scaled"))
+    classes = scaled.groupBy(key, "_scaled").agg(F.count(F.lit(1)).alias("_rows"))
+    best = Window.partitionBy(key).orderBy(F.col("_scaled").desc())
+    earlier = best.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(key)
-    through = F.sum("_mass").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    # Every class has a row, so the first k classes hold the k best scores.
+    first = classes.withColumn("_class", F.row_number().over(best)).filter(F.col("_class") <= k)
+    ahead = F.coalesce(F.sum("_rows").over(earlier), F.lit(0))
+    kept = first.withColumn("_ahead", ahead).filter(F.col("_ahead") < k)
     weighed = (
-        kept.withColumn("_mass", F.exp(F.col("scaled") - F.max("scaled").over(whole)))
-        .withColumn("_through", through)
-        .withColumn("_before", F.lag("_through", 1, 0.0).over(order))
+        kept.withColumn("_mass", F.exp(F.col("_scaled") - F.max("_scaled").over(whole)))
+        .withColumn("_before", F.coalesce(F.sum(F.col("_mass") * F.col("_rows")).over(earlier), F.lit(0.0)))
+        .withColumn("_through", F.col("_before") + F.col("_mass") * F.col("_rows"))
         .withColumn("_total", F.max("_through").over(whole))
-        .withColumn("candidates", F.count(F.lit(1)).over(whole))
+        .withColumn("candidates", F.sum("_rows").over(whole))
     )
-    # The first candidate whose running mass passes the goal.
+    # The first class whose running mass passes the goal, and the place inside it.
     goal = uniform * F.col("_total")
-    hit = weighed.filter((F.col("_through") > goal) & (F.col("_before") <= goal))
-    return hit.select(
-        key, item, (F.col("_mass") / F.col("_total")).alias("probability"), "candidates"
+    place = F.floor((goal - F.col("_before")) / F.col("_mass")).cast("long")
+    drawn = weighed.filter((F.col("_through") > goal) & (F.col("_before") <= goal)).select(
+        key,
+        "_scaled",
+        F.least(place, F.col("_rows") - 1).alias("_place"),
+        (F.col("_mass") / F.col("_total")).alias("probability"),
+        "candidates",
+    )
+    members = scaled.join(drawn, [key, "_scaled"])
+    if isinstance(scores.schema[item].dataType, (ByteType, ShortType, IntegerType, LongType)):
+        one = {"_nth": F.lit(1).cast("long")}
+        ranked = grouped_running(members, [key], item, [item], sums=one, max_rows=max_rows)
+    else:
+        nth = F.row_number().over(Window.partitionBy(key).orderBy(item)) - 1
+        ranked = members.withColumn("_nth", nth)
+    return ranked.filter(F.col("_nth") == F.col("_place")).select(
+        key, item, "probability", "candidates"
     )

@@ -56,7 +56,7 @@ def rank_ranges(spark: SparkSession, plan: RankPlan) -> DataFrame:
     )
 
 
-def _window_pieces(stream: DataFrame, plan: RankPlan) -> DataFrame:
+def _window_pieces(stream: DataFrame, plan: RankPlan, only: str = "_hi > lo") -> DataFrame:
     """``(rank, window, lo, piece)``: the part of each window that each stream row holds."""
     per, block, last = plan.tokens_per_rank, plan.block, plan.windows_per_rank - 1
     used = per * plan.world
@@ -75,7 +75,7 @@ def _window_pieces(stream: DataFrame, plan: RankPlan) -> DataFrame:
     inside = stream.filter(f"end > start and start < {used}").select("start", "end", "tokens")
     # Ranges are exploded and ids sliced above them in the same generated code: see
     # ``split_fragments``.
-    return inside.select("start", "tokens", F.inline_outer(ranges)).filter("_hi > lo").select(
+    return inside.select("start", "tokens", F.inline_outer(ranges)).filter(only).select(
         "rank", "window", "lo", slice_ids("tokens", "lo", "_hi").alias("piece")
     )
 
@@ -94,6 +94,24 @@ def sequential_windows(stream: DataFrame, plan: RankPlan) -> DataFrame:
     return _window_pieces(stream, plan).groupBy("rank", "window").agg(_joined().alias("tokens"))
 
 
+def edge_pieces(stream: DataFrame, plan: RankPlan) -> DataFrame:
+    """``(rank, window, lo, piece)`` of the windows that no stream row holds whole: at most
+    ``block`` ids at either end of a row.
+    """
+    return _window_pieces(stream, plan, f"_hi > lo and _hi - lo <= {plan.block}")
+
+
+def stored_windows(stream: DataFrame, plan: RankPlan) -> DataFrame:
+    """``sequential_windows`` of a stored stream of long rows (token files, shards).
+
+    A window inside one row is cut where the row is read; only the edge pieces are shuffled. The
+    rows are read twice, so the stream should be stored, not computed.
+    """
+    whole = _window_pieces(stream, plan, f"_hi - lo = {plan.block + 1}")
+    edges = edge_pieces(stream, plan).groupBy("rank", "window").agg(_joined().alias("tokens"))
+    return whole.select("rank", "window", F.col("piece").alias("tokens")).unionByName(edges)
+
+
 def next_token_pairs(windows: DataFrame, block: int, tokens: str = "tokens") -> DataFrame:
     """Replace the ids by ``x`` and ``y``, where ``y`` is ``x`` one token later."""
     rest = [c for c in windows.columns if c != tokens]
@@ -246,8 +264,8 @@ def windows_at(stream: DataFrame, draws: DataFrame, block: int, rows: int) -> Da
     """Add to each draw its ``block + 1`` ids, ``tokens``, from ``start`` on.
 
     Draws and stream rows meet in cells of ``block`` tokens, two (at most three) per draw, by hash
-    join. ``rows`` is the number of draws: up to the broadcast limit only the stream pieces that
-    some draw reads leave their task, and beyond it both sides shuffle by cell.
+    join. ``rows`` is the number of draws: up to the broadcast limit only the cells that some draw
+    reads are cut out and leave their task, and beyond it both sides shuffle by cell.
     """
     width = block + 1
     named = draws.withColumn("_draw", F.struct(*draws.columns))
@@ -264,8 +282,12 @@ def windows_at(stream: DataFrame, draws: DataFrame, block: int, rows: int) -> Da
                        '_hi', least(end, (c + 1) * {width})))
     """)
     pieces = stream.filter("end > start").select("start", "tokens", F.inline_outer(cells))
-    pieces = pieces.select("_cell", "lo", "_hi", slice_ids("tokens", "lo", "_hi").alias("part"))
-    met = pieces.join(broadcast_if_small(wanted, 2 * rows, BROADCAST_ROWS), "_cell")
+    part = slice_ids("tokens", "lo", "_hi").alias("part")
+    if 2 * rows <= BROADCAST_ROWS:
+        # Cells meet the draws inside the generated code of the scan; only those hit are sliced.
+        met = pieces.join(F.broadcast(wanted), "_cell").select("_draw", "_from", "lo", "_hi", part)
+    else:
+        met = pieces.select("_cell", "lo", "_hi", part).join(wanted, "_cell")
     low = F.greatest("lo", "_from")
     high = F.least(F.col("_hi"), F.col("_from") + width)
     cut = met.filter(high > low).select(

@@ -19,6 +19,8 @@ SHARD_TOKENS = 100_000
 VAL_CAP = 1_638
 SEED = 42
 BLOCK, WORLD, BATCH, ACCUM = 1_024, 8, 4, 2
+# Files into which the documents are written where a query reads a corpus of files.
+FILES = 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

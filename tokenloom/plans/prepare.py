@@ -7,9 +7,10 @@ documents inside the budgets, finds each one's shard by its key, and writes it.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -19,7 +20,7 @@ from tokenloom.operators.budget import (
     budget_select,
     truncate_text,
 )
-from tokenloom.operators.clean import MAX_TOKEN_COUNT, skip_reason, skips_read
+from tokenloom.operators.clean import MAX_TOKEN_COUNT, is_kept, malformed_flag, skip_reason, skips_read
 from tokenloom.operators.lookup import interval_lookup
 from tokenloom.operators.nextfit import assign_shards, max_shards, next_fit_cuts
 from tokenloom.operators.order import stream_positions, with_shuffle_key
@@ -28,18 +29,19 @@ from tokenloom.operators.shards import (
     TOKEN_SHARD,
     VAL_TOKENS,
     holdout_size,
-    split_fragments,
 )
-from tokenloom.operators.tokenize import tokenize
 from tokenloom.session import broadcast_if_small, materialize, settle
+from tokenloom.sources.corpus import Paths, scan_corpus
 from tokenloom.sources.metadata import dataset_meta, put_meta
 from tokenloom.sources.shards import (
     by_task,
+    encode_in_place,
     read_raw_shards,
     read_token_shards,
     replace_partitions,
-    write_token_shards,
+    write_encoded_shards,
 )
+from tokenloom.sources.zones import count_until_met
 
 # Fixed value: the shuffle seed.
 SEED = 42
@@ -67,11 +69,13 @@ class Prepared:
 def count_documents(
     docs: DataFrame, spec: DataFrame, tokenizer, max_tokens: int = MAX_TOKEN_COUNT
 ) -> DataFrame:
-    """Stored narrow table ``(source, seq, n_tokens, reason)`` of the mixture's sources."""
+    """Stored narrow table ``(source, seq, n_tokens, reason)`` of the mixture's sources. Where
+    ``docs`` says which texts were ``malformed``, the reason of those kept does too.
+    """
     wanted = docs.join(
         broadcast_if_small(spec.select("source"), spec.count()), "source", "left_semi"
     )
-    reason = skip_reason(F.col("text"), F.col("n_tokens"), max_tokens)
+    reason = skip_reason(F.col("text"), F.col("n_tokens"), max_tokens, malformed_flag(docs))
     counted = wanted.withColumn("n_tokens", tokenizer.count(F.col("text")))
     return materialize(
         counted.select("source", "seq", "n_tokens", reason.alias("reason")), "counts"
@@ -95,11 +99,61 @@ def prepare(
     max_tokens: int = MAX_TOKEN_COUNT,
 ) -> Prepared:
     """Run the job over ``docs`` ``(source, seq, text)`` and the mixture ``spec``."""
+    counts = count_documents(docs, spec, tokenizer, max_tokens)
+    return prepare_counted(docs, counts, spec, tokenizer, out, version, seed, raw_limit,
+                           token_limit, val_cap, max_tokens)
+
+
+def prepare_corpora(
+    spark: SparkSession,
+    paths: Mapping[str, Paths],
+    spec: DataFrame,
+    tokenizer,
+    out: str,
+    file_format: str = "parquet",
+    text: str = "text",
+    max_tokens: int = MAX_TOKEN_COUNT,
+    **limits,
+) -> Prepared:
+    """Run the job over datasets by name, opening only the files that the budgets need: files are
+    counted in their order until a source's target is met, and the second scan reads the files up
+    to the one in which it is. A source not read to its end has no ``available_tokens``.
+    """
+    counted = count_until_met(spark, paths, spec, tokenizer, max_tokens, file_format, text)
+    if not any(counted.files.values()):
+        raise ValueError("no documents inside the budgets")
+    docs = scan_corpus(spark, {s: f for s, f in counted.files.items() if f}, text, file_format)
+    done = prepare_counted(
+        docs, counted.counts, spec, tokenizer, out, max_tokens=max_tokens, **limits
+    )
+    ended = counted.ended
+    report = done.report.join(broadcast_if_small(ended, len(counted.files)), "source").select(
+        *[
+            F.when(F.col("ended"), F.col(c)).alias(c) if c == "available_tokens" else F.col(c)
+            for c in done.report.columns
+        ]
+    )
+    return replace(done, report=report)
+
+
+def prepare_counted(
+    docs: DataFrame,
+    counts: DataFrame,
+    spec: DataFrame,
+    tokenizer,
+    out: str,
+    version: str = "v1",
+    seed: int = SEED,
+    raw_limit: int = RAW_SHARD,
+    token_limit: int = TOKEN_SHARD,
+    val_cap: int = VAL_TOKENS,
+    max_tokens: int = MAX_TOKEN_COUNT,
+) -> Prepared:
+    """The job after counting. ``counts`` is stored, ``(source, seq, n_tokens, reason)``."""
     raw_path, token_path, meta_path = f"{out}/raw", f"{out}/tokens", f"{out}/meta"
     sources = spec.count()
 
-    counts = count_documents(docs, spec, tokenizer, max_tokens)
-    kept_counts = counts.filter("reason = 'kept'").drop("reason")
+    kept_counts = counts.filter(is_kept()).select("source", "seq", "n_tokens")
     cutoffs = settle(budget_cutoffs(kept_counts, spec), "cutoffs", sources)
     selected = budget_select(kept_counts, cutoffs, sources)
 
@@ -224,7 +278,9 @@ def _write_tokens(spark, tokenizer, raw_path, token_path, raw_shards, limit, val
     raw = read_raw_shards(spark, raw_path)
     total = raw.agg(F.sum("n_tokens")).first()[0] or 0
     val_tokens = holdout_size(total, val_cap)
-    train_shards = -(-(total - val_tokens) // limit)
-    stream = tokenize(raw_stream(raw, raw_shards), tokenizer).select("start", "end", "tokens")
-    write_token_shards(split_fragments(stream, val_tokens, limit), token_path, train_shards)
-    return train_shards
+    stream = raw_stream(raw, raw_shards)
+    fragments = encode_in_place(
+        stream, tokenizer, val_tokens, limit, total, TOKEN_BYTES * total
+    )
+    write_encoded_shards(fragments, token_path)
+    return -(-(total - val_tokens) // limit)

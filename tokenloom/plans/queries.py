@@ -24,13 +24,15 @@ from tokenloom.session import materialize, settle, ship_package, stage_path
 from tokenloom.sources.corpus import scan_corpus
 from tokenloom.sources.metadata import dataset_meta, pass_columns, read_meta
 from tokenloom.sources.shards import (
+    encode_in_place,
     read_raw_shards,
     read_token_shards,
+    write_encoded_bins,
+    write_encoded_shards,
     write_raw_shards,
-    write_token_bins,
-    write_token_shards,
 )
 from tokenloom.sources.tokenbin import TokenBinSource
+from tokenloom.sources.zones import count_until_met, needed_zones
 from tokenloom.streaming.ingest import (
     budgeted_ingest,
     read_ingested,
@@ -68,6 +70,48 @@ def corpus_scan(spark, sf_dir):
     return docs.select("source", "seq", F.md5("text").alias("text_md5"))
 
 
+def _arranged(spark, sf_dir, columns: str):
+    """The documents in ``fx.FILES`` runs of ``doc_id``, a writing task each, so a file each."""
+    docs = fx.table(spark, sf_dir, "documents").filter("doc_id is not null")
+    last = docs.agg(F.max("doc_id")).first()[0]
+    run = F.expr(f"doc_id div {-(-((last or 0) + 1) // fx.FILES)}").cast("int")
+    docs = docs.withColumn("mix", fx.mixture_source()).withColumn("run", run)
+    placed = docs.repartitionById(fx.FILES, F.col("run")).sortWithinPartitions("doc_id")
+    return placed.select(*columns.split())
+
+
+def _small_splits(spark):
+    """A session of the same application that cuts files into splits of 64 KB."""
+    session = spark.newSession()
+    partitions = "spark.sql.shuffle.partitions"
+    session.conf.set(partitions, spark.conf.get(partitions))
+    session.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    session.conf.set("spark.sql.files.openCostInBytes", "1k")
+    return session
+
+
+@query
+def corpus_scan_json(spark, sf_dir):
+    """The documents as JSON lines in several files, scanned in splits much smaller than these."""
+    path = stage_path(spark, "json-lines")
+    _arranged(spark, sf_dir, "text doc_id").write.json(path)
+    docs = scan_corpus(_small_splits(spark), {"lines": path}, file_format="json")
+    stored = stage_path(spark, "json-scan")
+    docs.select("source", "seq", F.md5("text").alias("text_md5")).write.parquet(stored)
+    return spark.read.parquet(stored)
+
+
+@query
+def corpus_scan_text(spark, sf_dir):
+    """The lines of all documents as text files, a document per line, numbered from each file's
+    start.
+    """
+    path = stage_path(spark, "text-lines")
+    _arranged(spark, sf_dir, "text").write.text(path)
+    docs = scan_corpus(spark, {"lines": path}, file_format="text")
+    return docs.select("source", "seq", F.md5("text").alias("text_md5"))
+
+
 @query
 def coerce_text(spark, sf_dir):
     turns = fx.table(spark, sf_dir, "conversations")
@@ -125,6 +169,26 @@ def skip_report(spark, sf_dir):
     return clean.skip_report(counted, max_tokens=4_000)
 
 
+@query
+def repair_report(spark, sf_dir):
+    """Documents by reason where the texts of two languages are stored with broken bytes, as text
+    or as bytes in a list: these are repaired, kept and counted as malformed.
+    """
+    docs = fx.table(spark, sf_dir, "documents")
+    raw = F.encode("text", "UTF-8")
+    broken = F.concat(F.unhex(F.lit("C3")), raw, F.unhex(F.lit("E282")))
+    text = F.when(F.col("lang") == "de", broken).otherwise(raw)
+    listed = F.array(raw, F.when(F.col("lang") == "fr", broken))
+    report = None
+    for name, column in (("text", text.cast("string")), ("list", listed)):
+        stored = docs.select("doc_id", column.alias("text"))
+        flagged = clean.to_documents(stored, F.lit(name), F.col("doc_id"), flag=True)
+        counted = flagged.withColumn("n_tokens", fx.TOKENIZER.count(F.col("text")))
+        part = clean.skip_report(counted, max_tokens=4_000)
+        report = part if report is None else report.unionByName(part)
+    return report
+
+
 @query
 def oversize_guard(spark, sf_dir):
     kept = clean.drop_oversize(fx.counted(spark, sf_dir), max_tokens=4_000)
@@ -236,6 +300,42 @@ def mix_share(spark, sf_dir):
     )
 
 
+def _corpora(spark, sf_dir) -> dict[str, str]:
+    """The three sources as Parquet datasets of several files, documents in input order."""
+    docs = _arranged(spark, sf_dir, "mix text doc_id")
+    paths = {}
+    for source in fx.TARGETS_PER_DOC:
+        paths[source] = stage_path(spark, f"corpus-{source}")
+        docs.filter(F.col("mix") == source).drop("mix").write.parquet(paths[source])
+    return paths
+
+
+@query
+def zone_map(spark, sf_dir):
+    """What the files hold that the budgets need, counted file by file."""
+    spec = fx.targets(spark, sf_dir)
+    counted = count_until_met(spark, _corpora(spark, sf_dir), spec, fx.TOKENIZER)
+    zones = needed_zones(counted.zones, spec)
+    return zones.select(
+        "source", "number", "docs", "bytes", "tokens", "tokens_before", "low_seq", "high_seq"
+    )
+
+
+@query
+def pruned_budget(spark, sf_dir):
+    """The budgeted documents, read from the files up to each source's cut alone."""
+    spec = fx.targets(spark, sf_dir)
+    counted = count_until_met(spark, _corpora(spark, sf_dir), spec, fx.TOKENIZER)
+    kept = counted.counts.filter(clean.is_kept()).select("source", "seq", "n_tokens")
+    cutoffs = budget.budget_cutoffs(kept, spec)
+    docs = scan_corpus(spark, {s: f for s, f in counted.files.items() if f})
+    docs = clean.kept_documents(docs, fx.TOKENIZER.count(F.col("text")))
+    mixed = budget.truncate_text(
+        budget.budget_select(docs, cutoffs, len(fx.TARGETS_PER_DOC)), fx.TOKENIZER
+    )
+    return mixed.select("source", "seq", "kept_tokens", F.md5("text").alias("text_md5"))
+
+
 # Order -----------------------------------------------------------------------------------------
 
 
@@ -340,20 +440,41 @@ def dataset_meta_row(spark, sf_dir):
 QUERIES["dataset_meta"] = QUERIES.pop("dataset_meta_row")
 
 
+def _encoded(spark, sf_dir, hold_out: bool = True):
+    """Fragments made where their files are written, from a stored stream of text, and the number
+    of train shards.
+    """
+    counted = fx.counted(spark, sf_dir)
+    total = fx.total_tokens(counted)
+    val = shards.holdout_size(total, fx.VAL_CAP) if hold_out else 0
+    placed = fx.positioned(spark, sf_dir).select("start", "end", "text")
+    stored = materialize(placed, "stream")
+    made = encode_in_place(stored, fx.TOKENIZER, val, fx.SHARD_TOKENS, total, 4 * total)
+    return made, -(-(total - val) // fx.SHARD_TOKENS), total
+
+
 @query
 def token_shard_rescan(spark, sf_dir):
-    """Write token shards as Parquet and as flat files, and read both back: tokens per file."""
-    fragments, train = _fragments(spark, sf_dir, tokens=True)
-    count = -(-train // fx.SHARD_TOKENS)
+    """Write token shards as Parquet, and export them as flat files: tokens per file read back from
+    these. Ids are made in the task that writes their file.
+    """
+    made, _, _ = _encoded(spark, sf_dir)
     path, bins = stage_path(spark, "tokens"), stage_path(spark, "bins")
-    write_token_shards(fragments, path, count)
+    write_encoded_shards(made, path)
     spark.dataSource.register(TokenBinSource)
-    write_token_bins(read_token_shards(spark, path), bins, count)
+    write_encoded_bins(made, bins)
     rows = spark.read.format("tokenbin").option("rowTokens", 10_000).load(f"{bins}/train_shards")
     sums = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, i: a + i)
-    return rows.groupBy("file").agg(
+    files = rows.groupBy("file").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.sum(sums).alias("id_sum")
+    )
+    # Both forms hold the same ids.
+    name = F.format_string("shard_%05d.bin", F.col("shard_id"))
+    stored = read_token_shards(spark, path, "train").groupBy(name.alias("file"))
+    stored = stored.agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.sum(sums).alias("id_sum")
     )
+    return files.join(stored, ["file", "start", "end", "id_sum"])
 
 
 def _prepared(spark, sf_dir):
@@ -389,17 +510,12 @@ def _stream(spark, sf_dir):
     """The token stream and the rank plan over it."""
     total = fx.total_tokens(fx.counted(spark, sf_dir))
     stream = tokenize(fx.positioned(spark, sf_dir), fx.TOKENIZER).select("start", "end", "tokens")
-    return stream, windows.RankPlan(total, fx.WORLD, _block(total))
-
-
-def _block(total: int) -> int:
-    """The fixture's block, or a tenth of a rank's range on the smallest tables."""
-    return min(fx.BLOCK, total // fx.WORLD // 10)
+    return stream, windows.RankPlan(total, fx.WORLD, fx.BLOCK)
 
 
 def _plan(spark, sf_dir):
     total = fx.total_tokens(fx.counted(spark, sf_dir))
-    return windows.RankPlan(total, fx.WORLD, _block(total))
+    return windows.RankPlan(total, fx.WORLD, fx.BLOCK)
 
 
 def _steps(plan: windows.RankPlan) -> int:
@@ -423,6 +539,28 @@ def sequential_windows(spark, sf_dir):
     )
 
 
+def _bins(spark, sf_dir) -> tuple[DataFrame, windows.RankPlan]:
+    """The whole stream as flat files, read in long rows, and the rank plan over it."""
+    made, _, total = _encoded(spark, sf_dir, hold_out=False)
+    bins = stage_path(spark, "stream-bins")
+    spark.dataSource.register(TokenBinSource)
+    write_encoded_bins(made, bins)
+    rows = spark.read.format("tokenbin").load(f"{bins}/train_shards")
+    return rows, windows.RankPlan(total, fx.WORLD, fx.BLOCK)
+
+
+@query
+def stored_windows(spark, sf_dir):
+    """Sequential windows of stored token files: cut where they are read, edges alone shuffled."""
+    stream, plan = _bins(spark, sf_dir)
+    return windows.stored_windows(stream, plan).select(
+        "rank",
+        F.col("window").alias("window_id"),
+        F.size("tokens").alias("n_tokens"),
+        digest(F.col("tokens")).alias("ids_md5"),
+    )
+
+
 @query
 def window_pairs(spark, sf_dir):
     stream, plan = _stream(spark, sf_dir)
@@ -520,6 +658,23 @@ def random_train_windows(spark, sf_dir):
     )
 
 
+@query
+def random_batches(spark, sf_dir):
+    """Batches of random validation windows, slots in order."""
+    fragments, train = _fragments(spark, sf_dir, tokens=True)
+    val = shards.holdout_size(fx.total_tokens(fx.counted(spark, sf_dir)), fx.VAL_CAP)
+    steps = _eval_steps(train)
+    draws = windows.val_draws(spark, fx.SEED, steps, fx.BATCH, val, fx.BLOCK)
+    stream = fragments.filter("split = 'val'").select("start", "end", "tokens")
+    found = windows.windows_at(stream, draws, fx.BLOCK, steps * fx.BATCH)
+    return windows.stack_random_batches(found, fx.BLOCK).select(
+        "step",
+        F.size("x").alias("slots"),
+        digest(F.flatten("x")).alias("x_md5"),
+        digest(F.flatten("y")).alias("y_md5"),
+    )
+
+
 # Run log ---------------------------------------------------------------------------------------
 
 
@@ -586,16 +741,23 @@ def topk_draw(spark, sf_dir):
 
 def _ingested(spark, sf_dir, max_tokens: int = clean.MAX_TOKEN_COUNT) -> str:
     """The documents as a stream of four files in ``seq`` order, a micro-batch each, run to its
-    end; the folder of its results.
+    end; the folder of its results. Rows without an id come with the first file.
     """
     docs = fx.table(spark, sf_dir, "documents")
-    last = docs.agg(F.max("doc_id")).first()[0]
-    quarter = -(-(last + 1) // 4)
+    last = docs.agg(F.max("doc_id")).first()[0] or 0
+    quarter = F.coalesce(F.expr(f"doc_id div {-(-(last + 1) // 4)}"), F.lit(0)).cast("int")
     files = stage_path(spark, "arriving")
+    # One task for each file: a file is a micro-batch of the fixture, not of the operator.
+    own = docs.withColumn("_quarter", quarter)
     for part in range(4):
-        own = docs.filter(F.col("doc_id").between(part * quarter, (part + 1) * quarter - 1))
-        own.coalesce(1).write.mode("append").parquet(files)
-    arriving = stream_corpus(spark, files, docs.schema, fx.mixture_source(), F.col("doc_id"), 1)
+        own.filter(F.col("_quarter") == part).drop("_quarter").coalesce(1).write.mode(
+            "append"
+        ).parquet(files)
+    return _ingest(spark, sf_dir, files, docs.schema, max_tokens)
+
+
+def _ingest(spark, sf_dir, files: str, schema, max_tokens: int = clean.MAX_TOKEN_COUNT) -> str:
+    arriving = stream_corpus(spark, files, schema, fx.mixture_source(), F.col("doc_id"), 1)
     out, checkpoint = stage_path(spark, "ingested"), stage_path(spark, "progress")
     spec = fx.targets(spark, sf_dir)
     writer = budgeted_ingest(arriving, spec, fx.TOKENIZER, out, checkpoint, max_tokens)

@@ -6,6 +6,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tokenloom.operators.shards import split_fragments
+from tokenloom.sources.storage import qualified
+
 # A fragment's columns, in order.
 TOKEN_COLUMNS = ("split", "shard_id", "start", "end", "tokens")
 
@@ -76,15 +79,64 @@ def token_shard_number() -> Column:
     return F.when(F.col("split") == "val", 0).otherwise(F.col("shard_id") + 1).cast("int")
 
 
-def _token_files(fragments: DataFrame, train_shards: int) -> DataFrame:
+def _token_files(fragments: DataFrame, train_shards: int, size: int = 0) -> DataFrame:
     """Fragments placed by file and in stream order."""
-    placed = by_task(fragments.select(*TOKEN_COLUMNS), token_shard_number(), train_shards + 1)
+    placed = by_task(fragments.select(*TOKEN_COLUMNS), token_shard_number(), train_shards + 1, size)
     return placed.drop("_task").sortWithinPartitions("split", "shard_id", "start")
 
 
-def write_token_shards(fragments: DataFrame, path: str, train_shards: int) -> None:
-    """Write token fragments by ``(split, shard_id)``, one file per shard, in stream order."""
-    replace_partitions(_token_files(fragments, train_shards), path, "split", "shard_id")
+def encode_in_place(
+    stream: DataFrame, tokenizer, val_tokens: int, shard_tokens: int, total: int, size: int = 0
+) -> DataFrame:
+    """Token fragments of a positioned text stream ``(start, end, text)``, each in the task that
+    writes its file, in stream order.
+
+    Positions say which files a document's ids end in, so the text is placed before it is encoded:
+    ids are made, cut and sorted in the writing task and never shuffled. A document that spans the
+    files of several tasks is sent to each of them. ``total`` is the number of tokens and ``size``
+    the bytes of the stream, where known. A document whose ids are not as many as its positions say
+    is an error.
+    """
+    edge = max(0, int(val_tokens))
+    files = -(-max(0, total - edge) // shard_tokens) + 1
+    tasks = shard_tasks(stream.sparkSession, files, size)
+    task = lambda file: f"cast(floor({file} * {tasks} / {files}) as int)"
+    file = lambda at: f"if({at} < {edge}, 0L, ({at} - {edge}) div {shard_tokens} + 1)"
+    spans = F.expr(f"sequence({task(file('start'))}, {task(file('(end - 1)'))})")
+    placed = (
+        stream.filter("end > start")
+        .select("start", "end", "text", F.explode(spans).alias("_task"))
+        .repartitionById(tasks, F.col("_task"))
+        .withColumn("tokens", tokenizer.encode(F.col("text")))
+    )
+    whole = F.size("tokens") == F.col("end") - F.col("start")
+    wrong = F.raise_error(F.lit("the ids of a document do not fill its positions"))
+    checked = placed.withColumn(
+        "tokens", F.when(whole, F.col("tokens")).otherwise(wrong.cast("array<int>"))
+    )
+    cut = split_fragments(checked.drop("text"), edge, shard_tokens)
+    number = "if(split = 'val', 0L, shard_id + 1)"
+    own = cut.filter(F.expr(f"{task(number)} = _task")).select(*TOKEN_COLUMNS)
+    return own.sortWithinPartitions("split", "shard_id", "start")
+
+
+def write_token_shards(
+    fragments: DataFrame, path: str, train_shards: int, size: int = 0
+) -> None:
+    """Write token fragments by ``(split, shard_id)``, one file per shard, in stream order.
+    ``size`` is the bytes to write, where known.
+    """
+    replace_partitions(_token_files(fragments, train_shards, size), path, "split", "shard_id")
+
+
+def write_encoded_shards(fragments: DataFrame, path: str) -> None:
+    """Write fragments that ``encode_in_place`` made, as ``write_token_shards`` would."""
+    replace_partitions(fragments, path, "split", "shard_id")
+
+
+def write_encoded_bins(fragments: DataFrame, path: str) -> None:
+    """Export fragments that ``encode_in_place`` made as flat 16-bit files."""
+    fragments.write.format("tokenbin").mode("overwrite").save(qualified(fragments.sparkSession, path))
 
 
 def read_token_shards(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
@@ -94,6 +146,6 @@ def read_token_shards(spark: SparkSession, path: str, split: str | None = None)
     return fragments.filter(F.col("split") == split) if split else fragments
 
 
-def write_token_bins(fragments: DataFrame, path: str, train_shards: int) -> None:
+def write_token_bins(fragments: DataFrame, path: str, train_shards: int, size: int = 0) -> None:
     """Export token fragments as flat 16-bit files, every file by one task."""
-    _token_files(fragments, train_shards).write.format("tokenbin").mode("overwrite").save(path)
+    write_encoded_bins(_token_files(fragments, train_shards, size), path)

@@ -35,9 +35,18 @@ READ_SCHEMA = "file string, start long, end long, tokens array<int>"
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
-    if "://" in path or path.startswith("file:"):
-        return fs.FileSystem.from_uri(path)
-    return fs.LocalFileSystem(), path
+    """The file system that a path names. A bare path is a local one; writers spell out the default
+    file system of the cluster before a path comes here.
+    """
+    scheme = re.match(r"([a-z0-9]+):/", path)
+    if not scheme:
+        return fs.LocalFileSystem(), path
+    if scheme[1] == "file":
+        return fs.LocalFileSystem(), path.removeprefix("file:").replace("///", "/", 1)
+    # Hadoop's names of a store that has one name elsewhere.
+    if scheme[1] in ("s3a", "s3n"):
+        path = "s3" + path[len(scheme[1]) :]
+    return fs.FileSystem.from_uri(path)
 
 
 def _bin_files(path: str) -> list[fs.FileInfo]:
