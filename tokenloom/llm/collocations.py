@@ -16,11 +16,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tokenloom.llm.batches import blocks, mix, text_bytes
+from tokenloom.llm.batches import binary_rows, blocks, mix, text_bytes
 from tokenloom.llm.double_array import DoubleArray, NumberTable
 from tokenloom.llm.words import byte_table, hash_words, split_words
 from tokenloom.session import materialize, ship_package
@@ -31,8 +32,9 @@ BREAKS = (46, 44, 59, 58, 33, 63, 10, 11, 12, 13)
 GAPS = (32, 9)
 WORDS, SUPPORT, SCALE, COVERED = 4, 30, 2_000_000, 80
 UNKNOWN = "und"
-# Phrases of one trie, and distinct rows that a task holds before it sends them on.
-TRIE_PHRASES, HELD_ROWS = 1 << 20, 1 << 20
+# Phrases of one trie, distinct words that a task holds before it sends them on, and bytes of text
+# worked on at once; and phrases whose counts travel together.
+TRIE_PHRASES, HELD_WORDS, BLOCK, VECTOR = 1 << 20, 1 << 18, 1 << 20, 1 << 12
 
 _BREAK, _GAP = byte_table(BREAKS), byte_table(BREAKS + GAPS)
 
@@ -74,7 +76,7 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[Positions, pa.Array]]:
     names = batch.column("lang").dictionary_encode()
     known = np.array([_lang_hash(n) for n in names.dictionary.to_pylist()], np.uint64)
     langs = known[names.indices.to_numpy(zero_copy_only=False)]
-    for low, high in blocks(offsets):
+    for low, high in blocks(offsets, BLOCK):
         part = offsets[low : high + 1]
         own = Positions(part - part[0], data[part[0] : part[-1]], langs[low:high])
         yield own, batch.column("lang").slice(low, high - low)
@@ -109,7 +111,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
                 ids, counts, at = _summed(own.words, np.ones(len(own.words), np.int64))
                 rows = pa.array(own.row[at])
                 held.append((ids, counts, langs.take(rows), own.texts(at)))
-            if sum(len(h[0]) for h in held) > HELD_ROWS:
+            if sum(len(h[0]) for h in held) > HELD_WORDS:
                 yield joined()
                 held.clear()
         if held:
@@ -203,7 +205,7 @@ def _passed(
     tries: Iterator[PhraseTrie],
     emit: Callable[[PhraseTrie, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
     schema: str,
-    combine: Callable[[DataFrame], DataFrame],
+    combine: Callable[[DataFrame, Broadcast], DataFrame],
     name: str,
 ) -> DataFrame | None:
     """One pass over the texts with each trie, every pass a stage table."""
@@ -211,7 +213,7 @@ def _passed(
     for trie in tries:
         shared = texts.sparkSession.sparkContext.broadcast(trie)
         part = texts.mapInArrow(lambda batches, shared=shared: emit(shared.value, batches), schema)
-        part = materialize(combine(part), name)
+        part = materialize(combine(part, shared), name)
         shared.destroy()
         found = part if found is None else found.unionByName(part)
     return found
@@ -224,37 +226,15 @@ def longer_phrases(
     spark = texts.sparkSession
 
     def emit(trie: PhraseTrie, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def joined() -> pa.RecordBatch:
-            phrase, word, counts = (np.concatenate(c) for c in zip(*held))
-            by = np.lexsort((word, phrase))
-            phrase, word = phrase[by], word[by]
-            new = np.ones(len(by), np.bool_)
-            new[1:] = (phrase[1:] != phrase[:-1]) | (word[1:] != word[:-1])
-            first = np.flatnonzero(new)
-            total = np.add.reduceat(counts[by], first) if len(first) else counts[:0]
-            held[:] = [(phrase[first], word[first], total)]
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(trie.ids[phrase[first]]),
-                    pa.array(word[first].view(np.int64)),
-                    pa.array(total),
-                ],
-                ["phrase_id", "word_id", "n"],
-            )
-
         for batch in batches:
-            held.extend(_extensions(trie, own) for own, _ in _blocks(batch))
-            if sum(len(h[0]) for h in held) > 2 * HELD_ROWS:
-                rows = joined()
-                if rows.num_rows > HELD_ROWS:
-                    yield rows
-                    held.clear()
-        if held:
-            yield joined()
+            for own, _ in _blocks(batch):
+                phrase, word, counts = _extensions(trie, own)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(trie.ids[phrase]), pa.array(word.view(np.int64)), pa.array(counts)],
+                    ["phrase_id", "word_id", "n"],
+                )
 
-    def combine(rows: DataFrame) -> DataFrame:
+    def combine(rows: DataFrame, shared: Broadcast) -> DataFrame:
         met = rows.groupBy("phrase_id", "word_id").agg(F.sum("n").alias("n"))
         return met.filter(F.col("n") >= support)
 
@@ -288,29 +268,53 @@ def _numbered(phrases: DataFrame) -> DataFrame:
     return materialize(rows, "phrases")
 
 
-def phrase_counts(texts: DataFrame, phrases: DataFrame, limit: int) -> DataFrame:
+def phrase_counts(texts: DataFrame, phrases: DataFrame, limit: int) -> DataFrame | None:
     """``(phrase_id, f)``: occurrences of every phrase, added up from the tasks' counts of accepting
-    states.
+    states. A task's counts travel as vectors of ``VECTOR`` phrases, without those of zeros only,
+    and equal parts of all tasks are summed as vectors.
     """
 
     def emit(trie: PhraseTrie, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(trie.ids) + 1, np.int64)
+        parts = -(-len(trie.ids) // VECTOR)
+        total = np.zeros(parts * VECTOR + 1, np.int64)
         for batch in batches:
             for own, _ in _blocks(batch):
                 for state, _ in trie.states(own):
                     # Cell 0 counts the positions that end no phrase.
                     total += np.bincount(trie.trie.ends[state] + 1, minlength=len(total))
-        at = np.flatnonzero(total[1:])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(trie.ids[at]), pa.array(total[1:][at])], ["phrase_id", "f"]
-        )
+        vectors = total[1:].reshape(parts, VECTOR)
+        some = np.flatnonzero(vectors.any(axis=1))
+        cells = binary_rows(np.full(len(some), 8 * VECTOR), vectors[some].ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), cells], ["part", "counts"])
+
+    def combine(rows: DataFrame, shared: Broadcast) -> DataFrame:
+        def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, total = None, np.zeros(VECTOR, np.int64)
+            for batch in batches:
+                for part, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    if part != at:
+                        if at is not None:
+                            yield counted(at, total)
+                        at, total = part, np.zeros(VECTOR, np.int64)
+                    total += np.frombuffer(counts.as_buffer(), np.int64)
+            if at is not None:
+                yield counted(at, total)
+
+        def counted(part: int, total: np.ndarray) -> pa.RecordBatch:
+            ids = shared.value.ids[part * VECTOR : (part + 1) * VECTOR]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(ids), pa.array(total[: len(ids)])], ["phrase_id", "f"]
+            )
+
+        placed = rows.repartition("part").sortWithinPartitions("part")
+        return placed.mapInArrow(summed, "phrase_id long, f long")
 
     return _passed(
         texts,
         _tries(texts.sparkSession, phrases, limit),
         emit,
-        "phrase_id long, f long",
-        lambda rows: rows.groupBy("phrase_id").agg(F.sum("f").alias("f")),
+        "part int, counts binary",
+        combine,
         "phrase-counts",
     )
 
