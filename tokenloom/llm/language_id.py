@@ -5,13 +5,15 @@ by the geometric mean of their distinct n-gram counts. Nystroem landmarks turn i
 map, one-versus-rest kernel ridge regression is fitted on a bounded sample, and whole texts are
 scored by two matrix products per block: presence x landmarks, then kernel values x weights.
 
-The scores of a text sum to one, so some language always wins. Whether a text is in any language is
-told by another measure: the share of its three-byte strings that occur in some landmark.
+The scores of a text sum to one, so some language always wins, and that is the prediction. Whether
+a text is in any language, which only a filter asks, is told by another measure: the share of its
+three-byte strings that occur in some landmark.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tokenloom.llm.batches import binary_rows, text_bytes
+from tokenloom.llm.batches import binary_rows, release, text_bytes
 from tokenloom.session import local_table, ship_package
 
 # Codes of n-grams of one, two and three bytes, one range after the other.
@@ -38,10 +40,22 @@ MIN_SCORE = 0.2
 # portion of the language's fitted texts reach.
 KNOWN_PART, KNOWN_QUANTILE = 0.5, 0.01
 
-# Work tables of this worker, made once: the place at which a code was seen last, and a mark.
+# Work tables of the batch at hand: the place at which a code was seen last, and a mark.
 _TABLES: list[np.ndarray] = []
 
 
+@contextmanager
+def work_tables() -> Iterator[None]:
+    """Tables for one batch of texts. They are large, so that none stays in an idle worker; as they
+    come from the system untouched, only the parts that the batch writes to cost anything.
+    """
+    _TABLES[:] = [np.zeros(CODES, np.int32), np.zeros(CODES, np.bool_)]
+    try:
+        yield
+    finally:
+        _TABLES.clear()
+
+
 def _codes(piece: np.ndarray) -> np.ndarray:
     one = piece.astype(np.int32)
     two = (one[:-1] << 8) | one[1:]
@@ -54,7 +68,8 @@ def distinct_codes(text: np.ndarray) -> np.ndarray:
     themselves into a table under their code, the last one per code remains.
     """
     if not _TABLES:
-        _TABLES.extend([np.zeros(CODES, np.int32), np.zeros(CODES, np.bool_)])
+        with work_tables():
+            return distinct_codes(text)
     place, seen = _TABLES
     found = []
     for low in range(0, max(1, len(text)), PIECE_BYTES):
@@ -134,35 +149,50 @@ class LanguageModel:
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k not in ("_lookup", "_trigrams")}
 
-    def predict(self, text: Column) -> Column:
-        """``struct<lang_pred, score>`` of a text; ``und`` with score 0 when it is null or has no
-        letter, when the best language does not claim it, or when no language was learned.
+    def predict(self, text: Column, claim: bool = False) -> Column:
+        """``struct<lang_pred, score, claimed>`` of a text: the language of greatest score, and,
+        where asked, whether it claims the text. A text that is null or has no letter is ``und`` with score 0,
+        and so is every text when no language was learned.
         """
         model = self
 
-        @F.arrow_udf("struct<lang_pred: string, score: double>")
+        @F.arrow_udf("struct<lang_pred: string, score: double, claimed: boolean>")
         def scored(lowered: pa.Array) -> pa.Array:
-            known = np.asarray(lowered.is_valid())
-            offsets, data = text_bytes(lowered)
-            best = np.full(len(lowered), -1)
-            value = np.zeros(len(lowered))
-            rows = np.flatnonzero(known) if model.languages else np.empty(0, int)
-            for low in range(0, len(rows), PRODUCT_ROWS):
-                part = rows[low : low + PRODUCT_ROWS]
-                texts = [data[offsets[i] : offsets[i + 1]] for i in part]
-                got = model.scores(texts)
-                first = got.argmax(axis=1)
-                claimed = np.array([model.claims(t, i) for t, i in zip(texts, first)])
-                best[part] = np.where(claimed, first, -1)
-                value[part] = np.where(claimed, np.clip(got.max(axis=1), 0, 1), 0)
-            names = pa.array([*model.languages, UNKNOWN], pa.string())
-            picked = names.take(pa.array(np.where(best < 0, len(model.languages), best)))
-            return pa.StructArray.from_arrays(
-                [picked, pa.array(value, pa.float64())], ["lang_pred", "score"]
-            )
+            with work_tables():
+                try:
+                    return model._scored(lowered, claim)
+                finally:
+                    model._forget()
+                    release()
 
         return scored(F.when(text.rlike(r"\p{L}"), F.lower(text)))
 
+    def _scored(self, lowered: pa.Array, claim: bool) -> pa.Array:
+        known = np.asarray(lowered.is_valid())
+        offsets, data = text_bytes(lowered)
+        best = np.full(len(lowered), len(self.languages))
+        value = np.zeros(len(lowered))
+        claimed = np.zeros(len(lowered), np.bool_)
+        rows = np.flatnonzero(known) if self.languages else np.empty(0, int)
+        for low in range(0, len(rows), PRODUCT_ROWS):
+            part = rows[low : low + PRODUCT_ROWS]
+            texts = [data[offsets[i] : offsets[i + 1]] for i in part]
+            got = self.scores(texts)
+            best[part] = got.argmax(axis=1)
+            value[part] = np.clip(got.max(axis=1), 0, 1)
+            if claim:
+                claimed[part] = [self.claims(t, i) for t, i in zip(texts, best[part])]
+        names = pa.array([*self.languages, UNKNOWN], pa.string())
+        return pa.StructArray.from_arrays(
+            [names.take(pa.array(best)), pa.array(value), pa.array(claimed)],
+            ["lang_pred", "score", "claimed"],
+        )
+
+    def _forget(self) -> None:
+        """Drop the lookup tables, which are made again for the next batch."""
+        for name in ("_lookup", "_trigrams"):
+            self.__dict__.pop(name, None)
+
 
 def held_out() -> Column:
     """Documents that are never learned from."""
@@ -199,9 +229,10 @@ def fit_languages(docs: DataFrame) -> LanguageModel:
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, data = text_bytes(batch.column("text"))
-            found = [
-                distinct_codes(data[low:high]) for low, high in zip(offsets[:-1], offsets[1:])
-            ]
+            with work_tables():
+                found = [
+                    distinct_codes(data[low:high]) for low, high in zip(offsets[:-1], offsets[1:])
+                ]
             times = [
                 _times(data[low:high], c)
                 for low, high, c in zip(offsets[:-1], offsets[1:], found)
@@ -303,10 +334,11 @@ def identify(docs: DataFrame) -> DataFrame:
     Input: ``doc_id, text, lang``; other columns are ignored. Output, one row per input row:
     ``doc_id, held_out, lang_pred, score``.
 
-    Defined cases: null texts and texts without a letter are ``und`` with score 0; so are texts that
-    their best language does not claim (other scripts, random letters, encoded bytes), and every
-    text when no labelled row may be learned from; a tie goes to the language that sorts first;
-    a null ``doc_id`` hashes as an empty one; equal texts get equal predictions.
+    Defined cases: null texts and texts without a letter are ``und`` with score 0, and so is every
+    text when no labelled row may be learned from; any other text gets the learned language of
+    greatest score, also one in none of them; a tie goes to the language that sorts first; a null
+    ``doc_id`` hashes as an empty one; equal texts get equal predictions; an empty table gives an
+    empty result.
     """
     ship_package(docs.sparkSession)
     model = fit_languages(docs)
@@ -315,9 +347,13 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """Documents that some language claims: not ``und``, and a score of at least ``min_score``.
-    All columns are kept; the label column only feeds the fit. No shuffle of texts.
+    """Documents that the language of their greatest score claims, with a score of at least
+    ``min_score``. All columns are kept; the label column only feeds the fit. No shuffle of texts.
+
+    Null, empty and letterless texts go, as do texts in no learned language (other scripts, random
+    letters, encoded bytes), and all texts where no labelled row may be learned from; equal texts,
+    of any length, have one fate; an empty table gives an empty result.
     """
     ship_package(docs.sparkSession)
-    found = fit_languages(docs).predict(F.col("text"))
-    return docs.filter((found["lang_pred"] != UNKNOWN) & (found["score"] >= min_score))
+    found = fit_languages(docs).predict(F.col("text"), claim=True)
+    return docs.filter(found["claimed"] & (found["score"] >= min_score))
