@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tokenloom.llm.batches import binary_rows, blocks, mix, text_bytes
+from tokenloom.llm.batches import binary_rows, blocks, mix, release, text_bytes
 from tokenloom.llm.common_keys import common_keys
 from tokenloom.llm.shuffles import dropped_shuffles
 from tokenloom.llm.suffix_intervals import equal_prefixes
@@ -185,6 +185,8 @@ def text_stretches(texts: DataFrame, common: np.ndarray) -> DataFrame:
             # Finished cuts go to any task.
             rows = [(*own, piece) for piece, own in known.items()]
             yield _pieces(rows + [(d[1], *d[1:]) if d[6] is None else d for d in done])
+            del rows, known, done
+        release()
 
     return texts.mapInArrow(emit, PIECE)
 
@@ -343,6 +345,8 @@ def repeated_windows(pieces: DataFrame) -> DataFrame:
         meeting.close_anchor()
         meeting.close_block()
         yield meeting.taken()
+        del meeting
+        release()
 
     return rows.mapInArrow(emit, "text_id long, low long, high long")
 
@@ -426,6 +430,7 @@ def cut_texts(docs: DataFrame) -> DataFrame:
             columns += [pa.array(spans, pa.int64()), pa.array(kept, pa.binary())]
             names = [*carried, "n_bytes", "n_removed", "n_spans", "kept"]
             yield pa.RecordBatch.from_arrays(columns, names)
+        release()
 
     fields = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in carried]
     return rows.mapInArrow(emit, ", ".join([*fields, KEPT]))
