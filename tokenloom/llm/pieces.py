@@ -20,10 +20,11 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.batches import blocks, text_bytes
+from tokenloom.llm.batches import blocks, release, text_bytes
 from tokenloom.session import ship_package
 
 MARK = "▁"
@@ -77,6 +78,8 @@ def is_byte_pair(serialized: bytes) -> bool:
 class PieceModel:
     """Vocabulary of a model file and the searches over it."""
 
+    max_words, max_pairs = MAX_WORDS, MAX_PAIRS
+
     def __init__(self, serialized: bytes):
         import sentencepiece
 
@@ -139,7 +142,7 @@ class PieceModel:
         key = (left, right)
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) >= MAX_PAIRS:
+            if len(self.pairs) >= self.max_pairs:
                 self.pairs.clear()
             wanted = [left, right] if left else [right]
             known = self.pairs[key] = self.merged(left + right) == wanted
@@ -210,7 +213,7 @@ class PieceModel:
                 cut.append([MARK + w for w in plain[1:].split(MARK)])
         words = self.words
         new = {w for one in cut for w in one if w not in words}
-        if len(words) + len(new) > MAX_WORDS:
+        if len(words) + len(new) > self.max_words:
             words.clear()
             new = {w for one in cut for w in one}
         for word, parts in self.segment(new):
@@ -235,6 +238,7 @@ def encode(text: Column, path: str) -> Column:
 
     @F.arrow_udf("array<int>")
     def ids_of(texts: pa.Array) -> pa.Array:
+        release()
         model = PieceModel.at(path)
         rows = [ids for block in _blocks(texts) for ids in model.encode(block)]
         edges = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
@@ -244,6 +248,43 @@ def encode(text: Column, path: str) -> Column:
     return ids_of(text)
 
 
+# Words and pairs kept where a worker shares its executor with other stages of a pipeline, and bytes
+# of text that are encoded before their ids are sent on.
+STAGE_WORDS, STAGE_PAIRS, SENT_BYTES = 150_000, 300_000, 4 << 20
+
+
+def with_ids(docs: DataFrame, path: str) -> DataFrame:
+    """``docs`` with the ids of ``text`` as ``ids`` in its place, sent on every few megabytes of text,
+    so that a task holds little. A null or empty text has none; an empty table gives an empty result;
+    names must be distinct.
+    """
+    ship_package(docs.sparkSession)
+    others = [c for c in docs.columns if c != "text"]
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        model = PieceModel.at(path)
+        model.max_words, model.max_pairs = STAGE_WORDS, STAGE_PAIRS
+        for batch in batches:
+            texts = batch.column("text")
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+            edges = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+            for low, high in blocks(edges, SENT_BYTES):
+                part = batch.slice(low, high - low)
+                rows = [i for block in _blocks(part.column("text")) for i in model.encode(block)]
+                ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+                flat = np.concatenate([np.empty(0, np.int32), *rows])
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+                columns = [part.column(c) for c in others]
+                yield pa.RecordBatch.from_arrays([*columns, ids], [*others, "ids"])
+        # The next task of this worker may belong to another query.
+        model.max_words, model.max_pairs = MAX_WORDS, MAX_PAIRS
+        release()
+
+    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others]
+    return docs.mapInArrow(emit, ", ".join([*fields, "ids array<int>"]))
+
+
 def decode(ids: Column, path: str) -> Column:
     """The text of ids; bytes that are no character become U+FFFD, null ids an empty text."""
 
