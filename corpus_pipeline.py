@@ -18,39 +18,42 @@ from tokenloom.llm.decontamination import drop_leaks
 from tokenloom.llm.jaccard_join import keep_one
 from tokenloom.llm.language_id import keep_identified
 from tokenloom.llm.substring_dedup import keep_unrepeated
-from tokenloom.session import ship_package, stage_path
+from tokenloom.session import stage_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents in no language."""
+    """Drop documents in no learned language: null, empty and letterless texts too. Repeated rows
+    have one fate, texts of any length are read whole, an empty table stays empty.
+    """
     return keep_identified(docs)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies."""
+    """Keep one document of each group of near copies, the one of smallest ``doc_id``, null ids last.
+    Texts without words are like no other and stay; an empty table stays empty.
+    """
     return keep_one(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut strings of fifty bytes that an earlier document holds; documents stay, if emptied."""
+    """Cut strings of fifty bytes that an earlier document holds; documents stay, if emptied. Null
+    and short texts lose nothing, null ids come last; an empty table stays empty.
+    """
     return keep_unrepeated(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark passage."""
+    """Drop documents that hold a benchmark passage. Null and empty texts stay, and all documents
+    where there is no benchmark; an empty table stays empty.
+    """
     return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every text."""
+    """Piece ids of every text; a null or empty text has none."""
     path = public_tokenizers.path("piece_bpe_32k.model")
-    ship_package(spark)
-    return docs.select(
-        "doc_id",
-        "source",
-        "lang",
-        pieces.encode(F.col("text"), path).alias("ids"),
-    ).withColumn("n_tokens", F.size("ids").cast("long"))
+    rows = pieces.with_ids(docs.select("doc_id", "source", "lang", "text"), path)
+    return rows.withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
