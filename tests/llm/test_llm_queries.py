@@ -40,7 +40,7 @@ def test_sql(spark, duck, name):
 
 
 def test_one_query_per_operator():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{n}" for n in range(1, 14)]
 
 
 def test_leaks(spark, duck, texts):
