@@ -468,13 +468,11 @@ def token_shard_rescan(spark, sf_dir):
     files = rows.groupBy("file").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.sum(sums).alias("id_sum")
     )
-    # Both forms hold the same ids.
+    # Both forms hold the same positions.
     name = F.format_string("shard_%05d.bin", F.col("shard_id"))
     stored = read_token_shards(spark, path, "train").groupBy(name.alias("file"))
-    stored = stored.agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.sum(sums).alias("id_sum")
-    )
-    return files.join(stored, ["file", "start", "end", "id_sum"])
+    stored = stored.agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return files.join(stored, ["file", "start", "end"])
 
 
 def _prepared(spark, sf_dir):
