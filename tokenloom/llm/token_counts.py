@@ -8,17 +8,19 @@ encodes each missing content once, appends the new counts, and reads all counts
 from __future__ import annotations
 
 import hashlib
+import uuid
 from dataclasses import dataclass
 from typing import Any
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.llm.batches import blocks, text_bytes
 from tokenloom.session import materialize, ship_package
 
-CACHE_SCHEMA = "digest binary, n_tokens long, version string"
+CACHE_SCHEMA = "digest binary, n_tokens long"
 # Bytes of text handed to the library at once, so that its ids never fill a worker's memory.
 CALL_BYTES = 1 << 20
 
@@ -85,11 +87,28 @@ class TokenizerFile:
         return token_count(text)
 
 
+def _version_folder(path: str, version: str) -> str:
+    return f"{path.rstrip('/')}/version={version}"
+
+
 def open_cache(spark: SparkSession, path: str, version: str) -> DataFrame:
-    """Counts kept under one tokenizer version; the table is made when it is not there yet."""
-    empty = spark.createDataFrame([], CACHE_SCHEMA)
-    empty.write.mode("append").partitionBy("version").parquet(path)
-    return spark.read.schema(CACHE_SCHEMA).parquet(path).filter(F.col("version") == version)
+    """Counts kept under one tokenizer version, of all runs that have committed; no rows where
+    there are none yet.
+    """
+    reader = spark.read.schema(CACHE_SCHEMA).option("recursiveFileLookup", True)
+    try:
+        return reader.parquet(_version_folder(path, version))
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return spark.createDataFrame([], CACHE_SCHEMA)
+        raise
+
+
+def append_counts(counted: DataFrame, path: str, version: str) -> None:
+    """Append ``(digest, n_tokens)`` as a folder of this run's own, so that no run's commit touches
+    what another one is writing.
+    """
+    counted.write.parquet(f"{_version_folder(path, version)}/run-{uuid.uuid4().hex}")
 
 
 def count_tokens(
@@ -103,8 +122,9 @@ def count_tokens(
 
     Defined cases: a null text counts as empty; an empty text has the library's count (0); equal
     texts are encoded once; null or repeated ``doc_id`` stay as they are; an empty table gives an
-    empty result and appends nothing. Should two runs append the same content at once, both rows
-    hold the same count and one is read.
+    empty result and appends no row. Several runs may use one cache at once; should two append the
+    same content, both rows hold the same count and one is read. A text whose count is not in the
+    cache after this run's append (a folder deleted meanwhile, say) is an error.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -121,15 +141,16 @@ def count_tokens(
     distinct = keyed.groupBy("digest").agg(F.first("content").alias("content"))
     misses = distinct.join(known.select("digest"), "digest", "left_anti")
     counted = misses.select("digest", tokenizer.count(F.col("content")).alias("n_tokens"))
-    counted = counted.withColumn("version", F.lit(version))
-    counted.write.mode("append").partitionBy("version").parquet(cache_path)
+    append_counts(counted, cache_path, version)
     # The new rows are read from the table, so a lost executor never encodes them again.
     known = open_cache(spark, cache_path, version)
     counts = known.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     counts = materialize(counts, "token-counts")
+    missing = F.raise_error(F.lit("a text's count is missing from the cache")).cast("long")
     # Both sides are plain shuffles, so that AQE can split the digest of a hot text.
     return (
         keyed.select("doc_id", "n_bytes", "digest")
-        .join(counts, "digest")
+        .join(counts, "digest", "left")
+        .withColumn("n_tokens", F.coalesce("n_tokens", missing))
         .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
     )
