@@ -21,8 +21,9 @@ from tokenloom.session import materialize, ship_package
 
 SCALE = 1024
 # Vectors per block, longest vectors that set first bounds, sample of the rotation, and queries
-# sent to the tasks at once.
+# sent to the tasks at once: the driver holds one such block, of this many rows and bytes at most.
 BLOCK_ROWS, SEEDS, SAMPLE_ROWS, QUERY_ROWS = 2048, 2048, 4096, 8192
+QUERY_BYTES = 32 << 20
 # Share of the coordinates in the first partial sum.
 HEAD = 4
 PAIRS_AT_ONCE = 1 << 18
@@ -85,6 +86,13 @@ class Queries:
             other = self.ids[query] != ids[vector]
             self._add(query[other], ids, matrix, vector[other])
 
+    def least_norm(self) -> float:
+        """Squared length below which no vector reaches the worst kept score of any query."""
+        if not len(self.ids) or not (self.bound > 0).all():
+            return 0.0
+        # The scores are at most the product of the lengths; the margin covers their rounding.
+        return float(np.min(self.bound / self.length)) ** 2 * (1 - 1e-6)
+
     def _add(self, query, ids, matrix, vector) -> None:
         for low in range(0, len(query), PAIRS_AT_ONCE):
             a, b = query[low : low + PAIRS_AT_ONCE], vector[low : low + PAIRS_AT_ONCE]
@@ -139,18 +147,20 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = SCALE)
     facts = stored.agg(
         F.max(F.size("v")).alias("width"), F.count(F.when(is_query, 1)).alias("queries")
     ).first()
-    width, parts = facts["width"] or 0, -(-facts["queries"] // QUERY_ROWS)
+    width = facts["width"] or 0
+    rows = max(1, min(QUERY_ROWS, QUERY_BYTES // (8 * max(1, width))))
+    parts = -(-facts["queries"] // rows)
     schema = "query_id long, q long, vec_id long, score long"
     if not width or not parts:
         found = [spark.createDataFrame([], schema)]
     else:
         rotation = rotation_of(stored, width)
         seeds = stored.orderBy(F.desc("norm"), "vec_id").limit(SEEDS).select("vec_id", "v").toArrow()
-        found = [
-            _search(stored, part, parts, every, width, rotation, seeds, k) for part in range(parts)
-        ]
-    if len(found) > 1:
-        found = [materialize(f, "top-k") for f in found]
+        # One block at a time: fetched, searched and written before the next is fetched.
+        found = []
+        for part in range(parts):
+            one = _search(stored, part, parts, every, width, rotation, seeds, k)
+            found.append(materialize(one, "top-k") if parts > 1 else one)
     rows = found[0]
     for more in found[1:]:
         rows = rows.unionAll(more)
@@ -161,7 +171,8 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = SCALE)
 
 def _search(stored, part, parts, every, width, rotation, seeds, k) -> DataFrame:
     """Candidates of one block of queries, at most ``k`` of each query from a task."""
-    mine = F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == part
+    # Over the vector too, so that rows which repeat an id spread over the blocks.
+    mine = F.pmod(F.xxhash64("vec_id", "v"), F.lit(parts)) == part
     asked = stored.filter((F.col("vec_id") % every == 0) & mine).select("vec_id", "v").toArrow()
     ids = asked.column("vec_id").to_numpy()
     matrix = _matrix(asked.column("v").combine_chunks(), width)
@@ -182,8 +193,9 @@ def _search(stored, part, parts, every, width, rotation, seeds, k) -> DataFrame:
                 rows = batch.slice(low, BLOCK_ROWS)
                 queries.meet(rows.column("vec_id").to_numpy(), _matrix(rows.column("v"), width))
         q, vector, score = queries.kept
-        columns = [pa.array(ids[q]), pa.array(part * QUERY_ROWS + q), pa.array(vector), pa.array(score)]
+        columns = [pa.array(ids[q]), pa.array((part << 32) + q), pa.array(vector), pa.array(score)]
         yield pa.RecordBatch.from_arrays(columns, ["query_id", "q", "vec_id", "score"])
 
-    rows = stored.select("vec_id", "v")
+    # Stored by descending length, so the statistics of row groups pass over the tail.
+    rows = stored.filter(F.col("norm") >= first.least_norm()).select("vec_id", "v")
     return rows.mapInArrow(emit, "query_id long, q long, vec_id long, score long")
