@@ -77,6 +77,39 @@ def test_segments_stay_small_where_short_documents_stand_together(spark, monkeyp
     assert packed(spark, sizes, 20) == pack(sizes, 20)
 
 
+@pytest.mark.parametrize("limit", [40, 2_300, 100_000])
+def test_no_group_grows_with_the_limit(spark, monkeypatch, limit):
+    """Shards of more documents than a task may hold; some documents far over limit and cell."""
+    from tokenloom.operators import nextfit
+
+    monkeypatch.setattr(nextfit, "SEGMENT_DOCS", 5)
+    monkeypatch.setattr(nextfit, "CELL_TOKENS", 16)
+    rng = random.Random(limit)
+    sizes = [rng.choice([1, 1, 2, 3, rng.randrange(1, 90)]) for _ in range(900)]
+    sizes[300:300] = [3_000, 1, 2_301]
+    docs, total = positioned(spark, sizes)
+    assert nextfit._segment_span(docs, limit, total, len(sizes)) is None
+    assert packed(spark, sizes, limit) == pack(sizes, limit)
+
+
+def test_shard_ends_of_all_documents(spark, monkeypatch):
+    from tokenloom.operators import nextfit
+
+    monkeypatch.setattr(nextfit, "CELL_TOKENS", 7)
+    sizes = [5, 1, 1, 30, 2, 9, 10, 1, 1, 1, 4, 25]
+    docs, total = positioned(spark, sizes)
+    spans = [(r["start"], r["end"]) for r in docs.orderBy("start").collect()]
+    expected = []
+    for low, end in spans:
+        goal = low + 10
+        inside = [s for s, _ in spans if s <= goal]
+        expected.append((low, end if end > goal else total if goal >= total else max(inside)))
+    found = nextfit.shard_ends(docs.repartition(3), 10, total)
+    assert sorted(map(tuple, found.collect())) == expected
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
 def test_an_empty_stream_has_no_shards(spark):
     docs, total = positioned(spark, [])
     assert next_fit_cuts(docs, 10, total, 0).count() == 0
