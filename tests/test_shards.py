@@ -23,9 +23,9 @@ def positioned(spark, sizes):
     return spark.createDataFrame(rows, "pos long, start long, end long, tokens array<int>"), at
 
 
-def packed(spark, sizes, limit, span=None):
+def packed(spark, sizes, limit, span=None, **bound):
     docs, total = positioned(spark, sizes)
-    cuts = next_fit_cuts(docs.repartition(4), limit, total, len(sizes), span)
+    cuts = next_fit_cuts(docs.repartition(4), limit, total, len(sizes), span, **bound)
     placed = assign_shards(docs.drop("tokens"), cuts, limit, cuts.count())
     return [r["shard_id"] for r in placed.orderBy("pos").collect()]
 
@@ -66,15 +66,14 @@ def test_packing_properties(spark, sizes, limit, widen):
             assert sum(before) + sizes[i] > limit
 
 
-def test_segments_stay_small_where_short_documents_stand_together(spark, monkeypatch):
+def test_segments_stay_small_where_short_documents_stand_together(spark):
     from tokenloom.operators import nextfit
 
-    monkeypatch.setattr(nextfit, "SEGMENT_DOCS", 60)
     sizes = [50] * 40 + [1] * 400 + [50] * 40
     docs, total = positioned(spark, sizes)
-    span = nextfit._segment_span(docs, 20, total, len(sizes))
+    span = nextfit._segment_span(docs, 20, total, len(sizes), 60)
     assert 20 <= span <= 60
-    assert packed(spark, sizes, 20) == pack(sizes, 20)
+    assert packed(spark, sizes, 20, segment_docs=60) == pack(sizes, 20)
 
 
 @pytest.mark.parametrize("limit", [40, 2_300, 100_000])
@@ -82,14 +81,13 @@ def test_no_group_grows_with_the_limit(spark, monkeypatch, limit):
     """Shards of more documents than a task may hold; some documents far over limit and cell."""
     from tokenloom.operators import nextfit
 
-    monkeypatch.setattr(nextfit, "SEGMENT_DOCS", 5)
     monkeypatch.setattr(nextfit, "CELL_TOKENS", 16)
     rng = random.Random(limit)
     sizes = [rng.choice([1, 1, 2, 3, rng.randrange(1, 90)]) for _ in range(900)]
     sizes[300:300] = [3_000, 1, 2_301]
     docs, total = positioned(spark, sizes)
-    assert nextfit._segment_span(docs, limit, total, len(sizes)) is None
-    assert packed(spark, sizes, limit) == pack(sizes, limit)
+    assert nextfit._segment_span(docs, limit, total, len(sizes), 5) is None
+    assert packed(spark, sizes, limit, segment_docs=5) == pack(sizes, limit)
 
 
 def test_shard_ends_of_all_documents(spark, monkeypatch):

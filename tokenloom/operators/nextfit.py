@@ -66,21 +66,23 @@ def _segments(docs: DataFrame, limit: int, span: int) -> DataFrame:
     )
 
 
-def _segment_span(docs: DataFrame, limit: int, total: int, rows: int) -> int | None:
-    """Tokens per segment: many shards, but no more than ``SEGMENT_DOCS`` documents in any, also
+def _segment_span(
+    docs: DataFrame, limit: int, total: int, rows: int, most_docs: int
+) -> int | None:
+    """Tokens per segment: many shards, but no more than ``most_docs`` documents in any, also
     where short documents stand together. None when even segments of one shard hold more.
     """
-    if rows <= SEGMENT_DOCS:
+    if rows <= most_docs:
         return SEGMENT_SHARDS * limit
-    span = max(limit, min(SEGMENT_SHARDS * limit, SEGMENT_DOCS * total // rows))
+    span = max(limit, min(SEGMENT_SHARDS * limit, most_docs * total // rows))
     while True:
         counts = docs.groupBy(F.expr(f"start div {span}")).agg(F.count(F.lit(1)).alias("docs"))
         most = counts.agg(F.max("docs")).first()[0]
-        if most <= SEGMENT_DOCS:
+        if most <= most_docs:
             return span
         if span == limit:
             return None
-        span = max(limit, min(span - 1, span * SEGMENT_DOCS // most))
+        span = max(limit, min(span - 1, span * most_docs // most))
 
 
 def max_shards(limit: int, total: int) -> int:
@@ -89,19 +91,25 @@ def max_shards(limit: int, total: int) -> int:
 
 
 def next_fit_cuts(
-    docs: DataFrame, limit: int, total: int, rows: int, span: int | None = None
+    docs: DataFrame,
+    limit: int,
+    total: int,
+    rows: int,
+    span: int | None = None,
+    segment_docs: int = SEGMENT_DOCS,
 ) -> DataFrame:
     """Shard ranges ``(shard_id, low, high)`` over positioned documents ``(start, end)``.
 
-    ``total`` and ``rows`` are the stream's token and document counts. Only the two position
-    columns are read; pass a stored table.
+    ``total`` and ``rows`` are the stream's token and document counts, ``segment_docs`` the
+    documents that may start in one task's segment. Only the two position columns are read; pass a
+    stored table.
     """
     if limit <= 0:
         raise ValueError("the shard limit must be positive")
     spark = docs.sparkSession
     if total <= 0:
         return local_table(spark, [], "shard_id long, low long, high long")
-    span = span or _segment_span(docs, limit, total, rows)
+    span = span or _segment_span(docs, limit, total, rows, segment_docs)
     if span is None:
         return _numbered(_doubled_cuts(docs, limit, total), SEGMENT_SHARDS * limit, total)
     count = -(-total // span)

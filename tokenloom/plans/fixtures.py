@@ -16,6 +16,8 @@ TOKENIZER = Utf8ByteTokenizer()
 # Targets in tokens per document of the table, so that the selection grows with it.
 TARGETS_PER_DOC = {"A": 500, "B": 300, "C": 200}
 SHARD_TOKENS = 100_000
+# Documents per packing task where shards are wide.
+SEGMENT_DOCS = 20
 VAL_CAP = 1_638
 SEED = 42
 BLOCK, WORLD, BATCH, ACCUM = 1_024, 8, 4, 2

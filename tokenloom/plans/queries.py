@@ -369,7 +369,7 @@ def stream_positions(spark, sf_dir):
 
 def _packed(spark, sf_dir):
     placed = materialize(fx.positioned(spark, sf_dir, text=False), "positions")
-    total, rows = placed.agg(F.max("end"), F.count(F.lit(1))).first()
+    total, rows = placed.agg(F.coalesce(F.max("end"), F.lit(0)), F.count(F.lit(1))).first()
     bound = nextfit.max_shards(fx.SHARD_TOKENS, total)
     cuts = settle(nextfit.next_fit_cuts(placed, fx.SHARD_TOKENS, total, rows), "shards", bound)
     found = cuts.count()
@@ -381,6 +381,18 @@ def next_fit_shards(spark, sf_dir):
     return _packed(spark, sf_dir)[0].select("source", "seq", "pos", "shard_id")
 
 
+@query
+def wide_shards(spark, sf_dir):
+    """Shards of a third of the stream, packed with no task of more than a few documents."""
+    placed = materialize(fx.positioned(spark, sf_dir, text=False), "positions")
+    total, rows = placed.agg(F.coalesce(F.max("end"), F.lit(0)), F.count(F.lit(1))).first()
+    limit = max(1, total // 3)
+    cuts = nextfit.next_fit_cuts(placed, limit, total, rows, segment_docs=fx.SEGMENT_DOCS)
+    found = nextfit.max_shards(limit, total)
+    packed = nextfit.assign_shards(placed, settle(cuts, "shards", found), limit, found)
+    return packed.select("source", "seq", "pos", "shard_id")
+
+
 @query
 def shard_stats(spark, sf_dir):
     return shards.shard_stats(_packed(spark, sf_dir)[0])
