@@ -26,6 +26,7 @@ from tokenloom.sources.metadata import dataset_meta, pass_columns, read_meta
 from tokenloom.sources.shards import (
     encode_in_place,
     read_raw_shards,
+    read_token_bins,
     read_token_shards,
     write_encoded_bins,
     write_encoded_shards,
@@ -475,7 +476,7 @@ def token_shard_rescan(spark, sf_dir):
     write_encoded_shards(made, path)
     spark.dataSource.register(TokenBinSource)
     write_encoded_bins(made, bins)
-    rows = spark.read.format("tokenbin").option("rowTokens", 10_000).load(f"{bins}/train_shards")
+    rows = read_token_bins(spark, f"{bins}/train_shards", rowTokens=10_000)
     sums = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, i: a + i)
     files = rows.groupBy("file").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.sum(sums).alias("id_sum")
@@ -555,7 +556,7 @@ def _bins(spark, sf_dir) -> tuple[DataFrame, windows.RankPlan]:
     bins = stage_path(spark, "stream-bins")
     spark.dataSource.register(TokenBinSource)
     write_encoded_bins(made, bins)
-    rows = spark.read.format("tokenbin").load(f"{bins}/train_shards")
+    rows = read_token_bins(spark, f"{bins}/train_shards")
     return rows, windows.RankPlan(total, fx.WORLD, fx.BLOCK)
 
 

@@ -149,3 +149,10 @@ def read_token_shards(spark: SparkSession, path: str, split: str | None = None)
 def write_token_bins(fragments: DataFrame, path: str, train_shards: int, size: int = 0) -> None:
     """Export token fragments as flat 16-bit files, every file by one task."""
     write_encoded_bins(_token_files(fragments, train_shards, size), path)
+
+
+def read_token_bins(spark: SparkSession, path: str, **options: str | int) -> DataFrame:
+    """Flat 16-bit files of an export: its ``train_shards`` folder or one file. A bare path is one
+    of the cluster's default file system, as it is for the writers.
+    """
+    return spark.read.format("tokenbin").options(**options).load(qualified(spark, path))

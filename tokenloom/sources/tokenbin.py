@@ -2,11 +2,21 @@
 
 Register with ``spark.dataSource.register(TokenBinSource)``. Files are read in the order of their numbers; a
 partition is a byte range on an even offset. Writing expects each shard's fragments in one task and
-in order (``shards.write_token_bins`` arranges that); files appear under their names at commit only.
+in order (``shards.write_token_bins`` arranges that).
+
+An export commits in two phases. Tasks write files under names of their own. The commit then puts
+one list of all files in place (``_commit.json``), moves each file to its name, deletes what the list
+does not name, and makes the list the manifest (``_manifest.json``). Readers follow the newest list:
+before it is put in place they read the export before it, and after that the new one, even where the
+moves were cut short. Sizes, and so positions, come from the list; a file of another size is an
+error, and files that it does not name are not read. The next export finishes the moves and sweeps
+files that failed tasks or runs left behind. One export at a time may write to a path. Folders
+without a list are read as they are.
 """
 
 from __future__ import annotations
 
+import json
 import posixpath
 import re
 import uuid
@@ -30,6 +40,8 @@ TRAIN_NAME = "train_shards/shard_{:05d}.bin"
 VAL_NAME = "val.bin"
 ID_TYPE = np.dtype("<u2")
 MAX_ID = 65_535
+# The list of an export that is being put in place, and of one that is.
+COMMIT, MANIFEST = "_commit.json", "_manifest.json"
 
 READ_SCHEMA = "file string, start long, end long, tokens array<int>"
 
@@ -49,13 +61,83 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
 
-def _bin_files(path: str) -> list[fs.FileInfo]:
-    system, root = _open(path)
-    info = system.get_file_info(root)
+@dataclass
+class BinFile:
+    """A file of an export: its name below the root, where it is now, and its bytes."""
+
+    name: str
+    path: str
+    size: int
+
+
+def _exists(system: fs.FileSystem, path: str) -> bool:
+    return system.get_file_info(path).type == fs.FileType.File
+
+
+def _present(system: fs.FileSystem, root: str) -> dict[str, BinFile]:
+    """Files of an export's two folders by their name below its root."""
+    found = {}
+    for folder in ("", TRAIN_DIR):
+        at = fs.FileSelector(posixpath.join(root, folder).rstrip("/"), allow_not_found=True)
+        for info in system.get_file_info(at):
+            if info.type == fs.FileType.File:
+                name = posixpath.join(folder, posixpath.basename(info.path))
+                found[name] = BinFile(name, info.path, info.size)
+    return found
+
+
+def _read_list(system: fs.FileSystem, root: str) -> list[BinFile] | None:
+    """Files of the newest export under ``root``, each where it is now; None without a list."""
+    for listed in (COMMIT, MANIFEST):
+        if not _exists(system, posixpath.join(root, listed)):
+            continue
+        with system.open_input_file(posixpath.join(root, listed)) as file:
+            entries = json.loads(file.read())
+        here = _present(system, root)
+        found = []
+        for name, temporary, size in entries:
+            now = here.get(temporary) or here.get(name)
+            if now is None or now.size != size:
+                raise ValueError(f"{name} is not the file of {size} bytes that {listed} names")
+            found.append(BinFile(name, now.path, size))
+        return found
+    return None
+
+
+def _replace(system: fs.FileSystem, source: str, target: str) -> None:
+    """Move a file, also where the file system does not move onto an existing one."""
+    if _exists(system, target):
+        system.delete_file(target)
+    system.move(source, target)
+
+
+def _places(given: str) -> Iterator[tuple[str, str]]:
+    """Roots whose list may name what is at a path, and the path below each."""
+    yield given, ""
+    head, tail = posixpath.split(given)
+    if tail in (TRAIN_DIR, VAL_NAME):
+        yield head, tail
+    if posixpath.basename(head) == TRAIN_DIR:
+        yield posixpath.dirname(head), posixpath.join(TRAIN_DIR, tail)
+
+
+def _bin_files(path: str) -> list[BinFile]:
+    """The files to read at a path: an export, one of its folders, one of its files, or files that
+    belong to no export.
+    """
+    system, given = _open(path)
+    given = given.rstrip("/")
+    for root, below in _places(given):
+        listed = _read_list(system, root)
+        if listed is not None:
+            inside = [f for f in listed if below in (f.name, posixpath.dirname(f.name))]
+            return sorted(inside, key=lambda f: file_order(f.name))
+    info = system.get_file_info(given)
     if info.type == fs.FileType.File:
-        return [info]
-    found = system.get_file_info(fs.FileSelector(root, allow_not_found=True))
-    return sorted((f for f in found if f.path.endswith(".bin")), key=lambda f: file_order(f.path))
+        return [BinFile(posixpath.basename(given), info.path, info.size)]
+    found = system.get_file_info(fs.FileSelector(given, allow_not_found=True))
+    bins = [BinFile(posixpath.basename(f.path), f.path, f.size) for f in found]
+    return sorted((f for f in bins if f.name.endswith(".bin")), key=lambda f: file_order(f.name))
 
 
 def file_order(path: str) -> tuple[str, int, str]:
@@ -69,11 +151,11 @@ def file_order(path: str) -> tuple[str, int, str]:
 
 @dataclass
 class ByteRanges(InputPartition):
-    """File pieces ``(path, low, high, base)`` in stream order: bytes ``[low, high)`` of a file
+    """File pieces ``(file, low, high, base)`` in stream order: bytes ``[low, high)`` of a file
     whose first id stands at stream position ``base``.
     """
 
-    pieces: list[tuple[str, int, int, int]]
+    pieces: list[tuple[BinFile, int, int, int]]
 
 
 class TokenBinReader(DataSourceReader):
@@ -98,7 +180,7 @@ class TokenBinReader(DataSourceReader):
                     parts.append(ByteRanges([]))
                     room = 2 * self.partition_tokens
                 high = min(low + room, size)
-                parts[-1].pieces.append((info.path, low, high, base))
+                parts[-1].pieces.append((info, low, high, base))
                 room -= high - low
                 low = high
             base += size // 2
@@ -106,9 +188,16 @@ class TokenBinReader(DataSourceReader):
 
     def read(self, part: ByteRanges) -> Iterator[pa.RecordBatch]:
         system, _ = _open(self.path)
-        for path, low, high, base in part.pieces:
-            with system.open_input_file(path) as file:
-                yield from self._rows(file, posixpath.basename(path), low, high, base)
+        for info, low, high, base in part.pieces:
+            name = posixpath.basename(info.name)
+            # A commit may have moved the file since its place was looked up.
+            here = info.path if _exists(system, info.path) else self._final(info)
+            with system.open_input_file(here) as file:
+                yield from self._rows(file, name, low, high, base)
+
+    @staticmethod
+    def _final(info: BinFile) -> str:
+        return posixpath.join(posixpath.dirname(info.path), posixpath.basename(info.name))
 
     def _rows(self, file, name: str, low: int, high: int, base: int) -> Iterator[pa.RecordBatch]:
         for at in range(low, high, 2 * self.row_tokens):
@@ -128,9 +217,9 @@ class TokenBinReader(DataSourceReader):
 
 @dataclass
 class WrittenFiles(WriterCommitMessage):
-    """Temporary files of one task, with their final names."""
+    """Files of one task: the name each is to have, its name now, and its bytes."""
 
-    files: list[tuple[str, str]]
+    files: list[tuple[str, str, int]]
 
 
 class TokenBinWriter(DataSourceArrowWriter):
@@ -141,7 +230,7 @@ class TokenBinWriter(DataSourceArrowWriter):
     def write(self, batches: Iterator[pa.RecordBatch]) -> WrittenFiles:
         system, root = _open(self.path)
         system.create_dir(posixpath.join(root, TRAIN_DIR), recursive=True)
-        files: list[tuple[str, str]] = []
+        files: list[tuple[str, str, int]] = []
         current, sink, reached = None, None, 0
         try:
             for batch in batches:
@@ -153,11 +242,11 @@ class TokenBinWriter(DataSourceArrowWriter):
                     if name != current:
                         if sink is not None:
                             sink.close()
-                        if any(final == name for _, final in files):
+                        if any(final == name for final, _, _ in files):
                             raise ValueError(f"fragments of {name} are not together")
-                        temporary = posixpath.join(root, f"{name}.{uuid.uuid4().hex}.tmp")
-                        sink = system.open_output_stream(temporary)
-                        files.append((temporary, name))
+                        temporary = f"{name}.{uuid.uuid4().hex}.tmp"
+                        sink = system.open_output_stream(posixpath.join(root, temporary))
+                        files.append((name, temporary, 0))
                         current, reached = name, start
                     if start != reached:
                         raise ValueError(f"gap or disorder in {name} at {start}")
@@ -165,6 +254,7 @@ class TokenBinWriter(DataSourceArrowWriter):
                     if len(ids) and (ids.min() < 0 or ids.max() > MAX_ID):
                         raise ValueError(f"an id does not fit 16 bits in {name}")
                     sink.write(ids.astype(ID_TYPE).tobytes())
+                    files[-1] = (*files[-1][:2], files[-1][2] + ID_TYPE.itemsize * len(ids))
                     reached += len(ids)
         finally:
             if sink is not None:
@@ -174,26 +264,55 @@ class TokenBinWriter(DataSourceArrowWriter):
     def commit(self, messages: list[WrittenFiles]) -> None:
         system, root = _open(self.path)
         system.create_dir(posixpath.join(root, TRAIN_DIR), recursive=True)
-        fresh = [pair for m in messages if m is not None for pair in m.files]
-        names = [name for _, name in fresh]
-        if len(set(names)) != len(names):
+        fresh = [file for m in messages if m is not None for file in m.files]
+        names = {name for name, _, _ in fresh}
+        if len(names) != len(fresh):
             self.abort(messages)
             raise ValueError("a shard was written by two tasks")
-        for temporary, name in fresh:
-            system.move(temporary, posixpath.join(root, name))
-        if self.overwrite:
-            written = {posixpath.join(root, name) for name in names}
-            for folder in (self.path, posixpath.join(self.path, TRAIN_DIR)):
-                for info in _bin_files(folder):
-                    if info.path not in written:
-                        system.delete_file(info.path)
+        # An export that was cut short after its list was in place is finished first, so that this
+        # commit either leaves that one whole or replaces it.
+        self._settle(system, root, {temporary for _, temporary, _ in fresh})
+        # What an append finds in place stays, named by the list before it or not.
+        kept = [] if self.overwrite else self._bins(system, root)
+        entries = fresh + [(f.name, None, f.size) for f in kept if f.name not in names]
+        temporary = posixpath.join(root, f"{COMMIT}.{uuid.uuid4().hex}.tmp")
+        with system.open_output_stream(temporary) as sink:
+            sink.write(json.dumps(entries).encode())
+        system.move(temporary, posixpath.join(root, COMMIT))
+        self._settle(system, root, set())
+
+    @staticmethod
+    def _bins(system: fs.FileSystem, root: str) -> list[BinFile]:
+        return [f for f in _present(system, root).values() if f.name.endswith(".bin")]
+
+    def _settle(self, system: fs.FileSystem, root: str, pending: set[str]) -> None:
+        """Do what is left of a commit whose list is in place, and sweep temporary files other than
+        the ``pending`` ones. Every step may be repeated.
+        """
+        commit = posixpath.join(root, COMMIT)
+        if _exists(system, commit):
+            with system.open_input_file(commit) as file:
+                listed = json.loads(file.read())
+            here = _present(system, root)
+            for name, temporary, _ in listed:
+                if temporary in here:
+                    _replace(system, here[temporary].path, posixpath.join(root, name))
+            names = {name for name, _, _ in listed}
+            for file in self._bins(system, root):
+                if file.name not in names:
+                    system.delete_file(file.path)
+            # Until this move, readers follow the commit's list.
+            _replace(system, commit, posixpath.join(root, MANIFEST))
+        for file in _present(system, root).values():
+            if file.name.endswith(".tmp") and file.name not in pending:
+                system.delete_file(file.path)
 
     def abort(self, messages: list[WrittenFiles]) -> None:
-        system, _ = _open(self.path)
+        system, root = _open(self.path)
         for message in messages:
-            for temporary, _ in message.files if message is not None else ():
-                if system.get_file_info(temporary).type == fs.FileType.File:
-                    system.delete_file(temporary)
+            for _, temporary, _ in message.files if message is not None else ():
+                if _exists(system, posixpath.join(root, temporary)):
+                    system.delete_file(posixpath.join(root, temporary))
 
 
 class TokenBinSource(DataSource):
