@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Sequence
 
@@ -41,6 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 # Application ids to which this package was already sent.
 _SHIPPED: set[str] = set()
+_SHIPPING = threading.Lock()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -49,15 +51,17 @@ def ship_package(spark: SparkSession) -> None:
     Not needed where it is installed on every node or submitted with ``--py-files``.
     """
     application = spark.sparkContext.applicationId
-    if application in _SHIPPED:
-        return
-    package = os.path.dirname(os.path.abspath(__file__))
-    target = os.path.join(tempfile.mkdtemp(prefix="tokenloom-"), "tokenloom")
-    archive = shutil.make_archive(
-        target, "zip", os.path.dirname(package), os.path.basename(package)
-    )
-    spark.sparkContext.addPyFile(archive)
-    _SHIPPED.add(application)
+    # Threads of one session may come here at once; a second archive of the name would be refused.
+    with _SHIPPING:
+        if application in _SHIPPED:
+            return
+        package = os.path.dirname(os.path.abspath(__file__))
+        target = os.path.join(tempfile.mkdtemp(prefix="tokenloom-"), "tokenloom")
+        archive = shutil.make_archive(
+            target, "zip", os.path.dirname(package), os.path.basename(package)
+        )
+        spark.sparkContext.addPyFile(archive)
+        _SHIPPED.add(application)
 
 
 def local_table(spark: SparkSession, rows: Sequence[Sequence], schema: str) -> DataFrame:
