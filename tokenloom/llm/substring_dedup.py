@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -361,29 +361,62 @@ def _merged(ranges: list) -> list[tuple[int, int]]:
     return [tuple(r) for r in out]
 
 
-def removed_ranges(docs: DataFrame) -> DataFrame:
-    """``(text_id, rank, cuts)`` of every distinct text: its smallest document, and the ranges of
-    bytes to remove from it there. In a document that is not the smallest the whole text repeats.
+def first_hash(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
+def text_ids(text: Column, clashes: list[list[int]]) -> list[Column]:
+    """``text_id`` and ``check`` of a text, two hashes of it. ``clashes`` lists the ids that turned
+    out to belong to different texts, round by round; these texts get an id made of both hashes.
+    """
+    check = F.xxhash64(F.lit("check"), text)
+    text_id = first_hash(text)
+    for number, ids in enumerate(clashes):
+        apart = F.xxhash64(F.lit(number), text_id, check)
+        text_id = F.when(text_id.isin(ids), apart).otherwise(text_id)
+    return [text_id.alias("text_id"), check.alias("check")]
+
+
+def removed_ranges(docs: DataFrame) -> tuple[DataFrame, list[list[int]]]:
+    """``(text_id, check, rank, cuts)`` of every distinct text: its smallest document, and the
+    ranges of bytes to remove from it there. In a document that is not the smallest the whole text
+    repeats. Also the clashes with which ``text_ids`` tells all texts apart.
+
+    Ids of 64 bits travel, as few tables have two texts of one id. Whether this one has is seen
+    from the second hashes of each id; only then the texts' anchors are sought again, under ids
+    that differ. The list grows with the square of the texts: some three ids of 10^10 texts.
     """
     spark = docs.sparkSession
     ship_package(spark)
-    rows = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("rank"),
-        F.xxhash64("text").alias("text_id"),
-        "text",
-    ).filter(F.octet_length("text") >= LENGTH)
+    clashes: list[list[int]] = []
     with dropped_shuffles(spark):
-        common = common_keys(rows.select("text"), anchor_keys)
-        shared = shared_anchors(rows.select("text_id", "text"), common)
-        ranks = rows.groupBy("text_id").agg(F.min("rank").alias("rank"))
-        texts = materialize(ranks.join(shared, "text_id", "left"), "text-anchors")
+        common = common_keys(
+            docs.filter(F.octet_length("text") >= LENGTH).select("text"), anchor_keys
+        )
+        while True:
+            rows = docs.select(
+                F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("rank"),
+                *text_ids(F.col("text"), clashes),
+                "text",
+            ).filter(F.octet_length("text") >= LENGTH)
+            shared = shared_anchors(rows.select("text_id", "text"), common)
+            ranks = rows.groupBy("text_id").agg(
+                F.min("rank").alias("rank"),
+                F.min("check").alias("check"),
+                F.max("check").alias("other"),
+            )
+            texts = materialize(ranks.join(shared, "text_id", "left"), "text-anchors")
+            met = texts.filter("check != other").select("text_id").toArrow()
+            if not met.num_rows:
+                break
+            clashes.append(met.column("text_id").to_pylist())
         # Ids and ranks together spread copies of one text over all tasks.
-        found = rows.join(texts, ["text_id", "rank"]).select("text_id", "rank", "text", "anchors")
+        found = rows.drop("check").join(texts, ["text_id", "rank"])
+        found = found.select("text_id", "rank", "text", "anchors")
         cuts = repeated_windows(text_stretches(found, common))
         cuts = cuts.groupBy("text_id").agg(F.collect_set(F.struct("low", "high")).alias("cuts"))
-        return materialize(
-            texts.select("text_id", "rank").join(cuts, "text_id", "left"), "cuts"
-        )
+        ranges = texts.select("text_id", "check", "rank").join(cuts, "text_id", "left")
+        return materialize(ranges, "cuts"), clashes
 
 
 KEPT = "n_bytes long, n_removed long, n_spans long, kept binary"
@@ -394,16 +427,16 @@ def cut_texts(docs: DataFrame) -> DataFrame:
     of every document; the columns of ``docs`` other than ``text`` come as ``c0, c1, ...`` in
     their order, so that none of their names can clash.
     """
-    ranges = removed_ranges(docs)
+    ranges, clashes = removed_ranges(docs)
     others = [n for n in docs.columns if n != "text"]
     carried = [f"c{i}" for i in range(len(others))]
     rows = docs.select(
         *[F.col(n).alias(c) for n, c in zip(others, carried)],
         "text",
-        F.xxhash64("text").alias("text_id"),
+        *text_ids(F.col("text"), clashes),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("own"),
     )
-    rows = rows.join(ranges, "text_id", "left")
+    rows = rows.join(ranges, ["text_id", "check"], "left")
     later = F.coalesce(F.col("own") > F.col("rank"), F.lit(False))
     rows = rows.select(*carried, "text", later.alias("later"), "cuts")
 
@@ -445,8 +478,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     Defined cases: null and short texts lose nothing, and a null text is empty; a null ``doc_id``
     is later than all others; rows of one ``doc_id`` are no earlier than each other, so they lose
-    nothing to each other; an empty table gives an empty result. Texts are told apart by 64-bit
-    hashes, windows by their bytes.
+    nothing to each other; an empty table gives an empty result. Texts are told apart by 128 bits
+    of hashes, windows by their bytes.
     """
     rows = cut_texts(docs.select("doc_id", "text"))
     kept = F.coalesce(F.col("kept"), F.lit(b""))
