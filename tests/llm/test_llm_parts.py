@@ -1,18 +1,28 @@
 """Building blocks of the operators against brute force."""
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tokenloom.llm import decontamination, jaccard_join, pieces, quality, substring_dedup
+from tokenloom.llm import (
+    decontamination,
+    jaccard_join,
+    pieces,
+    quality,
+    substring_dedup,
+    token_files,
+)
+from tokenloom.llm.batches import RecentTable
 from tokenloom.llm.elias_fano import EliasFano
 from tokenloom.llm.graph import components
 from tokenloom.llm.language_id import BIGRAMS, TRIGRAMS, distinct_codes
 from tokenloom.llm.shingles import shingle_sets
 from tokenloom.llm.signature_tree import Group
 from tokenloom.llm.suffix_intervals import equal_prefixes
+from tokenloom.llm.token_counts import TokenizerFile
 
 
 @given(st.lists(st.lists(st.integers(1, 3), max_size=20), min_size=1, max_size=8), st.integers(1, 9))
@@ -324,6 +334,38 @@ def test_unigram_search(model, monkeypatch):
         assert sum(model.score[p] for p in parts) == best(word)[0]
 
 
+ODD = ["a", "the", "'s", "\u00e9", "\u6f22", "\n", "\t", " ", "  ", "\xa0", "\x85", "\x1c", "\u3000", ".", ",,"]
+ODD += ["!!?", "1", "23", "\u0120", "<|endoftext|>", "-", "\U0001f642", "\r\n", "\u200b", "\u2009", "x. ", " y,"]
+
+
+def test_parts_of_token_files(monkeypatch):
+    """Ids of odd texts, with tables that turn over all the time, against the library."""
+    tokenizer = TokenizerFile(public_tokenizers.path("byte_bpe_50k.json"))
+    monkeypatch.setattr(token_files, "MAX_PARTS", 200)
+    monkeypatch.setattr(token_files, "_KNOWN", {})
+    rng = np.random.default_rng(7)
+    for _ in range(10):
+        texts = ["".join(rng.choice(ODD, rng.integers(0, 25))) for _ in range(400)]
+        texts += [None, "", " ", "  ", "a ", " a", "word " * 300]
+        got = token_files.encode_texts(tokenizer, pa.array(texts, pa.string()))
+        given = [t or "" for t in texts]
+        want = tokenizer.load().encode_batch_fast(given, add_special_tokens=False)
+        assert [np.frombuffer(g, "<u2").tolist() for g in got] == [w.ids for w in want]
+    assert token_files.encode_texts(tokenizer, pa.array([], pa.string())) == []
+
+
+def test_recent_table():
+    table = RecentTable(8)
+    for block in (["a", "b"], ["c", "a"], ["d", "e", "a"], ["f", "a", "a"], ["b", "g", "a"]):
+        fresh = table.missing(block)
+        assert set(fresh) <= set(block) and len(fresh) == len(set(fresh))
+        assert "a" not in fresh or block == ["a", "b"]  # used in every block, so never forgotten
+        table.learn(fresh, [k * 2 for k in fresh])
+        assert table.values(block) == [k * 2 for k in block]
+        assert len(table.young) + len(table.old) <= 8 + len(block)
+    assert table.missing([]) == []
+
+
 def test_label_model_finds_accuracies():
     rng = np.random.default_rng(4)
     good = rng.random(20_000) < 0.85

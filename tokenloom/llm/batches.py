@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Collection, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +51,38 @@ def binary_rows(lengths: np.ndarray, data: np.ndarray) -> pa.Array:
     return cells.cast(pa.binary())
 
 
+class RecentTable:
+    """Values by key, of which a worker keeps those used lately: when the young half is full it
+    becomes the old one, and what is used again moves back. ``most`` bounds both halves, but for
+    the keys of the block at hand.
+    """
+
+    def __init__(self, most: int):
+        self.most = most
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def missing(self, keys: Collection) -> list:
+        """The keys of a block that are to be learned, each once; the others are at hand."""
+        if len(self.young) + len(keys) > self.most // 2:
+            self.young, self.old = {}, self.young
+        young, old, out = self.young, self.old, []
+        for key in set(keys).difference(young):
+            value = old.get(key)
+            if value is None:
+                out.append(key)
+            else:
+                young[key] = value
+        return out
+
+    def learn(self, keys: Iterable, values: Iterable) -> None:
+        self.young.update(zip(keys, values))
+
+    def values(self, keys: Iterable) -> list:
+        """Values of the keys last given to ``missing``, in the order of these."""
+        return list(map(self.young.__getitem__, keys))
+
+
 def release() -> None:
     """Give free memory back to the system. Workers are reused from stage to stage, and the
     allocators keep what a stage has freed; without this the stages' peaks add up.

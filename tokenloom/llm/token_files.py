@@ -16,14 +16,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tokenloom.llm.batches import blocks, text_bytes
+from tokenloom.llm.batches import RecentTable, blocks, text_bytes
 from tokenloom.llm.elias_fano import EliasFano
 from tokenloom.llm.token_counts import TokenizerFile
+from tokenloom.llm.words import runs_of
 from tokenloom.session import ship_package
 
 END_ID = 0
@@ -39,61 +41,120 @@ ODD_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u20
 BEFORE_SPACE = [" " + " ", *[c + " " for c in ODD_SPACES]]
 # A sentence mark that ends a part after a letter is a part of its own to the library.
 MARKS = ".,;:!?"
-# Parts whose ids a worker keeps; a full table is emptied.
-MAX_PARTS = 700_000
+# Parts whose ids a worker keeps, and parts that the library gets as one text.
+MAX_PARTS, JOINED_PARTS = 700_000, 256
 
 FIELDS = (
     "file int, segment int, ids_before long, n_ids long, width int, doc_ids array<{kind}>, "
     "ids binary, count int, low_width int, lower binary, upper binary, samples binary"
 )
 
-# Ids of parts in this worker, by tokenizer file: those that begin a text, and those after a space.
-_KNOWN: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
+# Ids of parts in this worker, by tokenizer file.
+_KNOWN: dict[str, Parts] = {}
 
 
-def cut(text: str) -> list[str]:
-    """Parts of a text; all but the first had a space before them."""
-    if any(pair in text for pair in BEFORE_SPACE):
-        return PARTS.split(text)
-    return text.split(" ")
+def cut(texts: pa.Array) -> pa.ListArray:
+    """Parts of texts without nulls; all but the first had a space before them."""
+    odd = np.zeros(len(texts), bool)
+    for pair in BEFORE_SPACE:
+        odd |= pc.match_substring(texts, pair).to_numpy(zero_copy_only=False)
+    if not odd.any():
+        return pc.split_pattern(texts, " ")
+    careful = pa.array([PARTS.split(t) for t in texts.filter(odd).to_pylist()], pa.list_(pa.string()))
+    plain = pc.split_pattern(texts.filter(~odd), " ")
+    place = np.empty(len(texts), np.int64)
+    place[~odd] = np.arange(len(plain))
+    place[odd] = len(plain) + np.arange(len(careful))
+    return pa.concat_arrays([plain, careful]).take(pa.array(place))
 
 
-def encode_texts(tokenizer: TokenizerFile, texts: list[str]) -> list[bytes]:
+class Parts:
+    """Ids of parts as the tokenizers library gives them: of those that begin a text (``first``),
+    and of those after a space (``later``).
+    """
+
+    def __init__(self, tokenizer: TokenizerFile):
+        self.library = tokenizer.load()
+        self.kind = id_type(tokenizer)
+        self.first, self.later = RecentTable(MAX_PARTS), RecentTable(MAX_PARTS)
+        # Ids that begin with a space, which byte-level pieces write as this letter.
+        names = self.library.get_vocab(with_added_tokens=True)
+        self.spaced = np.zeros(max(names.values()) + 1, bool)
+        self.spaced[[i for name, i in names.items() if name.startswith("\u0120")]] = True
+
+    @staticmethod
+    def of(tokenizer: TokenizerFile) -> Parts:
+        if tokenizer.path not in _KNOWN:
+            _KNOWN[tokenizer.path] = Parts(tokenizer)
+        return _KNOWN[tokenizer.path]
+
+    def _singly(self, parts: list[str], before: str) -> list[bytes]:
+        given = [before + part for part in parts]
+        found = self.library.encode_batch_fast(given, add_special_tokens=False)
+        return [np.array(one.ids, self.kind).tobytes() for one in found]
+
+    def begins(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts that begin a text."""
+        fresh = self.first.missing(parts)
+        self.first.learn(fresh, self._singly(fresh, ""))
+        return self.first.values(parts)
+
+    def follow(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts after a space. Where a sentence mark ends a part after a letter, the
+        library cuts it off, so the part before it is looked up instead.
+        """
+        cut_off = [len(p) > 1 and p[-1] in MARKS and p[-2].isalpha() for p in parts]
+        bare = [p[:-1] if off else p for p, off in zip(parts, cut_off)]
+        fresh = self.later.missing(bare)
+        # The space before a part begins a new piece, unless white space stands before it. So parts
+        # go to the library end to end, and come apart where an id begins with a space.
+        alone = [p for p in fresh if not p or " " in p or p[-1].isspace()]
+        self.later.learn(alone, self._singly(alone, " "))
+        left = set(alone)
+        joined = [p for p in fresh if p not in left]
+        runs = [joined[i : i + JOINED_PARTS] for i in range(0, len(joined), JOINED_PARTS)]
+        given = [" " + " ".join(run) for run in runs]
+        for run, one in zip(
+            runs, self.library.encode_batch_fast(given, add_special_tokens=False)
+        ):
+            ids = np.array(one.ids, self.kind)
+            edges = np.flatnonzero(self.spaced[ids])
+            if len(edges) != len(run) or edges[0]:
+                self.later.learn(run, self._singly(run, " "))
+                continue
+            data, edges = ids.tobytes(), np.append(edges, len(ids)) * ids.itemsize
+            ends = edges.tolist()
+            self.later.learn(run, [data[a:b] for a, b in zip(ends, ends[1:])])
+        marks = dict(zip(MARKS, self.begins(list(MARKS))))
+        found = self.later.values(bare)
+        return [
+            ids + marks[p[-1]] if off else ids for p, ids, off in zip(parts, found, cut_off)
+        ]
+
+
+def encode_texts(tokenizer: TokenizerFile, texts: pa.Array) -> list[bytes]:
     """Ids of whole texts as the tokenizers library gives them, as 16-bit numbers where the
-    vocabulary allows. The library splits byte-level text at such spaces before it merges, so
-    each distinct part is encoded once.
+    vocabulary allows; a null text is empty. The library splits byte-level text at such spaces
+    before it merges, so each distinct part is encoded once.
     """
-    first, later = _KNOWN.setdefault(tokenizer.path, ({}, {}))
-    rows = [cut(text) for text in texts]
-    heads, tails = [parts[:1] for parts in rows], [parts[1:] for parts in rows]
-    begins = {part for parts in heads for part in parts if part not in first}
-    others = {part for parts in tails for part in parts if part not in later}
-    if len(first) + len(begins) > MAX_PARTS:
-        first.clear()
-        begins = {part for parts in heads for part in parts}
-    if len(later) + len(others) > MAX_PARTS:
-        later.clear()
-        others = {part for parts in tails for part in parts}
-    marked = {p for p in others if len(p) > 1 and p[-1] in MARKS and p[-2].isalpha()}
-    plain = (others - marked) | {p[:-1] for p in marked if p[:-1] not in later}
-    _learn(tokenizer, first, begins | {mark for mark in MARKS if mark not in first}, "")
-    _learn(tokenizer, later, plain, " ")
-    for part in marked:
-        later[part] = later[part[:-1]] + first[part[-1]]
-    return [
-        b"".join(map(first.__getitem__, head)) + b"".join(map(later.__getitem__, tail))
-        for head, tail in zip(heads, tails)
-    ]
-
-
-def _learn(tokenizer: TokenizerFile, table: dict[str, bytes], parts: set[str], before: str) -> None:
-    fresh = list(parts)
-    given = [before + part for part in fresh]
-    kind = id_type(tokenizer)
-    for part, encoded in zip(
-        fresh, tokenizer.load().encode_batch_fast(given, add_special_tokens=False)
-    ):
-        table[part] = np.array(encoded.ids, kind).tobytes()
+    known = Parts.of(tokenizer)
+    rows = cut(texts.fill_null("") if texts.null_count else texts)
+    offsets = rows.offsets.to_numpy().astype(np.int64)
+    offsets = offsets - offsets[0]
+    parts = rows.flatten()
+    heads = known.begins(parts.take(pa.array(offsets[:-1])).to_pylist())
+    after = np.ones(len(parts), bool)
+    after[offsets[:-1]] = False
+    tails = parts.filter(pa.array(after)).dictionary_encode()
+    found = known.follow(tails.dictionary.to_pylist())
+    # Ids of all tails end to end, gathered from those of the distinct ones.
+    sizes = np.array([len(ids) for ids in found], np.int64) // int(known.kind[-1])
+    flat = np.frombuffer(b"".join(found), known.kind)
+    codes = tails.indices.to_numpy()
+    ids = flat[runs_of((np.cumsum(sizes) - sizes)[codes], sizes[codes])]
+    edges = np.concatenate([[0], np.cumsum(sizes[codes])]).astype(np.int64)
+    edges = edges[offsets - np.arange(len(offsets))].tolist()
+    return [head + ids[a:b].tobytes() for head, a, b in zip(heads, edges, edges[1:])]
 
 
 def id_type(tokenizer: TokenizerFile) -> str:
@@ -163,7 +224,7 @@ def write_token_files(docs: DataFrame, tokenizer: TokenizerFile, path: str) -> N
         for batch in batches:
             texts, doc_ids = batch.column("text"), batch.column("doc_id")
             for low, high in blocks(text_bytes(texts)[0], BLOCK_BYTES):
-                found = encode_texts(tokenizer, [t or "" for t in texts[low:high].to_pylist()])
+                found = encode_texts(tokenizer, texts[low:high])
                 since = low
                 for i, own in enumerate(found, low):
                     ids += [own + end]
