@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 from typing import Any
 
 import numpy as np
@@ -24,13 +25,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.batches import blocks, release, text_bytes
+from tokenloom.llm.batches import RecentTable, blocks, release, text_bytes
+from tokenloom.llm.words import runs_of
 from tokenloom.session import ship_package
 
 MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-# Words, and pairs of pieces, whose results a worker keeps; a full table is emptied.
-MAX_WORDS, MAX_PAIRS = 400_000, 1_000_000
+# Words and pairs of pieces whose results a worker keeps: the words used lately; a full table of
+# pairs is emptied.
+MAX_WORDS, MAX_PAIRS = 1_000_000, 1_000_000
 BLOCK_BYTES = 2 << 20
 # Fixed value: what an unknown character costs below the worst piece.
 UNKNOWN_PENALTY = 10.0
@@ -75,10 +78,21 @@ def is_byte_pair(serialized: bytes) -> bool:
     return kind == 2
 
 
+class _Numbers(dict):
+    """Ids of pieces as bytes; a character that is no piece has the ids of its bytes."""
+
+    def __init__(self, ids: dict[str, int], byte_ids: list[int]):
+        super().__init__((piece, np.int32(i).tobytes()) for piece, i in ids.items())
+        self.of_byte = [np.int32(i).tobytes() for i in byte_ids]
+
+    def __missing__(self, part: str) -> bytes:
+        return b"".join([self.of_byte[b] for b in part.encode()])
+
+
 class PieceModel:
     """Vocabulary of a model file and the searches over it."""
 
-    max_words, max_pairs = MAX_WORDS, MAX_PAIRS
+    max_pairs = MAX_PAIRS
 
     def __init__(self, serialized: bytes):
         import sentencepiece
@@ -111,8 +125,17 @@ class PieceModel:
             piece[i:]: self.score.get(piece[i:]) for piece in self.ids for i in range(len(piece))
         }
         self.least = min(self.score.values(), default=0.0) - UNKNOWN_PENALTY
-        self.words: dict[str, bytes] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        # For a byte-pair model: which pieces may stand before one.
+        self.before: dict[str, dict[str, bool] | None] = {
+            part: None if score is None else {} for part, score in self.ends.items()
+        }
+        self.known_pairs = 0
+        self.numbers = _Numbers(self.ids, self.byte_ids) if self.byte_ids else None
+        self.words = RecentTable(MAX_WORDS)
+        # Bytes of all pieces end to end.
+        self.size_of = np.array([len(b) for b in self.bytes_of], np.int64)
+        self.start_of = np.cumsum(self.size_of) - self.size_of
+        self.all_bytes = np.frombuffer(b"".join(self.bytes_of), np.uint8)
         # Texts get a leading space mark, which decoding takes away again.
         self.prefixed = library.normalize("a") == MARK + "a"
 
@@ -137,69 +160,99 @@ class PieceModel:
             parts[where : where + 2] = [parts[where] + parts[where + 1]]
         return parts
 
-    def follows(self, left: str, right: str) -> bool:
-        """Whether the merges of two pieces laid end to end leave them as they are."""
-        key = (left, right)
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= self.max_pairs:
-                self.pairs.clear()
-            wanted = [left, right] if left else [right]
-            known = self.pairs[key] = self.merged(left + right) == wanted
-        return known
+    def _follows(self, known: dict[str, bool], left: str, right: str) -> bool:
+        """Whether the merges of two pieces laid end to end leave them as they are, noted among
+        what is known of the right one.
+        """
+        if self.known_pairs >= self.max_pairs:
+            for pairs in self.before.values():
+                if pairs:
+                    pairs.clear()
+            self.known_pairs = 0
+        self.known_pairs += 1
+        wanted = [left, right] if left else [right]
+        known[left] = kept = self.merged(left + right) == wanted
+        return kept
+
+    def _extend_pairs(self, word: str, shared: int, last: list[str]) -> None:
+        """The last piece of every prefix of ``word`` beyond ``shared`` characters, by the pieces
+        that the model's merges leave side by side.
+        """
+        before, absent = self.before, self.before
+        for end in range(shared + 1, len(word) + 1):
+            piece = ""
+            for start in range(end - 1, -1, -1):
+                part = word[start:end]
+                known = before.get(part, absent)
+                if known is absent:
+                    break  # no piece ends in this
+                if known is None:
+                    continue
+                left = last[start]
+                kept = known.get(left)
+                if kept is None:
+                    kept = self._follows(known, left, part)
+                if kept:
+                    piece = part
+                    break
+            last.append(piece or word[end - 1])
+
+    def _extend_scores(self, word: str, shared: int, last: list[str], total: list[float]) -> None:
+        """The same by the greatest sum of scores."""
+        ids, ends = self.ids, self.ends
+        for end in range(shared + 1, len(word) + 1):
+            best, piece = None, ""
+            single = word[end - 1]
+            for start in range(end - 1, -1, -1):
+                part = word[start:end]
+                score = ends.get(part, ends)
+                if score is ends:
+                    break  # no piece ends in this
+                if score is None:
+                    continue
+                score += total[start]
+                if best is None or score >= best:
+                    best, piece = score, part
+            if single not in ids:
+                score = total[end - 1] + self.least
+                if best is None or score > best:
+                    best, piece = score, single
+            total.append(best)
+            last.append(piece)
 
     def segment(self, words: Iterable[str]) -> Iterator[tuple[str, list[str]]]:
         """Every word with its pieces, in sorted order."""
-        ids, ends, follows = self.ids, self.ends, self.follows
         total = [0.0]  # best score of each prefix of the word at hand
         last = [""]  # and the piece that ends it
         before = ""
         for word in sorted(words):
-            shared, most = 0, min(len(before), len(word))
-            while shared < most and before[shared] == word[shared]:
+            shared = 0
+            for one, other in zip(before, word):
+                if one != other:
+                    break
                 shared += 1
-            del total[shared + 1 :], last[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                best, piece = None, ""
-                single = word[end - 1]
-                for start in range(end - 1, -1, -1):
-                    part = word[start:end]
-                    score = ends.get(part, ends)
-                    if score is ends:
-                        break  # no piece ends in this
-                    if score is None:
-                        continue
-                    if self.byte_pair:
-                        if follows(last[start], part):
-                            best, piece = 0.0, part
-                            break
-                    else:
-                        score += total[start]
-                        if best is None or score >= best:
-                            best, piece = score, part
-                if single not in ids and (best is None or not self.byte_pair):
-                    score = total[end - 1] + self.least
-                    if best is None or score > best:
-                        best, piece = score, single
-                total.append(best)
-                last.append(piece)
+            del last[shared + 1 :]
+            if self.byte_pair:
+                self._extend_pairs(word, shared, last)
+            else:
+                del total[shared + 1 :]
+                self._extend_scores(word, shared, last, total)
             before = word
             parts, end = [], len(word)
             while end:
                 parts.append(last[end])
                 end -= len(last[end])
-            yield word, parts[::-1]
+            parts.reverse()
+            yield word, parts
 
-    def _numbers(self, parts: list[str]) -> bytes:
+    def _coded(self, parts: list[str]) -> bytes:
+        if self.numbers is not None:
+            return b"".join(map(self.numbers.__getitem__, parts))
         out: list[int] = []
         for part in parts:
-            known = self.ids.get(part)
-            if known is not None:
+            known = self.ids.get(part, self.unknown)
+            if known != self.unknown or not out or out[-1] != self.unknown:
                 out.append(known)
-            elif self.byte_ids:
-                out += [self.byte_ids[b] for b in part.encode()]
-            elif not out or out[-1] != self.unknown:
-                out.append(self.unknown)
         return np.array(out, np.int32).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -211,19 +264,14 @@ class PieceModel:
                 cut.append(WORD.findall(plain))
             else:
                 cut.append([MARK + w for w in plain[1:].split(MARK)])
-        words = self.words
-        new = {w for one in cut for w in one if w not in words}
-        if len(words) + len(new) > self.max_words:
-            words.clear()
-            new = {w for one in cut for w in one}
-        for word, parts in self.segment(new):
-            words[word] = self._numbers(parts)
-        return [np.frombuffer(b"".join(map(words.__getitem__, one)), np.int32) for one in cut]
+        new = self.words.missing(set(chain.from_iterable(cut)))
+        found = [(word, self._coded(parts)) for word, parts in self.segment(new)]
+        self.words.learn([word for word, _ in found], [ids for _, ids in found])
+        return [np.frombuffer(b"".join(self.words.values(one)), np.int32) for one in cut]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Bytes of a text from its ids."""
-        table = self.bytes_of
-        data = b"".join([table[i] for i in ids.tolist()])
+        data = self.all_bytes[runs_of(self.start_of[ids], self.size_of[ids])].tobytes()
         return data[1:] if self.prefixed and data[:1] == b" " else data
 
 
@@ -264,7 +312,7 @@ def with_ids(docs: DataFrame, path: str) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         model = PieceModel.at(path)
-        model.max_words, model.max_pairs = STAGE_WORDS, STAGE_PAIRS
+        model.words.most, model.max_pairs = STAGE_WORDS, STAGE_PAIRS
         for batch in batches:
             texts = batch.column("text")
             sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
@@ -278,7 +326,7 @@ def with_ids(docs: DataFrame, path: str) -> DataFrame:
                 columns = [part.column(c) for c in others]
                 yield pa.RecordBatch.from_arrays([*columns, ids], [*others, "ids"])
         # The next task of this worker may belong to another query.
-        model.max_words, model.max_pairs = MAX_WORDS, MAX_PAIRS
+        model.words.most, model.max_pairs = MAX_WORDS, MAX_PAIRS
         release()
 
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others]
