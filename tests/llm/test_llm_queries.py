@@ -7,11 +7,14 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from conftest import SF
 from tokenloom.llm.oracle import ORACLE_SQL
 from tokenloom.llm.queries import QUERIES
+from tokenloom.llm.token_counts import TokenizerFile
+from tokenloom.llm.token_files import find_offsets, token_files
 
 
 @pytest.fixture(scope="module")
@@ -77,6 +80,18 @@ def test_token_files(spark, texts):
         start += len(ids)
 
 
+def test_found_offsets(spark, out):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    tokenizer = TokenizerFile(public_tokenizers.path("byte_bpe_50k.json"))
+    all_rows = token_files(docs, tokenizer, out + "/files").select("doc_id", "start", "n_tokens")
+    want = {tuple(r) for r in all_rows.collect() if r["doc_id"] % 7 == 0}
+    ids = [(r[0],) for r in want] * 2 + [(None,), (-1,)]
+    wanted = spark.createDataFrame(ids, "doc_id long").withColumn("start", F.lit("x"))
+    found = [tuple(r) for r in find_offsets(wanted, out + "/files").collect()]
+    assert len(found) == len(want) and set(found) == want
+    assert find_offsets(wanted.limit(0), out + "/files").collect() == []
+
+
 @pytest.fixture(scope="module")
 def model():
     import sentencepiece

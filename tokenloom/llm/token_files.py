@@ -282,6 +282,51 @@ def read_offsets(spark: SparkSession, path: str) -> DataFrame:
     return joined.mapInArrow(emit, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
 
+def find_offsets(wanted: DataFrame, path: str) -> DataFrame:
+    """``doc_id, start, n_tokens`` of the documents that ``wanted`` names by ``doc_id``, one row per
+    document of the files: two selects each, without reading ids or the offsets of others.
+
+    Defined cases: an id named twice is found once, a null or unknown one not at all; a repeated id
+    of the files gives all its documents; other columns are ignored; empty tables give no rows.
+    """
+    spark = wanted.sparkSession
+    ship_package(spark)
+    files = spark.read.parquet(path)
+    kind = files.schema["doc_ids"].dataType.elementType.simpleString()
+    sizes = files.groupBy("file").agg(F.sum("n_ids").alias("n"))
+    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    places = files.select("file", "segment", F.posexplode("doc_ids").alias("at", "doc_id"))
+    places = places.join(wanted.select(F.col("doc_id").cast(kind)).distinct(), "doc_id")
+    # A segment has at most SEGMENT_IDS documents, as each has an end id.
+    asked = places.groupBy("file", "segment").agg(
+        F.collect_list(F.struct("at", "doc_id")).alias("asked")
+    )
+    codes = ["count", "low_width", "lower", "upper", "samples"]
+    rows = files.select("file", "segment", "ids_before", *codes).join(asked, ["file", "segment"])
+    rows = rows.join(F.broadcast(offsets), "file")
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cell in batch.to_pylist():
+                code = EliasFano(*[cell[n] for n in codes])
+                before = cell["base"] + cell["ids_before"]
+                at = [one["at"] for one in cell["asked"]]
+                starts = [code.select(i - 1) if i else 0 for i in at]
+                sizes = [code.select(i) - start for i, start in zip(at, starts)]
+                columns = [
+                    pa.array([one["doc_id"] for one in cell["asked"]], batch_kind(batch)),
+                    pa.array([before + start for start in starts], pa.int64()),
+                    pa.array(sizes, pa.int64()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens"])
+
+    def batch_kind(batch: pa.RecordBatch) -> pa.DataType:
+        return batch.schema.field("asked").type.value_type.field("doc_id").type
+
+    return rows.mapInArrow(emit, f"doc_id {kind}, start long, n_tokens long")
+
+
 def token_files(docs: DataFrame, tokenizer: TokenizerFile, path: str) -> DataFrame:
     """Write all documents' ids to files at ``path`` and read the offsets back from them.
 
