@@ -24,6 +24,12 @@ def names(spark: SparkSession, folder: str) -> list[str]:
     return [status.getPath().getName() for status in system.listStatus(named)]
 
 
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of a file, or of all files in a folder."""
+    named, system = _path(spark, path)
+    return system.getContentSummary(named).getLength()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a file or a whole folder, if it is there."""
     named, system = _path(spark, path)
