@@ -13,7 +13,6 @@ three-byte strings that occur in some landmark.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,21 +39,6 @@ MIN_SCORE = 0.2
 # portion of the language's fitted texts reach.
 KNOWN_PART, KNOWN_QUANTILE = 0.5, 0.01
 
-# Work tables of the batch at hand: the place at which a code was seen last, and a mark.
-_TABLES: list[np.ndarray] = []
-
-
-@contextmanager
-def work_tables() -> Iterator[None]:
-    """Tables for one batch of texts. They are large, so that none stays in an idle worker; as they
-    come from the system untouched, only the parts that the batch writes to cost anything.
-    """
-    _TABLES[:] = [np.zeros(CODES, np.int32), np.zeros(CODES, np.bool_)]
-    try:
-        yield
-    finally:
-        _TABLES.clear()
-
 
 def _codes(piece: np.ndarray) -> np.ndarray:
     one = piece.astype(np.int32)
@@ -64,27 +48,14 @@ def _codes(piece: np.ndarray) -> np.ndarray:
 
 
 def distinct_codes(text: np.ndarray) -> np.ndarray:
-    """Distinct n-gram codes of a whole text, in time linear in it: of the places that write
-    themselves into a table under their code, the last one per code remains.
+    """Distinct n-gram codes of a whole text, in order. Pieces of a long text are sorted one by one,
+    so that nothing is held beside a piece's codes and the distinct ones so far.
     """
-    if not _TABLES:
-        with work_tables():
-            return distinct_codes(text)
-    place, seen = _TABLES
-    found = []
+    found = np.empty(0, np.int32)
     for low in range(0, max(1, len(text)), PIECE_BYTES):
-        codes = _codes(text[low : low + PIECE_BYTES + 2])
-        at = np.arange(len(codes), dtype=np.int32)
-        place[codes] = at
-        codes = codes[place[codes] == at]
-        if len(text) > PIECE_BYTES:
-            codes = codes[~seen[codes]]
-            seen[codes] = True
-        found.append(codes)
-    codes = found[0] if len(found) == 1 else np.concatenate(found)
-    if len(text) > PIECE_BYTES:
-        seen[codes] = False
-    return codes
+        codes = np.unique(_codes(text[low : low + PIECE_BYTES + 2]))
+        found = np.union1d(found, codes) if len(found) else codes
+    return found
 
 
 def trigrams(text: np.ndarray) -> Iterator[np.ndarray]:
@@ -112,21 +83,12 @@ class LanguageModel:
     def kernel(self, rows: list[np.ndarray]) -> np.ndarray:
         presence = np.zeros((len(rows), len(self.vocabulary)), np.float32)
         sizes = np.ones(len(rows), np.float32)
-        slots = self._slots()
         for i, codes in enumerate(rows):
-            slot = slots[codes]
-            presence[i, slot[slot >= 0]] = 1
+            at = np.minimum(np.searchsorted(self.vocabulary, codes), len(self.vocabulary) - 1)
+            presence[i, at[self.vocabulary[at] == codes]] = 1
             sizes[i] = max(1, len(codes))
         return (presence @ self.landmarks) / np.sqrt(sizes)[:, None]
 
-    def _slots(self) -> np.ndarray:
-        cached = getattr(self, "_lookup", None)
-        if cached is None:
-            cached = np.full(CODES, -1, np.int32)
-            cached[self.vocabulary] = np.arange(len(self.vocabulary), dtype=np.int32)
-            self._lookup = cached
-        return cached
-
     def claims(self, text: np.ndarray, language: int) -> bool:
         """Whether enough of the text's trigrams are known for it to be in the language. A share of
         few trigrams may fall short by the greatest standard deviation that a share of so many has.
@@ -147,7 +109,7 @@ class LanguageModel:
         return cached
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("_lookup", "_trigrams")}
+        return {k: v for k, v in self.__dict__.items() if k != "_trigrams"}
 
     def predict(self, text: Column, claim: bool = False) -> Column:
         """``struct<lang_pred, score, claimed>`` of a text: the language of greatest score, and,
@@ -158,12 +120,11 @@ class LanguageModel:
 
         @F.arrow_udf("struct<lang_pred: string, score: double, claimed: boolean>")
         def scored(lowered: pa.Array) -> pa.Array:
-            with work_tables():
-                try:
-                    return model._scored(lowered, claim)
-                finally:
-                    model._forget()
-                    release()
+            try:
+                return model._scored(lowered, claim)
+            finally:
+                model._forget()
+                release()
 
         return scored(F.when(text.rlike(r"\p{L}"), F.lower(text)))
 
@@ -189,9 +150,8 @@ class LanguageModel:
         )
 
     def _forget(self) -> None:
-        """Drop the lookup tables, which are made again for the next batch."""
-        for name in ("_lookup", "_trigrams"):
-            self.__dict__.pop(name, None)
+        """Drop the table of known trigrams, which is made again for the next batch."""
+        self.__dict__.pop("_trigrams", None)
 
 
 def held_out() -> Column:
@@ -229,10 +189,7 @@ def fit_languages(docs: DataFrame) -> LanguageModel:
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, data = text_bytes(batch.column("text"))
-            with work_tables():
-                found = [
-                    distinct_codes(data[low:high]) for low, high in zip(offsets[:-1], offsets[1:])
-                ]
+            found = [distinct_codes(data[low:high]) for low, high in zip(offsets[:-1], offsets[1:])]
             times = [
                 _times(data[low:high], c)
                 for low, high, c in zip(offsets[:-1], offsets[1:], found)
