@@ -39,6 +39,10 @@ MIN_SCORE = 0.2
 # portion of the language's fitted texts reach.
 KNOWN_PART, KNOWN_QUANTILE = 0.5, 0.01
 
+# The work table of the batch at hand: a model and the trigrams known to it. It is large, so that
+# none stays in an idle worker.
+_TABLES: list[tuple[LanguageModel, np.ndarray]] = []
+
 
 def _codes(piece: np.ndarray) -> np.ndarray:
     one = piece.astype(np.int32)
@@ -101,15 +105,11 @@ class LanguageModel:
         return hits / total >= self.levels[language] - 0.5 / np.sqrt(total)
 
     def _known(self) -> np.ndarray:
-        cached = getattr(self, "_trigrams", None)
-        if cached is None:
-            cached = np.zeros(1 << 24, np.bool_)
-            cached[self.vocabulary[self.vocabulary >= TRIGRAMS] - TRIGRAMS] = True
-            self._trigrams = cached
-        return cached
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_trigrams"}
+        if not _TABLES or _TABLES[0][0] is not self:
+            known = np.zeros(1 << 24, np.bool_)
+            known[self.vocabulary[self.vocabulary >= TRIGRAMS] - TRIGRAMS] = True
+            _TABLES[:] = [(self, known)]
+        return _TABLES[0][1]
 
     def predict(self, text: Column, claim: bool = False) -> Column:
         """``struct<lang_pred, score, claimed>`` of a text: the language of greatest score, and,
@@ -149,9 +149,10 @@ class LanguageModel:
             ["lang_pred", "score", "claimed"],
         )
 
-    def _forget(self) -> None:
-        """Drop the table of known trigrams, which is made again for the next batch."""
-        self.__dict__.pop("_trigrams", None)
+    @staticmethod
+    def _forget() -> None:
+        """Empty the worker's own table; the function that is sent to it has copies of what it names."""
+        _TABLES.clear()
 
 
 def held_out() -> Column:
