@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 from tokenloom.llm.batches import RecentTable, blocks, text_bytes
 from tokenloom.llm.elias_fano import EliasFano
 from tokenloom.llm.token_counts import TokenizerFile
-from tokenloom.llm.words import runs_of
+from tokenloom.llm.words import byte_table, runs_of
 from tokenloom.session import ship_package
 
 END_ID = 0
@@ -39,6 +39,8 @@ ODD_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u20
     map(chr, range(0x2000, 0x200B))
 )
 BEFORE_SPACE = [" " + " ", *[c + " " for c in ODD_SPACES]]
+# The last bytes of such white space.
+ODD_ENDS = byte_table(tuple({pair.encode()[-2] for pair in BEFORE_SPACE}))
 # A sentence mark that ends a part after a letter is a part of its own to the library.
 MARKS = ".,;:!?"
 # Parts whose ids a worker keeps, and parts that the library gets as one text.
@@ -53,11 +55,24 @@ FIELDS = (
 _KNOWN: dict[str, Parts] = {}
 
 
+def odd_rows(texts: pa.Array) -> np.ndarray:
+    """Which texts hold white space before a space. One look at the bytes finds the few that may."""
+    offsets, data = text_bytes(texts)
+    places = np.flatnonzero((data[1:] == 32) & ODD_ENDS[data[:-1]]) + 1
+    odd = np.zeros(len(texts), bool)
+    odd[np.searchsorted(offsets, places, "right") - 1] = True
+    maybe = np.flatnonzero(odd)
+    some = texts.take(pa.array(maybe))
+    found = np.zeros(len(some), bool)
+    for pair in BEFORE_SPACE if len(some) else ():
+        found |= pc.match_substring(some, pair).to_numpy(zero_copy_only=False)
+    odd[maybe] = found
+    return odd
+
+
 def cut(texts: pa.Array) -> pa.ListArray:
     """Parts of texts without nulls; all but the first had a space before them."""
-    odd = np.zeros(len(texts), bool)
-    for pair in BEFORE_SPACE:
-        odd |= pc.match_substring(texts, pair).to_numpy(zero_copy_only=False)
+    odd = odd_rows(texts)
     if not odd.any():
         return pc.split_pattern(texts, " ")
     careful = pa.array([PARTS.split(t) for t in texts.filter(odd).to_pylist()], pa.list_(pa.string()))
@@ -70,13 +85,18 @@ def cut(texts: pa.Array) -> pa.ListArray:
 
 class Parts:
     """Ids of parts as the tokenizers library gives them: of those that begin a text (``first``),
-    and of those after a space (``later``).
+    and of those after a space: ``names``, with the ids of each end to end in ``flat``. The latter
+    are looked up all at once; only those not met lately become Python objects.
     """
 
     def __init__(self, tokenizer: TokenizerFile):
         self.library = tokenizer.load()
         self.kind = id_type(tokenizer)
-        self.first, self.later = RecentTable(MAX_PARTS), RecentTable(MAX_PARTS)
+        self.first = RecentTable(MAX_PARTS)
+        self.names = pa.array([], pa.string())
+        self.flat, self.edges = np.empty(0, self.kind), np.zeros(1, np.int64)
+        # The block that used a part last.
+        self.used, self.block = np.empty(0, np.int64), 0
         # Ids that begin with a space, which byte-level pieces write as this letter.
         names = self.library.get_vocab(with_added_tokens=True)
         self.spaced = np.zeros(max(names.values()) + 1, bool)
@@ -99,19 +119,49 @@ class Parts:
         self.first.learn(fresh, self._singly(fresh, ""))
         return self.first.values(parts)
 
-    def follow(self, parts: list[str]) -> list[bytes]:
-        """Ids of parts after a space. Where a sentence mark ends a part after a letter, the
-        library cuts it off, so the part before it is looked up instead.
+    def follow(self, parts: pa.StringArray) -> np.ndarray:
+        """Places of distinct parts after a space among ``names``. Where a sentence mark ends a part
+        after a letter, the library cuts it off, so the part before it is looked up as well.
+        """
+        self._forget(len(parts))
+        places = self._places(parts)
+        fresh = parts.filter(pa.array(places < 0)).to_pylist()
+        cut_off = [p for p in fresh if len(p) > 1 and p[-1] in MARKS and p[-2].isalpha()]
+        whole = set(fresh).difference(cut_off)
+        bare = list({p[:-1] for p in cut_off}.difference(whole))
+        known = dict(zip(bare, self._places(pa.array(bare, pa.string())).tolist()))
+        whole.update(p for p in bare if known[p] < 0)
+        new = self._encoded(list(whole))
+        marks = dict(zip(MARKS, self.begins(list(MARKS))))
+        for part in cut_off:
+            ids = new.get(part[:-1])
+            if ids is None:
+                at = known[part[:-1]]
+                ids = self.flat[self.edges[at] : self.edges[at + 1]].tobytes()
+            new[part] = ids + marks[part[-1]]
+        at = dict(zip(new, range(len(self.names), len(self.names) + len(new))))
+        self._learn(new)
+        places[places < 0] = [at[part] for part in fresh]
+        return places
+
+    def _places(self, parts: pa.StringArray) -> np.ndarray:
+        """Where distinct parts are among ``names``, or -1. The few parts are made a table, not the
+        many names.
+        """
+        at = pc.index_in(self.names, value_set=parts)
+        found = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+        places = np.full(len(parts), -1)
+        places[at.drop_null().to_numpy()] = found
+        self.used[found] = self.block
+        return places
+
+    def _encoded(self, fresh: list[str]) -> dict[str, bytes]:
+        """The space before a part begins a new piece, unless white space stands before it. So parts
+        go to the library end to end, and come apart where an id begins with a space.
         """
-        cut_off = [len(p) > 1 and p[-1] in MARKS and p[-2].isalpha() for p in parts]
-        bare = [p[:-1] if off else p for p, off in zip(parts, cut_off)]
-        fresh = self.later.missing(bare)
-        # The space before a part begins a new piece, unless white space stands before it. So parts
-        # go to the library end to end, and come apart where an id begins with a space.
         alone = [p for p in fresh if not p or " " in p or p[-1].isspace()]
-        self.later.learn(alone, self._singly(alone, " "))
-        left = set(alone)
-        joined = [p for p in fresh if p not in left]
+        new = dict(zip(alone, self._singly(alone, " ")))
+        joined = [p for p in fresh if p not in new]
         runs = [joined[i : i + JOINED_PARTS] for i in range(0, len(joined), JOINED_PARTS)]
         given = [" " + " ".join(run) for run in runs]
         for run, one in zip(
@@ -120,16 +170,32 @@ class Parts:
             ids = np.array(one.ids, self.kind)
             edges = np.flatnonzero(self.spaced[ids])
             if len(edges) != len(run) or edges[0]:
-                self.later.learn(run, self._singly(run, " "))
+                new.update(zip(run, self._singly(run, " ")))
                 continue
             data, edges = ids.tobytes(), np.append(edges, len(ids)) * ids.itemsize
             ends = edges.tolist()
-            self.later.learn(run, [data[a:b] for a, b in zip(ends, ends[1:])])
-        marks = dict(zip(MARKS, self.begins(list(MARKS))))
-        found = self.later.values(bare)
-        return [
-            ids + marks[p[-1]] if off else ids for p, ids, off in zip(parts, found, cut_off)
-        ]
+            new.update(zip(run, [data[a:b] for a, b in zip(ends, ends[1:])]))
+        return new
+
+    def _forget(self, more: int) -> None:
+        """Before a block of ``more`` parts: where these would pass ``MAX_PARTS``, half of them stay,
+        those used last.
+        """
+        self.block += 1
+        if len(self.names) + more <= MAX_PARTS:
+            return
+        kept = np.sort(np.argsort(-self.used, kind="stable")[: MAX_PARTS // 2])
+        sizes = np.diff(self.edges)[kept]
+        self.flat = self.flat[runs_of(self.edges[kept], sizes)]
+        self.edges = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        self.names, self.used = self.names.take(pa.array(kept)), self.used[kept]
+
+    def _learn(self, new: dict[str, bytes]) -> None:
+        sizes = np.array([len(ids) for ids in new.values()], np.int64) // self.flat.itemsize
+        self.names = pa.concat_arrays([self.names, pa.array(list(new), pa.string())])
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(new.values()), self.kind)])
+        self.edges = np.concatenate([self.edges, self.edges[-1] + np.cumsum(sizes)])
+        self.used = np.concatenate([self.used, np.full(len(new), self.block)])
 
 
 def encode_texts(tokenizer: TokenizerFile, texts: pa.Array) -> list[bytes]:
@@ -146,13 +212,13 @@ def encode_texts(tokenizer: TokenizerFile, texts: pa.Array) -> list[bytes]:
     after = np.ones(len(parts), bool)
     after[offsets[:-1]] = False
     tails = parts.filter(pa.array(after)).dictionary_encode()
-    found = known.follow(tails.dictionary.to_pylist())
+    found = known.follow(tails.dictionary)
     # Ids of all tails end to end, gathered from those of the distinct ones.
-    sizes = np.array([len(ids) for ids in found], np.int64) // int(known.kind[-1])
-    flat = np.frombuffer(b"".join(found), known.kind)
-    codes = tails.indices.to_numpy()
-    ids = flat[runs_of((np.cumsum(sizes) - sizes)[codes], sizes[codes])]
-    edges = np.concatenate([[0], np.cumsum(sizes[codes])]).astype(np.int64)
+    codes = found[tails.indices.to_numpy()]
+    starts = known.edges[codes]
+    sizes = known.edges[codes + 1] - starts
+    ids = known.flat[runs_of(starts, sizes)]
+    edges = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     edges = edges[offsets - np.arange(len(offsets))].tolist()
     return [head + ids[a:b].tobytes() for head, a, b in zip(heads, edges, edges[1:])]
 
