@@ -2,10 +2,17 @@
 
 import tracemalloc
 
+import random
+
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 
-from tokenloom.llm import language_id
+from tokenloom.llm import language_id, shingles, token_files
+from tokenloom.llm.batches import text_parts
 from tokenloom.llm.language_id import BIGRAMS, TRIGRAMS, distinct_codes, fit
+from tokenloom.llm.shingles import set_digest, shingle_sets
+from tokenloom.llm.token_counts import TokenizerFile
 
 
 def codes_of(text: bytes) -> set[int]:
@@ -15,6 +22,61 @@ def codes_of(text: bytes) -> set[int]:
     return one | two | three
 
 
+def test_shingles_are_made_for_a_slice_of_a_batch():
+    """Peak of the sets of a batch of 16 MB: some hundred bytes were held for each of 2 MB of text,
+    and eight for each word of the batch.
+    """
+    rng = random.Random(5)
+    texts = [None, "", *[" ".join(rng.choices("ab cd efg hi jkl".split(), k=2_000)) for _ in range(2_400)]]
+    texts = pa.array([*texts, "long " * 700_000, None], pa.string())
+    batch = pa.RecordBatch.from_arrays([texts, pa.array(range(len(texts)))], ["text", "doc_id"])
+    parts = list(text_parts(iter([batch, batch.slice(0, 0)])))
+    assert [i for part in parts for i in part.column("doc_id").to_pylist()] == list(range(len(texts)))
+    assert len(parts) > 5 and max(part.num_rows for part in parts) < 500
+    shingles._POWERS.clear()
+    whole = [set_digest(tokens) for tokens in shingle_sets(texts.slice(0, 400))]
+    shingles._POWERS.clear()
+    tracemalloc.start()
+    for i, tokens in enumerate(shingle_sets(texts.slice(0, 400))):
+        assert set_digest(tokens) == whole[i]
+    assert tracemalloc.get_traced_memory()[1] < 40 << 20
+    tracemalloc.stop()
+
+
+def test_parts_of_texts_known_lately_make_no_objects(monkeypatch):
+    monkeypatch.setattr(token_files, "_KNOWN", {})
+    tokenizer = TokenizerFile(public_tokenizers.path("byte_bpe_50k.json"))
+    known = token_files.Parts.of(tokenizer)
+    given = []
+
+    class Library:
+        def __init__(self, library):
+            self.library = library
+
+        def encode_batch_fast(self, texts, **options):
+            given.extend(texts)
+            return self.library.encode_batch_fast(texts, **options)
+
+    known.library = Library(known.library)
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcé\u3000.,!1", k=rng.randrange(0, 7))) for _ in range(400)]
+    texts = [" ".join(rng.choices(words, k=300)) for _ in range(40)]
+    expected = [
+        np.array(one.ids, known.kind).tobytes()
+        for one in tokenizer.load().encode_batch_fast(texts, add_special_tokens=False)
+    ]
+    assert token_files.encode_texts(tokenizer, pa.array(texts)) == expected
+    assert isinstance(known.names, pa.StringArray) and len(known.names) > 400
+    given.clear()
+    assert token_files.encode_texts(tokenizer, pa.array(texts)) == expected and given == []
+    # And with parts forgotten before every block.
+    monkeypatch.setattr(token_files, "MAX_PARTS", 20)
+    for low in range(0, 40, 3):
+        part = pa.array(texts).slice(low, 3)
+        assert token_files.encode_texts(tokenizer, part) == expected[low : low + 3]
+        assert len(known.names) == len(known.used) == len(known.edges) - 1 < 800
+
+
 def test_codes_and_kernels_need_no_table_over_all_codes(monkeypatch):
     rng = np.random.default_rng(3)
     texts = [rng.integers(97, 123, n, np.uint8) for n in (1, 2, 3, 400, 401, 1_000, 0)]

@@ -34,6 +34,18 @@ def blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int,
         low = high
 
 
+def text_parts(
+    batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``limit`` bytes of text, or a single row, so that what is
+    made of a text is held for a slice and not for a batch of 10,000 rows.
+    """
+    for batch in batches:
+        for low, high in blocks(text_bytes(batch.column(column))[0], limit):
+            yield batch.slice(low, high - low)
+        release()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser, so that nearby values spread over all bits."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tokenloom.llm.batches import text_parts
+
 # Bounds of the sample (distinct texts, about) and of the list; and the texts of the sample that
 # must hold a key.
 SAMPLE_TEXTS, MAX_KEYS, MIN_TEXTS = 4096, 100_000, 8
@@ -29,7 +31,7 @@ def common_keys(texts: DataFrame, keys: Callable[[pa.Array], Iterator[np.ndarray
     sample = texts.filter(F.pmod(digest, F.lit(share)) == 0).dropDuplicates(["text"])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_parts(batches):
             found = [np.empty(0, np.uint64), *keys(batch.column(0))]
             column = pa.array(np.concatenate(found).view(np.int64))
             yield pa.RecordBatch.from_arrays([column], ["k"])

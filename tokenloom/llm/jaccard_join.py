@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tokenloom.llm.batches import binary_rows
+from tokenloom.llm.batches import binary_rows, text_parts
 from tokenloom.llm.common_keys import common_keys
 from tokenloom.llm.graph import components
 from tokenloom.llm.shingles import set_digest, shingle_sets
@@ -76,7 +76,7 @@ def text_sets(docs: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
         return rare, usual[: size - len(rare)]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_parts(batches):
             ids, sizes, rare, usual, bits = [], [], [], [], []
             for tokens in shingle_sets(batch.column("text")):
                 sizes.append(len(tokens))
@@ -248,7 +248,7 @@ def class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     carried = [c for c in wanted.columns if c not in ("doc_id", "text_hash")]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_parts(batches):
             sets = list(shingle_sets(batch.column("text")))
             lengths = np.array([8 * len(s) for s in sets], np.int64)
             cells = binary_rows(lengths, np.concatenate([np.empty(0, np.uint64), *sets]))

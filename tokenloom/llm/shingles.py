@@ -10,6 +10,8 @@ import pyarrow as pa
 from tokenloom.llm.batches import blocks, mix, text_bytes
 
 WORDS = 5
+# Bytes of text hashed at once: some hundred bytes are held for each of them.
+HASHED_BYTES = 256 << 10
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -58,7 +60,7 @@ def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
     sequence of words is its one shingle; without words the set is empty.
     """
     offsets, data = text_bytes(texts)
-    for low, high in blocks(offsets):
+    for low, high in blocks(offsets, HASHED_BYTES):
         part = offsets[low : high + 1]
         words, edges = word_hashes(data[part[0] : part[-1]], part - part[0])
         mixed = np.zeros(max(0, len(words) - WORDS + 1), np.uint64)
