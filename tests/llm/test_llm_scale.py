@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 
-from tokenloom.llm import language_id, shingles, token_files
+from tokenloom.llm import language_id, shingles, substring_dedup, token_files
 from tokenloom.llm.batches import text_parts
 from tokenloom.llm.language_id import BIGRAMS, TRIGRAMS, distinct_codes, fit
 from tokenloom.llm.shingles import set_digest, shingle_sets
@@ -93,3 +93,49 @@ def test_codes_and_kernels_need_no_table_over_all_codes(monkeypatch):
     # A long text is read piece by piece.
     monkeypatch.setattr(language_id, "PIECE_BYTES", 64)
     assert [set(distinct_codes(t).tolist()) for t in texts] == [set(c.tolist()) for c in found]
+
+
+class Batches:
+    """A table that runs a task's function here, over the given batches."""
+
+    def __init__(self, batches):
+        self.batches = batches
+
+    def mapInArrow(self, emit, schema):  # noqa: N802
+        return list(emit(iter(self.batches)))
+
+    def repartition(self, key):
+        return self
+
+    sortWithinPartitions = repartition  # noqa: N815
+
+
+def test_stretches_are_arrays_and_a_repeat_is_one_cut():
+    """A copy in a batch was a cut for each of its anchors, and every stretch some objects."""
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(3_000)]
+    passage = " ".join(rng.choices(words, k=4_000))
+    texts = [passage + " " + " ".join(rng.choices(words, k=300)) for _ in range(40)]
+    keys = [np.unique(substring_dedup.stretches(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0]) for t in texts]
+    anchors = pa.array([(k >> np.uint64(16)).view(np.int64) for k in keys], pa.list_(pa.int64()))
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(40)), pa.array(range(100, 140)), pa.array(texts), anchors],
+        ["text_id", "rank", "text", "anchors"],
+    )
+    none = np.empty(0, np.uint64)
+    tracemalloc.start()
+    pieces = pa.Table.from_batches(substring_dedup.text_stretches(Batches([batch]), none))
+    assert tracemalloc.get_traced_memory()[1] < 36 << 20
+    tracemalloc.stop()
+    done = pieces.filter(pieces["stretch"].is_null())
+    assert done.num_rows == 39
+    assert all(w >= len(passage) - 150 for w in done["windows"].to_pylist())
+    rows = pieces.sort_by("key").to_batches(max_chunksize=500)
+    cuts = {}
+    for part in substring_dedup.repeated_windows(Batches(rows)):
+        for text, low, high in zip(*(part.column(i).to_pylist() for i in range(3))):
+            cuts.setdefault(text, []).append((low, high))
+    seen = {}
+    for i, text in enumerate(texts):
+        want = [(k, k + 50) for k in range(len(text) - 49) if seen.setdefault(text[k : k + 50], i) < i]
+        assert substring_dedup._merged(cuts.get(i, [])) == substring_dedup._merged(want)

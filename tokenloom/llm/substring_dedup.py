@@ -13,7 +13,6 @@ of many texts on only once.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tokenloom.llm.batches import binary_rows, blocks, mix, release, text_bytes
+from tokenloom.llm.batches import blocks, mix, release, text_bytes, text_parts
 from tokenloom.llm.common_keys import common_keys
 from tokenloom.llm.shuffles import dropped_shuffles
 from tokenloom.llm.suffix_intervals import equal_prefixes
@@ -33,6 +32,9 @@ LENGTH, GRAM = 50, 16
 CHOICES = LENGTH - GRAM + 1
 # Bytes of stretches that one transform covers.
 TRANSFORM_BYTES = 1 << 19
+# Bytes of texts whose stretches a worker holds at once, and of stretches that meet at once; the
+# stretches of one anchor always do.
+PART_BYTES, MEETING_BYTES = 8 << 20, 4 << 20
 # Windows that begin at least this far before their anchor hold as many bytes before it; the
 # others hold as many after it.
 SIDE = (CHOICES - 1) // 2
@@ -62,17 +64,18 @@ def stretches(
         least = np.minimum(least[:-span], least[span:])
         span *= 2
     least = np.minimum(least[:windows], least[CHOICES - span : CHOICES - span + windows])
-    anchor = (least & ~UPPER).astype(np.int64)
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:windows]
-    inside = np.arange(windows) + LENGTH <= offsets[row + 1]
-    new = inside.copy()
-    new[1:] &= (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1]) | ~inside[:-1]
-    first = np.flatnonzero(new)
-    ends = np.cumsum(inside)
-    before = ends[first] - 1
-    counts = np.diff(np.append(before, ends[-1]))
-    place = anchor[first]
-    return grams[place], place, first, counts, row[first]
+    # Where a text's windows begin and end, and where the anchor changes.
+    long = np.flatnonzero(np.diff(offsets) >= LENGTH)
+    low, high = offsets[long], offsets[long + 1] - LENGTH + 1
+    edge = np.zeros(windows + 1, np.int8)
+    edge[low], edge[high] = 1, -1
+    inside = np.cumsum(edge, dtype=np.int8)[:windows].view(bool)
+    new = edge != 0
+    new[1:windows] |= least[1:] != least[:-1]
+    first = np.flatnonzero(inside & new[:-1])
+    counts = np.flatnonzero(inside & new[1:]) + 1 - first
+    place = (least[first] & ~UPPER).astype(np.int64)
+    return grams[place], place, first, counts, np.searchsorted(offsets, first, "right") - 1
 
 
 def _block_rows(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -144,12 +147,11 @@ def text_stretches(texts: DataFrame, common: np.ndarray) -> DataFrame:
     skipped = np.sort(common)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_parts(batches, limit=PART_BYTES):
             ids = batch.column("text_id").to_numpy()
             ranks = batch.column("rank").to_numpy()
             lists = batch.column("anchors")
-            known: dict[bytes, tuple] = {}
-            done: list[tuple] = []
+            found, cells = [], []
             for low, offsets, data in _block_rows(batch.column("text")):
                 hashes, place, start, windows, row = stretches(data, offsets)
                 # Row and anchor as one number each, for the stretches and for the lists.
@@ -162,190 +164,289 @@ def text_stretches(texts: DataFrame, common: np.ndarray) -> DataFrame:
                 if len(skipped):
                     at = np.minimum(np.searchsorted(skipped, hashes), len(skipped) - 1)
                     usual = skipped[at] == hashes
-                raw = data.tobytes()
-                for key, r, s, w, at in _placed(
-                    raw, hashes, place, start, windows, row, np.flatnonzero(kept | usual), usual
-                ):
-                    piece = raw[s : s + w + LENGTH - 1]
-                    text, rank = int(ids[low + r]), int(ranks[low + r])
-                    own = (key, text, rank, [s - int(offsets[r])], w, at)
-                    other = known.get(piece)
-                    if other is None:
-                        known[piece] = own
-                    elif own[1:3] == other[1:3]:
-                        other[3].extend(own[3])
-                    elif rank < other[2]:
-                        known[piece] = own
-                        done.append((*other, None))
-                    elif rank > other[2]:
-                        done.append((*own, None))
-                    else:
-                        # Texts of one document are not earlier than each other: both go on.
-                        done.append((*own, piece))
-            # Finished cuts go to any task.
-            rows = [(*own, piece) for piece, own in known.items()]
-            yield _pieces(rows + [(d[1], *d[1:]) if d[6] is None else d for d in done])
-            del rows, known, done
+                # Those of common anchors in two parts.
+                plain, two = np.flatnonzero(kept & ~usual), np.flatnonzero(usual)
+                which, bound, first, count = _sides(place[two], start[two], windows[two])
+                two = two[which]
+                key = (hashes[plain] >> np.uint64(16)).view(np.int64)
+                key = np.concatenate([key, _side_keys(data, bound)])
+                first = np.concatenate([start[plain], first])
+                count = np.concatenate([windows[plain], count])
+                of = np.concatenate([plain, two])
+                found.append((key, low + row[of], first - offsets[row[of]], count, place[of] - first))
+                cells.append(_slices(data, first, first + count + LENGTH - 1))
+            if found:
+                yield _sent(ids, ranks, *map(np.concatenate, zip(*found)), pa.concat_arrays(cells))
+            del found, cells
         release()
 
     return texts.mapInArrow(emit, PIECE)
 
 
-def _placed(raw, hashes, place, start, windows, row, kept, usual):
-    """(key, row, start, windows, place of the anchor) of the kept stretches, those of common
-    anchors in two parts.
+def _sides(
+    at: np.ndarray, start: np.ndarray, windows: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of anchors at ``at`` in two parts: those that hold the ``SIDE`` bytes before it,
+    and those that hold as many after it. Gives the anchor's number, the place of these bytes and
+    the anchor together, the first window and the number of windows of every part.
     """
-    for i in kept.tolist():
-        r, s, w = int(row[i]), int(start[i]), int(windows[i])
-        if not usual[i]:
-            yield int(hashes[i] >> np.uint64(16)), r, s, w, int(place[i]) - s
-            continue
-        for part, first, count in _sides(raw, int(place[i]), s, w):
-            yield _digest(part), r, first, count, int(place[i]) - first
+    before = np.clip(at - SIDE - start + 1, 0, windows)
+    a, b = np.flatnonzero(before), np.flatnonzero(before < windows)
+    return (
+        np.concatenate([a, b]),
+        np.concatenate([at[a] - SIDE, at[b]]),
+        np.concatenate([start[a], start[b] + before[b]]),
+        np.concatenate([before[a], windows[b] - before[b]]),
+    )
 
 
-def _sides(data: bytes, at: int, start: int, windows: int) -> Iterator[tuple[bytes, int, int]]:
-    """The windows of an anchor in two parts: those that hold the ``SIDE`` bytes before it, with
-    these and the anchor, and those that hold as many after it.
+def _side_keys(data: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """A hash of the ``SIDE + GRAM`` bytes at every place; a chance meeting only costs a comparison."""
+    if not len(bound):
+        return np.empty(0, np.int64)
+    data = np.ascontiguousarray(data)
+    words = np.ndarray((len(data) - 7,), np.uint64, buffer=data.data, strides=(1,))
+    key = np.full(len(bound), HALF)
+    for k in [*range(0, SIDE + GRAM - 7, 8), SIDE + GRAM - 8]:
+        key = mix(key + words[bound + k])
+    return key.view(np.int64)
+
+
+def _slices(data: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.Array:
+    raw = data.tobytes()
+    return pa.array([raw[a:b] for a, b in zip(low.tolist(), high.tolist())], pa.binary())
+
+
+def _cells(cells: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets (rows + 1) and bytes of binary cells."""
+    cells = cells.cast(pa.large_binary())
+    offsets = np.frombuffer(cells.buffers()[1], np.int64)[cells.offset :][: len(cells) + 1]
+    data = cells.buffers()[2]
+    data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    return offsets - offsets[0], data[offsets[0] : offsets[-1]]
+
+
+def _codes(cells: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """A number for every cell, equal for equal bytes, and the distinct cells in their order."""
+    cells = cells.dictionary_encode()
+    return cells.indices.to_numpy().astype(np.int64), cells.dictionary
+
+
+def _later(code: np.ndarray, rank: np.ndarray, codes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least rank of every code, and which rows are of a higher one."""
+    least = np.full(codes, LAST)
+    np.minimum.at(least, code, rank)
+    return least, rank > least[code]
+
+
+def _new(*columns: np.ndarray) -> np.ndarray:
+    """Which rows of sorted columns differ from the one before."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = False
+    for column in columns:
+        new[1:] |= column[1:] != column[:-1]
+    return new
+
+
+def _joined(
+    text: np.ndarray, low: np.ndarray, high: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges of bytes of texts, those of one text that overlap or touch as one; sorted."""
+    by = np.lexsort((low, text))
+    text, low, high = text[by], low[by], high[by]
+    new = _new(text)
+    number = np.cumsum(new) << 32
+    reach = np.maximum.accumulate(number + high) - number
+    new[1:] |= low[1:] > reach[:-1]
+    first = np.flatnonzero(new)
+    return text[first], low[first], reach[np.append(first[1:], len(text)) - 1] if len(text) else high
+
+
+def _sent(ids, ranks, key, row, start, windows, place, cells: pa.Array) -> pa.RecordBatch:
+    """``PIECE`` of the stretches of a part of a batch: of equal ones those of the least rank, one
+    row for each text, as texts of one document are not earlier than each other; the others as
+    finished cuts, which go to any task.
     """
-    before = min(windows, max(0, at - SIDE - start + 1))
-    if before:
-        yield data[at - SIDE : at + GRAM], start, before
-    if before < windows:
-        yield data[at : at + GRAM + SIDE], start + before, windows - before
+    code, distinct = _codes(cells)
+    text, rank = ids[row], ranks[row]
+    _, later = _later(code, rank, len(distinct))
+    gone = np.flatnonzero(later)
+    cut_text, low, high = _joined(text[gone], start[gone], start[gone] + windows[gone] + LENGTH - 1)
+    by_text = np.argsort(ids, kind="stable")
+    cut_rank = ranks[by_text[np.searchsorted(ids[by_text], cut_text)]]
+    kept = np.flatnonzero(~later)
+    kept = kept[np.lexsort((start[kept], text[kept], code[kept]))]
+    edges = np.flatnonzero(_new(code[kept], text[kept]))
+    first = kept[edges]
+    finished = np.arange(len(first) + len(low)) >= len(first)
+    lists = np.concatenate([edges, len(kept) + np.arange(len(low) + 1)])
+    columns = [
+        np.concatenate([key[first], cut_text]),
+        np.concatenate([text[first], cut_text]),
+        np.concatenate([rank[first], cut_rank]),
+        pa.ListArray.from_arrays(
+            pa.array(lists, pa.int32()), pa.array(np.concatenate([start[kept], low]), pa.int64())
+        ),
+        np.concatenate([windows[first], high - low - LENGTH + 1]).astype(np.int32),
+        np.concatenate([place[first], np.zeros(len(low), np.int64)]).astype(np.int32),
+        distinct.take(pa.array(np.append(code[first], np.zeros(len(low), np.int64)), mask=finished)),
+    ]
+    names = ["key", "text_id", "rank", "starts", "windows", "place", "stretch"]
+    columns = [c if isinstance(c, pa.Array) else pa.array(c) for c in columns]
+    return pa.RecordBatch.from_arrays(columns, names)
 
 
-def _digest(part: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(part, digest_size=8).digest(), "little", signed=True)
+def _whole_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of a sorted task in tables of some ``MEETING_BYTES``, no key in two of them."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.nbytes
+        last = batch.column("key")[-1]
+        if size >= MEETING_BYTES and held[0].column("key")[0] != last:
+            table = pa.Table.from_batches(held)
+            at = int(np.searchsorted(table.column("key").to_numpy(), last.as_py()))
+            yield table.slice(0, at)
+            held = table.slice(at).to_batches()
+            size = sum(b.nbytes for b in held)
+            del table
+    if held:
+        yield pa.Table.from_batches(held)
 
 
-def _pieces(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [()] * 7
-    kinds = [pa.int64()] * 3 + [pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.binary()]
-    names = ["key", "text_id", "rank", "starts", "windows", "place", "stretch"]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+def _ranges(low: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers ``low, low + 1, ...``, as many as counted, one range after the other."""
+    return np.arange(int(counts.sum())) + np.repeat(low - np.cumsum(counts) + counts, counts)
 
 
 class Meeting:
-    """Collects stretches of whole anchors and finds their windows of a smaller rank."""
-
-    def __init__(self) -> None:
-        self.cuts: list[tuple[int, int, int]] = []  # text, first byte, last byte + 1
-        self.anchor: dict[bytes, list[tuple[int, int, list[int]]]] = {}
-        self.place: dict[bytes, int] = {}  # of the anchor in each stretch
-        self.block: list[tuple[bytes, int, list[tuple[int, int, list[int]]]]] = []
-        self.bytes = 0
-
-    def add(self, text: int, rank: int, starts: list[int], place: int, stretch: bytes) -> None:
-        self.anchor.setdefault(stretch, []).append((rank, text, starts))
-        self.place[stretch] = place
-
-    def close_anchor(self) -> None:
-        """All stretches of an anchor are here: settle equal ones, keep one of each, and of
-        those again only parts that have the bytes on one side of the anchor in common.
+    """Stretches of whole anchors; finds their windows of a smaller rank."""
+
+    def __init__(self, table: pa.Table) -> None:
+        key, self.text, self.rank, starts, windows, place, stretch = (
+            table.column(i).combine_chunks() for i in range(7)
+        )
+        self.text, self.rank = self.text.to_numpy(), self.rank.to_numpy()
+        self.first = starts.offsets.to_numpy().astype(np.int64)
+        self.starts = starts.values.to_numpy()
+        self.cuts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = windows.to_numpy().astype(np.int64) + LENGTH - 1
+        finished = stretch.is_null().to_numpy(zero_copy_only=False)
+        rows = np.flatnonzero(finished)
+        self._cut(rows, 0, size[rows])
+        rows = np.flatnonzero(~finished)
+        self._meet(rows, key.to_numpy(), place.to_numpy(), size, stretch.take(pa.array(rows)))
+
+    def _cut(self, rows: np.ndarray, first, size) -> None:
+        """Cut ``size`` bytes from ``first`` on off the stretch of every row, wherever it starts."""
+        counts = self.first[rows + 1] - self.first[rows]
+        low = self.starts[_ranges(self.first[rows], counts)]
+        low = low + np.repeat(np.broadcast_to(first, rows.shape), counts)
+        high = low + np.repeat(size, counts)
+        self.cuts.append((np.repeat(self.text[rows], counts), low, high))
+
+    def _meet(self, rows, key, place, size, stretch: pa.Array) -> None:
+        """Settle equal stretches, keep one of each of an anchor that has several, and of those
+        again only parts that have the bytes on one side of the anchor in common.
         """
-        kept = self._settled(self.anchor)
-        if len(kept) > 1:
-            sides: dict[bytes, dict[bytes, list[tuple[int, int, list[int]]]]] = {}
-            for stretch, _, owners in kept:
-                windows = len(stretch) - LENGTH + 1
-                for key, first, count in _sides(stretch, self.place[stretch], 0, windows):
-                    part = stretch[first : first + count + LENGTH - 1]
-                    own = sides.setdefault(key, {})
-                    moved = [(rank, text, [s + first for s in starts]) for rank, text, starts in owners]
-                    own.setdefault(part, []).extend(moved)
-            for parts in sides.values():
-                if len(parts) > 1 or len(next(iter(parts.values()))) > 1:
-                    some = self._settled(parts)
-                    if len(some) > 1:
-                        self.block += some
-                        self.bytes += sum(len(k[0]) + 1 for k in some)
-        self.anchor, self.place = {}, {}
-        if self.bytes >= TRANSFORM_BYTES:
-            self.close_block()
-
-    def _settled(self, stretches: dict[bytes, list[tuple[int, int, list[int]]]]) -> list[tuple]:
-        kept = []
-        for stretch, owners in stretches.items():
-            least = min(owners)[0]
-            first = [o for o in owners if o[0] == least]
-            for rank, text, starts in owners:
-                if rank > least:
-                    self.cuts += [(text, s, s + len(stretch)) for s in starts]
-            kept.append((stretch, least, first))
-        return kept
-
-    def close_block(self) -> None:
-        if not self.block:
-            return
-        parts, ranks, owner = [], [], []
-        for i, (stretch, rank, _) in enumerate(self.block):
-            parts.append(np.append(np.frombuffer(stretch, np.uint8).astype(np.int64) + 1, 0))
-            ranks.append(np.full(len(stretch) + 1, rank))
-            owner.append(np.full(len(stretch) + 1, i))
-        symbols, rank, owner = map(np.concatenate, (parts, ranks, owner))
-        size = np.array([len(p) for p in parts])
+        code, distinct = _codes(stretch)
+        _, later = _later(code, self.rank[rows], len(distinct))
+        self._cut(rows[later], 0, size[rows[later]])
+        _, model = np.unique(code, return_index=True)
+        model = rows[model]
+        _, anchor, members = np.unique(key[model], return_inverse=True, return_counts=True)
+        several = members[anchor] > 1
+        some = np.flatnonzero(several)
+        offsets, data = _cells(distinct)
+        which, bound, first, count = _sides(
+            offsets[some] + place[model[some]], offsets[some], size[model[some]] - LENGTH + 1
+        )
+        which = some[which]
+        side = _side_keys(data, bound)
+        part, distinct = _codes(_slices(data, first, first + count + LENGTH - 1))
+        # The owners of every part: those of its stretch.
+        own = np.flatnonzero(~later & several[code])
+        own = own[np.argsort(code[own], kind="stable")]
+        low = np.searchsorted(code[own], which)
+        counts = np.searchsorted(code[own], which, "right") - low
+        rows = rows[own[_ranges(low, counts)]]
+        shift = np.repeat(first - offsets[which], counts)
+        length = np.repeat(count + LENGTH - 1, counts)
+        part_of = np.repeat(part, counts)
+        least, later = _later(part_of, self.rank[rows], len(distinct))
+        self._cut(rows[later], shift[later], length[later])
+        by = np.flatnonzero(~later)
+        by = by[np.argsort(part_of[by], kind="stable")]
+        self.owners = rows[by], shift[by], part_of[by]
+        # Parts of one side next to each other, in blocks that end with a side.
+        _, model = np.unique(part, return_index=True)
+        _, side, members = np.unique(side[model], return_inverse=True, return_counts=True)
+        parts = np.flatnonzero(members[side] > 1)
+        parts = parts[np.argsort(side[parts], kind="stable")]
+        offsets, data = _cells(distinct)
+        ends = np.cumsum(offsets[parts + 1] - offsets[parts] + 1)
+        edges = np.append(np.flatnonzero(_new(side[parts])), len(parts))
+        low = 0
+        while low < len(parts):
+            full = (ends[low - 1] if low else 0) + TRANSFORM_BYTES
+            high = edges[np.searchsorted(edges, min(len(parts), np.searchsorted(ends, full) + 1))]
+            self._transform(parts[low:high], least, offsets, data)
+            low = int(high)
+
+    def _transform(self, parts, least, offsets, data: np.ndarray) -> None:
+        size = offsets[parts + 1] - offsets[parts] + 1
         ends = np.cumsum(size)
+        begin = ends - size
+        symbols = np.zeros(int(ends[-1]), np.int64)
+        inside = np.ones(len(symbols), bool)
+        inside[ends - 1] = False
+        symbols[inside] = data[_ranges(offsets[parts], size - 1)].astype(np.int64) + 1
+        owner = np.repeat(np.arange(len(parts)), size)
+        rank = least[parts][owner]
         room = ends[owner] - 1 - np.arange(len(symbols))  # bytes up to the end of the stretch
         order, new = equal_prefixes(symbols, LENGTH)
         whole = room[order] >= LENGTH
         group = np.cumsum(new)[whole]
         order = order[whole]
-        edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else []
-        if len(edges):
-            least = np.minimum.reduceat(rank[order], edges)
-            least = np.repeat(least, np.diff(np.append(edges, len(order))))
-            repeated = np.sort(order[least < rank[order]])
-            begin = ends - size
-            for low, high in _runs(repeated, owner):
-                i = int(owner[low])
-                first = low - int(begin[i])
-                last = high - int(begin[i]) + LENGTH
-                for _, text, starts in self.block[i][2]:
-                    self.cuts += [(text, s + first, s + last) for s in starts]
-        self.block, self.bytes = [], 0
+        if not len(order):
+            return
+        edges = np.flatnonzero(_new(group))
+        low = np.minimum.reduceat(rank[order], edges)
+        low = np.repeat(low, np.diff(np.append(edges, len(order))))
+        repeated = np.sort(order[low < rank[order]])
+        if not len(repeated):
+            return
+        # Runs of neighbouring places in one part, and the owners of this part.
+        new = _new(owner[repeated])
+        new[1:] |= np.diff(repeated) > 1
+        first = repeated[new]
+        last = repeated[np.append(np.flatnonzero(new)[1:], len(repeated)) - 1]
+        rows, shift, part_of = self.owners
+        part = parts[owner[first]]
+        low = np.searchsorted(part_of, part)
+        counts = np.searchsorted(part_of, part, "right") - low
+        at = _ranges(low, counts)
+        moved = shift[at] + np.repeat(first - begin[owner[first]], counts)
+        self._cut(rows[at], moved, np.repeat(last - first + LENGTH, counts))
 
     def taken(self) -> pa.RecordBatch:
-        columns = list(zip(*self.cuts)) or [()] * 3
-        self.cuts = []
+        columns = _joined(*map(np.concatenate, zip(*self.cuts)))
         return pa.RecordBatch.from_arrays(
             [pa.array(c, pa.int64()) for c in columns], ["text_id", "low", "high"]
         )
 
 
-def _runs(places: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, int]]:
-    """(first, last) of every run of neighbouring places in one stretch."""
-    if not len(places):
-        return
-    new = np.ones(len(places), bool)
-    new[1:] = (np.diff(places) > 1) | (owner[places[1:]] != owner[places[:-1]])
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(places)) - 1
-    yield from zip(places[first].tolist(), places[last].tolist())
-
-
 def repeated_windows(pieces: DataFrame) -> DataFrame:
     """``(text_id, low, high)``: byte ranges of texts that an earlier text has too."""
     rows = pieces.repartition("key").sortWithinPartitions("key")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        meeting = Meeting()
-        at = None
-        for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(7)]
-            for key, text, rank, starts, windows, place, stretch in zip(*columns):
-                if stretch is None:
-                    meeting.cuts += [(text, s, s + windows + LENGTH - 1) for s in starts]
-                    continue
-                if key != at:
-                    meeting.close_anchor()
-                    at = key
-                meeting.add(text, rank, starts, place, stretch)
-            yield meeting.taken()
-        meeting.close_anchor()
-        meeting.close_block()
-        yield meeting.taken()
-        del meeting
+        for table in _whole_anchors(batches):
+            yield Meeting(table).taken()
+            del table
         release()
 
     return rows.mapInArrow(emit, "text_id long, low long, high long")

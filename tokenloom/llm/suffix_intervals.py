@@ -42,32 +42,30 @@ def equal_prefixes(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.nda
     """
     size = len(symbols)
     order = _order(symbols, length)
-    bwt = symbols[order - 1].astype(np.int64)
+    first = symbols[order]
+    bwt = symbols[order - 1]
     # Where backward extension leads: the stable order of the transform.
     target = np.empty(size, np.int64)
-    target[np.argsort(bwt, kind="stable")] = np.arange(size)
+    target[np.argsort(bwt.astype(np.uint16), kind="stable")] = np.arange(size)
+    target[bwt == 0] = -1
     met = np.zeros(size + 1, bool)
     met[0] = met[size] = True
     low, high = np.array([0]), np.array([size])
     for _ in range(length):
-        # All places of the current intervals, with the byte before each.
+        # Where all places of the current intervals lead, as one number with their interval.
         counts = high - low
         owner = np.repeat(np.arange(len(low)), counts)
-        place = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-        place += low[owner]
-        byte = bwt[place]
-        inside = byte > 0
-        owner, place, byte = owner[inside], target[place[inside]], byte[inside]
-        if not len(place):
+        place = target[np.arange(len(owner)) + np.repeat(low - np.cumsum(counts) + counts, counts)]
+        led = np.sort(((place << 32) | owner)[place >= 0])
+        if not len(led):
             break
-        # Places of one interval and byte are next to each other where they lead.
-        by = np.argsort(owner * 512 + byte, kind="stable")
-        owner, place, byte = owner[by], place[by], byte[by]
-        new = np.ones(len(by), bool)
+        # Places of one interval and byte are next to each other there.
+        place, owner = led >> 32, led & 0xFFFFFFFF
+        byte = first[place]
+        new = np.ones(len(led), bool)
         new[1:] = (owner[1:] != owner[:-1]) | (byte[1:] != byte[:-1])
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(by)) - 1
-        low, high = place[first], place[last] + 1
+        begin = np.flatnonzero(new)
+        low, high = place[begin], place[np.append(begin[1:], len(led)) - 1] + 1
         # An interval whose right end was met at a smaller length says nothing new.
         fresh = ~met[high]
         low, high = low[fresh], high[fresh]
