@@ -139,3 +139,26 @@ def test_stretches_are_arrays_and_a_repeat_is_one_cut():
     for i, text in enumerate(texts):
         want = [(k, k + 50) for k in range(len(text) - 49) if seen.setdefault(text[k : k + 50], i) < i]
         assert substring_dedup._merged(cuts.get(i, [])) == substring_dedup._merged(want)
+
+
+def test_cut_documents_need_one_python_step_a_task(spark):
+    """The whole characters were a second one, and an executor held twice as many workers."""
+    text = "äöü" * 40
+    docs = spark.createDataFrame(
+        [(1, text, 120), (2, "x" + text[:60] + "z", 62), (3, None, None), (None, "", 0)],
+        "doc_id long, text string, n_chars int",
+    )
+    kept = substring_dedup.keep_unrepeated(docs)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "EvalPython" not in plan
+    assert kept.schema == docs.schema
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(
+        [(1, text, 120), (2, "xz", 2), (3, None, None), (None, "", 0)], key=str
+    )
+    # A cut that ends inside a character takes its other bytes along.
+    docs = spark.createDataFrame(
+        [(1, "a" * 60 + "ä"), (2, "b" + "a" * 60 + "ö")], "doc_id long, text string"
+    )
+    assert dict(map(tuple, substring_dedup.keep_unrepeated(docs).collect())) == {
+        1: "a" * 60 + "ä", 2: "b"
+    }

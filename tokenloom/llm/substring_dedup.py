@@ -520,14 +520,13 @@ def removed_ranges(docs: DataFrame) -> tuple[DataFrame, list[list[int]]]:
         return materialize(ranges, "cuts"), clashes
 
 
-KEPT = "n_bytes long, n_removed long, n_spans long, kept binary"
-
-
-def cut_texts(docs: DataFrame) -> DataFrame:
+def cut_texts(docs: DataFrame, characters: bool = False) -> DataFrame:
     """``n_bytes, n_removed, n_spans`` and ``kept``, the bytes that stay (null for a null text),
     of every document; the columns of ``docs`` other than ``text`` come as ``c0, c1, ...`` in
-    their order, so that none of their names can clash.
+    their order, so that none of their names can clash. With ``characters``, ``kept`` is a text of
+    the characters that stay whole; a second Python step for it would need as many workers again.
     """
+    kind = pa.string() if characters else pa.binary()
     ranges, clashes = removed_ranges(docs)
     others = [n for n in docs.columns if n != "text"]
     carried = [f"c{i}" for i in range(len(others))]
@@ -556,18 +555,22 @@ def cut_texts(docs: DataFrame) -> DataFrame:
                     found = _merged([(r["low"], r["high"]) for r in cuts[i].as_py() or ()])
                 edges = [0, *[e for r in found for e in r], len(own)]
                 stays = b"".join(own[a:b] for a, b in zip(edges[::2], edges[1::2]))
-                kept.append(stays if valid[i] else None)
+                if not valid[i]:
+                    kept.append(None)
+                else:
+                    kept.append(stays.decode("utf-8", "ignore") if characters else stays)
                 removed.append(len(own) - len(stays))
                 spans.append(len(found))
             columns = [batch.column(n) for n in carried]
             columns += [pa.array(np.diff(offsets)), pa.array(removed, pa.int64())]
-            columns += [pa.array(spans, pa.int64()), pa.array(kept, pa.binary())]
+            columns += [pa.array(spans, pa.int64()), pa.array(kept, kind)]
             names = [*carried, "n_bytes", "n_removed", "n_spans", "kept"]
             yield pa.RecordBatch.from_arrays(columns, names)
         release()
 
     fields = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in carried]
-    return rows.mapInArrow(emit, ", ".join([*fields, KEPT]))
+    fields += ["n_bytes long, n_removed long, n_spans long", f"kept {kind}"]
+    return rows.mapInArrow(emit, ", ".join(fields))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
@@ -599,15 +602,10 @@ def keep_unrepeated(docs: DataFrame) -> DataFrame:
     document of which nothing stays has an empty text.
     """
 
-    @F.arrow_udf("string")
-    def whole_characters(kept: pa.Array) -> pa.Array:
-        texts = [None if b is None else b.decode("utf-8", "ignore") for b in kept.to_pylist()]
-        return pa.array(texts, pa.string())
-
     others = [n for n in docs.columns if n != "text"]
-    rows = cut_texts(docs).select(
+    rows = cut_texts(docs, characters=True).select(
         *[F.col(f"c{i}").alias(n) for i, n in enumerate(others)],
-        whole_characters(F.col("kept")).alias("text"),
+        F.col("kept").alias("text"),
     )
     if "n_chars" in others:
         kind = docs.schema["n_chars"].dataType
