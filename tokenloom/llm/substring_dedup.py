@@ -175,9 +175,14 @@ def text_stretches(texts: DataFrame, common: np.ndarray) -> DataFrame:
                 of = np.concatenate([plain, two])
                 found.append((key, low + row[of], first - offsets[row[of]], count, place[of] - first))
                 cells.append(_slices(data, first, first + count + LENGTH - 1))
-            if found:
-                yield _sent(ids, ranks, *map(np.concatenate, zip(*found)), pa.concat_arrays(cells))
-            del found, cells
+            if not found:
+                continue
+            # The blocks' cells go before the distinct ones are made.
+            cells = pa.concat_arrays(cells)
+            code, cells = _codes(cells)
+            found = list(map(np.concatenate, zip(*found)))
+            yield _sent(ids, ranks, *found, code, cells)
+            del found, code, cells
         release()
 
     return texts.mapInArrow(emit, PIECE)
@@ -262,12 +267,11 @@ def _joined(
     return text[first], low[first], reach[np.append(first[1:], len(text)) - 1] if len(text) else high
 
 
-def _sent(ids, ranks, key, row, start, windows, place, cells: pa.Array) -> pa.RecordBatch:
+def _sent(ids, ranks, key, row, start, windows, place, code, distinct: pa.Array) -> pa.RecordBatch:
     """``PIECE`` of the stretches of a part of a batch: of equal ones those of the least rank, one
     row for each text, as texts of one document are not earlier than each other; the others as
     finished cuts, which go to any task.
     """
-    code, distinct = _codes(cells)
     text, rank = ids[row], ranks[row]
     _, later = _later(code, rank, len(distinct))
     gone = np.flatnonzero(later)
